@@ -18,23 +18,23 @@ def field(v: Column, key: str) -> Column:
 
 
 def kind(v: Column) -> Column:
-    """object, array, string, boolean, int, number, null; SQL null when absent."""
-    s = F.schema_of_variant(v)
-    return (
-        F.when(s.isNull(), F.lit(None))
-        .when(s.startswith("OBJECT"), "object")
-        .when(s.startswith("ARRAY"), "array")
-        .when(s == "STRING", "string")
-        .when(s == "BOOLEAN", "boolean")
-        .when(s == "VOID", "null")
-        .when(s.isin("TINYINT", "SMALLINT", "INT", "BIGINT"), "int")
-        .otherwise("number")
-    )
+    """Type word of a VARIANT (OBJECT, ARRAY, STRING, BOOLEAN, VOID, BIGINT, ...); null when absent."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def is_kind(v: Column, *words: str) -> Column:
+    """Whether the value is present and of one of the types."""
+    return F.coalesce(kind(v).isin(*words), F.lit(False))
+
+
+def raw(v: Column) -> Column:
+    """JSON text of a value, null when absent."""
+    return F.to_json(v)
 
 
 def text(v: Column) -> Column:
     """String value of a string VARIANT, else null."""
-    return F.when(kind(v) == "string", F.try_variant_get(v, "$", "string"))
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
 def as_text(v: Column) -> Column:
@@ -42,14 +42,9 @@ def as_text(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
-def is_empty(v: Column) -> Column:
-    """Absent, JSON null or ''."""
-    return F.coalesce(kind(v) == "null", F.lit(True)) | F.coalesce(text(v) == "", F.lit(False))
-
-
 def first_field(v: Column, keys: list[str]) -> Column:
-    """First listed member that is present and non-empty, as VARIANT."""
-    return F.coalesce(*(F.when(~is_empty(field(v, k)), field(v, k)) for k in keys))
+    """First listed member that is present and neither null nor '', as VARIANT."""
+    return F.coalesce(*(F.when(~raw(field(v, k)).isin("null", '""'), field(v, k)) for k in keys))
 
 
 def has_key(v: Column, key: str) -> Column:
@@ -58,17 +53,21 @@ def has_key(v: Column, key: str) -> Column:
 
 def is_true(v: Column) -> Column:
     """Exactly Boolean true."""
-    return F.coalesce((kind(v) == "boolean") & F.try_variant_get(v, "$", "boolean"), F.lit(False))
+    return F.coalesce(raw(v) == "true", F.lit(False))
 
 
 def is_false(v: Column) -> Column:
-    return F.coalesce((kind(v) == "boolean") & ~F.try_variant_get(v, "$", "boolean"), F.lit(False))
+    return F.coalesce(raw(v) == "false", F.lit(False))
+
+
+def items(v: Column) -> Column:
+    """Elements of a list VARIANT, else null."""
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
 def positive_int(v: Column) -> Column:
     """Integer >= 1 that is not a Boolean, else null."""
-    n = F.when(kind(v) == "int", F.try_variant_get(v, "$", "bigint"))
-    return F.when(n >= 1, n)
+    return F.when(raw(v).rlike("^[1-9][0-9]*$"), raw(v).try_cast("bigint"))
 
 
 def non_blank_text(v: Column) -> Column:
@@ -77,22 +76,21 @@ def non_blank_text(v: Column) -> Column:
 
 def is_high(v: Column) -> Column:
     """Number >= 0.9, or one of the high-confidence words; Booleans never."""
-    k = kind(v)
-    number = F.when(k.isin("int", "number"), F.try_variant_get(v, "$", "double"))
-    word = F.lower(F.trim(text(v)))
-    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
-    return F.coalesce(finite & (number >= 0.9), F.lit(False)) | F.coalesce(
-        word.isin(fixed.HIGH_CONFIDENCE_WORDS), F.lit(False)
+    words = "|".join(fixed.HIGH_CONFIDENCE_WORDS)
+    number = F.when(raw(v).rlike("^-?[0-9]"), raw(v).try_cast("double"))
+    return F.coalesce((number >= 0.9) & (number < float("inf")), F.lit(False)) | F.coalesce(
+        raw(v).rlike(rf'(?i)^"\s*(?:{words})\s*"$'), F.lit(False)
     )
 
 
 def to_int(v: Column) -> Column:
     """Integer value: whole part of a number, digits of a text, 1/0 of a Boolean."""
-    k = kind(v)
+    j = raw(v)
     return (
-        F.when(k.isin("int", "boolean"), F.try_variant_get(v, "$", "bigint"))
-        .when(k == "number", F.try_variant_get(v, "$", "bigint"))
-        .when((k == "string") & text(v).rlike(r"^\s*[+-]?\d+\s*$"), F.trim(text(v)).try_cast("bigint"))
+        F.when(j.rlike("^-?[0-9]+$"), j.try_cast("bigint"))
+        .when(j.rlike("^-?[0-9]"), j.try_cast("double").try_cast("bigint"))
+        .when(j.rlike(r'^"\s*[+-]?[0-9]+\s*"$'), F.regexp_extract(j, "([+-]?[0-9]+)", 1).try_cast("bigint"))
+        .when(j.isin("true", "false"), (j == "true").cast("bigint"))
     )
 
 
@@ -112,15 +110,7 @@ def parse_span(v: Column) -> Column:
 
 def truthy(v: Column) -> Column:
     """Present and neither null, false, 0, '' nor an empty container."""
-    k = kind(v)
-    return F.coalesce(
-        F.when(k == "boolean", F.try_variant_get(v, "$", "boolean"))
-        .when(k == "string", text(v) != "")
-        .when(k.isin("int", "number"), F.try_variant_get(v, "$", "double") != 0)
-        .when(k.isin("object", "array"), ~F.to_json(v).isin("{}", "[]"))
-        .otherwise(F.lit(False)),
-        F.lit(False),
-    )
+    return F.coalesce(~raw(v).rlike(r'^(?:null|false|-?0(?:\.0+)?|""|\{\}|\[\])$'), F.lit(False))
 
 
 def span_value(v: Column) -> Column:
@@ -128,11 +118,19 @@ def span_value(v: Column) -> Column:
     words = text(v)
     left = F.regexp_extract(words, fixed.SPAN_PATTERN, 1)
     right = F.regexp_extract(words, fixed.SPAN_PATTERN, 2)
-    pair = F.try_variant_get(v, "$", "array<variant>")
-    first, second = to_int(F.get(pair, 0)), to_int(F.get(pair, 1))
+    first, second = to_int(F.get(items(v), 0)), to_int(F.get(items(v), 1))
     return F.when(
         words.rlike(fixed.SPAN_PATTERN), _span(left.try_cast("bigint"), right.try_cast("bigint"))
-    ).when((kind(v) == "array") & (F.size(pair) == 2) & first.isNotNull() & second.isNotNull(), _span(first, second))
+    ).when((F.size(items(v)) == 2) & first.isNotNull() & second.isNotNull(), _span(first, second))
+
+
+def nested_spans(v: Column, keys: list[str]) -> Column:
+    """Spans stated by the members of the listed list fields: objects or two-element lists."""
+    lists = F.filter(F.array(*(items(field(v, k)) for k in keys)), lambda a: a.isNotNull())
+    return F.transform(
+        F.flatten(lists),
+        lambda e: F.when(is_kind(e, "OBJECT"), parse_span(e)).when(is_kind(e, "ARRAY"), span_value(e)),
+    )
 
 
 def _span(start: Column, end: Column) -> Column:

@@ -23,7 +23,8 @@ def run_state_issues(states: DataFrame, json: str = "json", checksum: str | None
     ``checksum`` names a column with the state's recomputed checksum; without
     it only the form of the stored one is checked.
     """
-    s = V.parse(F.col(json))
+    states = states.withColumn("_v", V.parse(F.col(json)))
+    s = F.col("_v")
     get = lambda key: V.field(s, key)
     rule = issues.rule
     invalid, terminal = "resume_state_field_invalid", "resume_state_terminal_incomplete"
@@ -32,8 +33,9 @@ def run_state_issues(states: DataFrame, json: str = "json", checksum: str | None
         for label, names in fixed.STATE_GROUPS.items()
     ]
     version = get("schema_version")
-    one = (V.kind(version).isin("int", "number", "boolean")) & (F.try_variant_get(version, "$", "double") == 1)
-    rules.append(rule(~F.coalesce(one, F.lit(False)), "resume_state_schema_unsupported", ""))
+    # Numbers compare by value, and true counts as 1.
+    one = F.coalesce(V.raw(version).rlike(r"^(?:1(?:\.0+)?|true)$"), F.lit(False))
+    rules.append(rule(~one, "resume_state_schema_unsupported", ""))
     status = V.text(V.first_field(s, ["status", "lifecycle_status"]))
     rules.append(
         rule(~F.coalesce(status.isin(fixed.STATE_STATUSES), F.lit(False)), "resume_state_status_invalid", "")
@@ -48,17 +50,16 @@ def run_state_issues(states: DataFrame, json: str = "json", checksum: str | None
         ),
     ]
     for name in ("completed_archives", "pending_archives"):
-        rules.append(rule(V.has_key(s, name) & (V.kind(get(name)) != "array"), invalid, name))
+        rules.append(rule(V.has_key(s, name) & ~V.is_kind(get(name), "ARRAY"), invalid, name))
     affected = get("affected_formal_archives")
-    items = F.try_variant_get(affected, "$", "array<variant>")
-    unsafe_item = F.exists(items, lambda e: paths.unsafe_path(V.text(e)))
+    unsafe_item = F.exists(V.items(affected), lambda e: paths.unsafe_path(V.text(e)))
     rules += [
         rule(
-            affected.isNotNull() & ((V.kind(affected) != "array") | F.coalesce(unsafe_item, F.lit(False))),
+            affected.isNotNull() & (~V.is_kind(affected, "ARRAY") | F.coalesce(unsafe_item, F.lit(False))),
             invalid, "affected_formal_archives",
         ),
         rule(
-            V.has_key(s, "unaffected_archive_hashes") & (V.kind(get("unaffected_archive_hashes")) != "object"),
+            V.has_key(s, "unaffected_archive_hashes") & ~V.is_kind(get("unaffected_archive_hashes"), "OBJECT"),
             invalid, "unaffected_archive_hashes",
         ),
     ]
@@ -161,7 +162,8 @@ def next_actions(states: DataFrame, problems: DataFrame, caches: DataFrame, exis
 
 def reused_sections(states: DataFrame, json: str = "json") -> DataFrame:
     """Decision sections each state carries, in name order -> (run, section)."""
-    s = V.parse(F.col(json))
+    states = states.withColumn("_v", V.parse(F.col(json)))
+    s = F.col("_v")
     present = F.filter(
         F.array(*(F.when(V.has_key(s, name), F.lit(name)) for name in sorted(fixed.DECISION_SECTIONS))),
         lambda n: n.isNotNull(),

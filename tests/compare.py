@@ -52,8 +52,8 @@ def compare(spark, con, folder: str, name: str) -> str:
     if wrong:
         return f"types {wrong}"
     if len(mine) != len(theirs):
-        extra = [r for r in mine if r not in set(theirs)][:3] if len(mine) < 200000 else []
-        lack = [r for r in theirs if r not in set(mine)][:3] if len(theirs) < 200000 else []
+        a, b = set(mine), set(theirs)
+        extra, lack = sorted(a - b, key=_key)[:3], sorted(b - a, key=_key)[:3]
         return f"rows {len(mine)} != {len(theirs)}; only here {extra}; only there {lack}"
     for a, b in zip(mine, theirs):
         if a != b:
@@ -73,10 +73,11 @@ def main(argv: list[str]) -> int:
         at = argv.index("--sf")
         sf = argv[at + 1]
         argv = argv[:at] + argv[at + 2:]
+    names = argv or list(registry.QUERIES)
     spark, folder = make_session(), DATA.format(sf)
     con = connection(folder)
     bad = 0
-    for name in argv or list(registry.QUERIES):
+    for name in names:
         began = time.time()
         try:
             verdict = compare(spark, con, folder, name)
