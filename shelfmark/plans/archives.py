@@ -159,8 +159,7 @@ SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.png' AS member, sha256(text
 def inventory_stream(t):
     """Page inventory of the document files as a resumable stream; the second run adds nothing."""
     root = shared_folder(t.spark, "inventory")
-    source = f"{t.folder}/documents.parquet"
-    schema = t.spark.read.parquet(source).schema
+    schema = t.documents.schema
 
     def work(df):
         return df.selectExpr("source || '/' || doc_id || '.png' AS member", "sha2(text, 256) AS sha256").filter(
@@ -168,7 +167,7 @@ def inventory_stream(t):
         )
 
     for _ in range(2):
-        out = inventory.table_inventory(t.spark, source, schema, f"{root}/out", f"{root}/state", work)
+        out = inventory.table_inventory(t.spark, t.folder, "documents.parquet", schema, f"{root}/out", f"{root}/state", work)
     return out
 
 

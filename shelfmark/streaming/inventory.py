@@ -54,9 +54,10 @@ def inventory_stream(
 
 
 def table_inventory(
-    spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str,
+    spark: SparkSession, folder: str, glob: str, schema: T.StructType, out: str, checkpoint: str,
     transform: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """The same loop over Parquet files of page rows; returns the inventory so far."""
-    run_once(spark.readStream.schema(schema).parquet(source), out, checkpoint, transform)
+    """The same loop over the Parquet files of ``folder`` that match ``glob``; returns the inventory so far."""
+    files = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+    run_once(files, out, checkpoint, transform)
     return spark.read.parquet(out)
