@@ -15,12 +15,14 @@ def slashed(c: Column) -> Column:
 
 def base_name(c: Column) -> Column:
     """Last path component."""
-    return F.regexp_extract(F.regexp_replace(c, r"/+$", ""), r"([^/]*)$", 1)
+    return F.substring_index(F.rtrim(c, F.lit("/")), "/", -1)
 
 
 def suffix(c: Column) -> Column:
-    """Lower-case suffix with its dot, or ''.  A leading dot is no suffix."""
-    return F.regexp_extract(F.lower(base_name(c)), r"^[^/]+?(\.[^./]+)$", 1)
+    """Lower-case suffix with its dot, or ''.  A leading or final dot starts no suffix."""
+    name = F.lower(base_name(c))
+    last = F.substring_index(name, ".", -1)
+    return F.when(F.length(last).between(1, F.length(name) - 2), F.concat(F.lit("."), last)).otherwise("")
 
 
 def stem(c: Column) -> Column:

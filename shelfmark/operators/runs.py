@@ -81,12 +81,13 @@ def latest_checkpoint(states: DataFrame) -> DataFrame:
     """Latest checkpoint of each run, and whether its sequence was ever broken.
 
     states: run, sequence, state.  Sequences must follow each other by one; a
-    break is a sequence without its predecessor, or one that occurs twice.
+    break is a sequence without its predecessor, or one that occurs twice (of
+    two states with one sequence the larger text counts).
     """
     marks = states.groupBy("run", "sequence").agg(F.count("*").alias("n"))
     # Distinct sequences without a hole: as many as the range is long.
     return states.groupBy("run").agg(
-        F.max("sequence").alias("sequence"), F.max_by("state", "sequence").alias("state")
+        F.max("sequence").alias("sequence"), F.max_by("state", F.struct("sequence", "state")).alias("state")
     ).join(
         marks.groupBy("run").agg(
             F.min("sequence").alias("first"), F.max("sequence").alias("last"),

@@ -57,13 +57,18 @@ def attach(
     aggs: Sequence[Column],
     row: Sequence[str],
     keep: str | Column | None = None,
+    share: bool = False,
 ) -> DataFrame:
     """Each row with the aggregates of its group; ``keep`` drops whole groups.
 
     ``row`` names columns that differ between the rows of a group; they decide
-    the salt.  Keys must not be null.
+    the salt.  Keys must not be null.  With ``share`` the aggregates are taken
+    from the salted shuffle of the rows themselves, so an expensive ``df``
+    without further columns is computed and shuffled once.
     """
     salted = _salted(df, row)
+    if share:
+        salted = salted.repartition(*keys, _SALT)
     groups = salted.groupBy(*keys).agg(*aggs, _salt_map())
     if keep is not None:
         groups = groups.filter(keep)

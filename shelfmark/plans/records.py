@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import identity, paths, variants
+from ..functions import fixed, identity, paths, variants
 from ..operators import documents, matching, sequences
 from ..sources import plans
 from .registry import query, with_
@@ -261,7 +261,7 @@ UNION ALL SELECT 'other ' || CAST({C} AS VARCHAR), 21, 22 FROM orders"""
 @query("gap_parser", f"""
 SELECT series_key, CAST(a AS BIGINT) AS "start", CAST(b AS BIGINT) AS "end" FROM ({GAP_SQL})""")
 def gap_parser(t):
-    return sequences.documented_gaps(plans.walk_nodes(plan_docs(t)))[0]
+    return sequences.documented_gaps(plans.walk_nodes(plan_docs(t), below=fixed.GAP_KEYS))[0]
 
 
 @query("gap_plan_issues", f"""
@@ -270,13 +270,13 @@ SELECT CAST({KEY} AS VARCHAR) AS subject, seq AS entry_seq, 'invalid_intentional
   UNION ALL SELECT {KEY}, '00000000.00000002.00000000', 'intentional gap lacks a series or numeric range' FROM orders WHERE {C} % 5 < 2
   UNION ALL SELECT {KEY}, '00000000.00000002.00000003', 'intentional gap lacks a series or numeric range' FROM orders)""")
 def gap_plan_issues(t):
-    return sequences.documented_gaps(plans.walk_nodes(plan_docs(t)))[1]
+    return sequences.documented_gaps(plans.walk_nodes(plan_docs(t), below=fixed.GAP_KEYS))[1]
 
 
 @query("documented_gap_pieces", with_(g=GAP_SQL) + """
 SELECT series_key, CAST(count(*) AS BIGINT) AS chapters FROM (SELECT DISTINCT series_key, unnest(range(a, b + 1)) AS n FROM g) GROUP BY series_key""")
 def documented_gap_pieces(t):
-    intervals = sequences.documented_gaps(plans.walk_nodes(plan_docs(t)))[0]
+    intervals = sequences.documented_gaps(plans.walk_nodes(plan_docs(t), below=fixed.GAP_KEYS))[0]
     return sequences.disjoint(intervals, ["series_key"]).groupBy("series_key").agg(
         F.sum(F.col("end") - F.col("start") + 1).alias("chapters")
     )
@@ -285,21 +285,21 @@ def documented_gap_pieces(t):
 @query("policy_records", f"""
 SELECT CAST({KEY} AS VARCHAR) AS doc, 'Series ' || CAST({KEY} AS VARCHAR) AS series, o_orderstatus || '_x' AS policy, '00000000' AS seq FROM orders""")
 def policy_records(t):
-    return plans.policy_records(plans.walk_nodes(plan_docs(t)))
+    return plans.policy_records(plans.walk_nodes(plan_docs(t), below=()))
 
 
 @query("first_non_empty", f"""
 SELECT CAST({KEY} AS VARCHAR) AS doc, seq, path FROM orders, (VALUES ('00000000', NULL), ('00000000.00000002.00000000', NULL), ('00000000.00000002.00000002', NULL),
   ('00000000.00000003.00000000', 'a/b.cbz'), ('00000000.00000003.00000001', 'c.zip'), ('00000000.00000003.00000001.00000003.00000002', NULL)) r(seq, path)""")
 def first_non_empty(t):
-    return plans.record_paths(plans.walk_nodes(plan_docs(t))).select("doc", "seq", "path")
+    return plans.record_paths(plans.walk_nodes(plan_docs(t), below=())).select("doc", "seq", "path")
 
 
 @query("coverage_claims", f"""
 SELECT 's' || CAST({KEY} AS VARCHAR) AS source, kind, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM orders,
   (VALUES ('span', 1, 3), ('span', 4, 9), ('span', 2, 3), ('count', 9, NULL), ('complete', 1, NULL)) r(kind, a, b)""")
 def coverage_claims(t):
-    spans, counts, flags = plans.coverage_claims(plans.walk_nodes(plan_docs(t)))
+    spans, counts, flags = plans.coverage_claims(plans.walk_nodes(plan_docs(t), below=()))
     none = F.lit(None).cast("bigint").alias("b")
     return (
         spans.select("source", F.lit("span").alias("kind"), F.col("start").alias("a"), F.col("end").alias("b"))
@@ -320,7 +320,7 @@ UNION ALL SELECT CAST(doc_id AS VARCHAR), '/lib/' || source, 'b' || CAST(doc_id
 def flatten_manifest(t):
     docs = t.sql(MANIFEST_DOCS.replace("{h}", "sha2(").replace("{e}", ", 256)"))
     return plans.flatten_manifest(
-        plans.walk_nodes(docs.withColumn("doc", F.col("doc_id").cast("string"))),
+        plans.walk_nodes(docs.withColumn("doc", F.col("doc_id").cast("string")), below=()),
         ["formal_library_baseline", "formal_library_hashes", "baseline_hashes"],
     )
 

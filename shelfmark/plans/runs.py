@@ -16,7 +16,7 @@ SELECT CAST(floor(event_id / 50) AS BIGINT) AS run, event_id % 50 + 1 - CASE WHE
 
 
 @query("latest_checkpoint", with_(e=CHECKPOINTS) + """
-SELECT run, max(sequence) AS sequence, arg_max(state, sequence) AS state, count(*) AS checkpoints,
+SELECT run, max(sequence) AS sequence, arg_max(state, (sequence, state)) AS state, count(*) AS checkpoints,
   max(sequence) - min(sequence) + 1 - count(DISTINCT sequence) AS missing, count(*) - count(DISTINCT sequence) AS repeated,
   max(sequence) - min(sequence) + 1 = count(DISTINCT sequence) AND count(*) = count(DISTINCT sequence) AS consecutive
 FROM e GROUP BY run""")

@@ -19,6 +19,7 @@ MEMBER_SCHEMA = (
     "compress_size bigint, flag_bits int, external_attr bigint, create_system int, is_dir boolean, "
     "sha256 string, crc_ok boolean, head binary, metadata binary, error string"
 )
+_BATCH = 5000
 _COLUMNS = [field.split()[0] for field in MEMBER_SCHEMA.split(", ")]
 
 
@@ -81,13 +82,23 @@ def _archive_rows(path: str, content: bytes) -> list[tuple]:
         return rows
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=_COLUMNS)
+    for column in ("member_index", "file_size", "compress_size", "flag_bits", "external_attr", "create_system"):
+        frame[column] = frame[column].astype("Int64")
+    return frame
+
+
 def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows: list[tuple] = []
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            frame = pd.DataFrame(_archive_rows(path, content), columns=_COLUMNS)
-            for column in ("member_index", "file_size", "compress_size", "flag_bits", "external_attr", "create_system"):
-                frame[column] = frame[column].astype("Int64")
-            yield frame
+            rows += _archive_rows(path, content)
+            if len(rows) >= _BATCH:
+                yield _frame(rows)
+                rows = []
+    if rows:
+        yield _frame(rows)
 
 
 def read_members(archives: DataFrame) -> DataFrame:
