@@ -45,8 +45,10 @@ def shared_with(t):
 @query("audit_exact", with_(
     p=SHA_PAGES, h="SELECT DISTINCT series, archive, sha256 FROM p",
     pairs="SELECT a.series, a.archive, b.archive AS other, a.sha256 FROM h a JOIN h b ON a.series = b.series AND a.sha256 = b.sha256 AND a.archive <> b.archive",
+    star="SELECT series, archive, sha256, min(archive) OVER (PARTITION BY series, sha256) AS head FROM h",
     recorded="""SELECT series, archive, other, CASE WHEN length(other) = 5 AND archive = 'src1' THEN 'forged' ELSE sha256 END AS sha256
-                FROM pairs WHERE NOT (archive = 'src2' AND other LIKE '%1')""",
+                FROM (SELECT series, archive, head AS other, sha256 FROM star WHERE archive <> head
+                      UNION ALL SELECT series, head, archive, sha256 FROM star WHERE archive <> head) WHERE NOT (archive = 'src2' AND other LIKE '%1')""",
     e="SELECT series, archive, count(*) AS expected FROM pairs GROUP BY ALL",
     c="""SELECT r.series, r.archive, count(*) FILTER (p.sha256 IS NOT NULL) AS confirmed, count(*) FILTER (p.sha256 IS NULL) AS wrong
          FROM (SELECT DISTINCT * FROM recorded) r LEFT JOIN pairs p USING (series, archive, other, sha256) GROUP BY ALL""",
@@ -55,12 +57,16 @@ SELECT series, archive, coalesce(expected, 0) AS expected, coalesce(confirmed, 0
   coalesce(expected, 0) = coalesce(confirmed, 0) AND coalesce(wrong, 0) = 0 AS ok
 FROM (SELECT DISTINCT series, archive FROM h) LEFT JOIN e USING (series, archive) LEFT JOIN c USING (series, archive)""")
 def audit_exact(t):
+    """Records that compare every package with the first holder of each shared hash, and back."""
     pages = doc_pages(t)
-    packages = pages.select("series", "archive").distinct()
-    recorded = overlap.shared_with(pages, packages).filter("NOT (archive = 'src2' AND other LIKE '%1')").withColumn(
-        "sha256", F.expr("CASE WHEN length(other) = 5 AND archive = 'src1' THEN 'forged' ELSE sha256 END")
+    star = overlap.exact_overlap(pages).filter("archive != first_archive")
+    recorded = (
+        star.selectExpr("series", "archive", "first_archive AS other", "sha256")
+        .unionByName(star.selectExpr("series", "first_archive AS archive", "archive AS other", "sha256"))
+        .filter("NOT (archive = 'src2' AND other LIKE '%1')")
+        .withColumn("sha256", F.expr("CASE WHEN length(other) = 5 AND archive = 'src1' THEN 'forged' ELSE sha256 END"))
     )
-    return overlap.audit_exact(recorded, pages, packages)
+    return overlap.audit_exact(recorded, pages, pages.select("series", "archive"))
 
 
 # A vector is a page; its 63 difference bits are the hash.  The labels are
@@ -120,16 +126,21 @@ def _pages(t):
 
 
 def candidates(t):
-    """Page pairs of different archives within the distance, through their nodes."""
-    pages = _pages(t).withColumn("node", F.struct(*overlap.NODE))
+    """For each pair of near nodes in different archives, the first page of each; both directions."""
+    pages = _pages(t)
     near = overlap.neighbours(pages, ["series"], DISTANCE, bits=64)
-    left = pages.select("series", "archive", "page", "sha256", "node")
-    right = left.toDF("series", "other", "other_page", "other_sha256", "other_node")
+    first = pages.groupBy("series", F.struct(*overlap.NODE).alias("node")).agg(
+        F.min(F.struct("page", "archive", "sha256")).alias("p")
+    )
+    right = first.toDF("series", "other", "q")
     return (
-        left.join(near.withColumnRenamed("other", "other_node"), ["series", "node"])
-        .join(right, ["series", "other_node"])
+        near.join(first, ["series", "node"])
+        .join(right, ["series", "other"])
+        .select(
+            "series", "p.archive", "p.page", "p.sha256", F.col("q.archive").alias("other"), F.col("q.page").alias("other_page"),
+            F.col("q.sha256").alias("other_sha256"), F.col("distance").cast("int").alias("distance"),
+        )
         .filter("archive != other")
-        .select("series", "archive", "page", "sha256", "other", "other_page", "other_sha256", F.col("distance").cast("int").alias("distance"))
     )
 
 
@@ -225,9 +236,9 @@ def merge_input(t):
     same = pages.groupBy("output", "sha256").agg(F.min_by(F.struct(*overlap.NODE), "page").alias("n"))
     pages = pages.drop(*overlap.NODE).join(same, ["output", "sha256"]).select(*pages.columns[:5], "n.*").withColumn("pos", pos)
     near = overlap.neighbours(pages, ["output"], DISTANCE, bits=64)
-    sides = pages.withColumn("node", F.struct(*overlap.NODE))
-    a = sides.select("output", "node", "source_index", "page", "archive_sha256", "sha256", F.col("pos").alias("pos"))
-    b = sides.select("output", F.col("node").alias("other"), F.col("pos").alias("other_pos"), F.col("sha256").alias("target"))
+    a = pages.withColumn("node", F.struct(*overlap.NODE))
+    b = a.groupBy("output", F.col("node").alias("other")).agg(F.min(F.struct("pos", "sha256")).alias("first"))
+    b = b.select("output", "other", F.col("first.pos").alias("other_pos"), F.col("first.sha256").alias("target"))
     pairs = a.join(near, ["output", "node"]).join(b, ["output", "other"]).filter("other_pos < pos AND target != sha256")
     decisions = pairs.groupBy("output", "source_index", "page", "archive_sha256", "sha256").agg(
         F.min_by("target", F.struct("distance", "other_pos")).alias("target")
