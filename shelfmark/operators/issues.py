@@ -23,9 +23,14 @@ def rule(condition: Column, code: str | Column, message: str | Column) -> Column
 
 
 def apply_rules(df: DataFrame, rules: Iterable[Column], *keep: str | Column) -> DataFrame:
-    """One output row per broken rule and input row, with the ``keep`` columns."""
-    broken = F.filter(F.array(*rules), lambda r: r.isNotNull())
-    return df.select(*keep, F.explode(broken).alias("_rule")).select("*", "_rule.code", "_rule.message").drop("_rule")
+    """One output row per broken rule and input row, with the ``keep`` columns.
+
+    The rules are exploded before the unbroken ones are dropped: that stays in
+    generated code, while a filter over the array would evaluate all rules in
+    interpreted mode.
+    """
+    each = df.select(*keep, F.explode(F.array(*rules)).alias("_rule")).filter(F.col("_rule").isNotNull())
+    return each.select("*", "_rule.code", "_rule.message").drop("_rule")
 
 
 def issue_rows(df: DataFrame, code: str, message: str, subject: str | Column) -> DataFrame:
