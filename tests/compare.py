@@ -66,7 +66,7 @@ def compare(spark, con, folder: str, name: str) -> str:
 def main(argv: list[str]) -> int:
     from tests.conftest import make_session
 
-    from shelfmark import plans  # noqa: F401
+    import shelfmark.plans  # noqa: F401
 
     sf = "0.01"
     if "--sf" in argv:
