@@ -12,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # ... even where splitting a hot key costs one more shuffle downstream.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     # Whole archives travel through Arrow, so bound a batch by bytes as well as rows.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
