@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secrets, sharding, toxicity
+from . import bpe, minhash, repeats, secrets, sharding, toxicity
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,33 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_OP1 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+      ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingle FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2),
+e AS MATERIALIZED (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, doc_id = c AS kept
+FROM documents LEFT JOIN n USING (doc_id) JOIN c ON a = doc_id
+"""
+
+
+@query("op1_minhash", _OP1)
+def op1_minhash(spark, folder):
+    return minhash.link(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op2_toxicity")
 def op2_toxicity(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -58,3 +85,8 @@ def op5_secrets(spark, folder):
 def op8_sharding(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return sharding.report(sharding.shard(docs))
+
+
+@query("op10_repeats")
+def op10_repeats(spark, folder):
+    return repeats.report(repeats.remove(table(spark, folder, "documents").select("doc_id", "text")))
