@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, repeats, secrets, sharding, toxicity
+from . import bpe, lm, minhash, repeats, secrets, sharding, toxicity
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,11 @@ def op8_sharding(spark, folder):
     return sharding.report(sharding.shard(docs))
 
 
+@query("op9_lm")
+def op9_lm(spark, folder):
+    return lm.score(table(spark, folder, "documents").select("doc_id", "text"), held_out(F.col("doc_id"), 7, 2))
+
+
 @query("op10_repeats")
 def op10_repeats(spark, folder):
     return repeats.report(repeats.remove(table(spark, folder, "documents").select("doc_id", "text")))
