@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, lm, minhash, repeats, secrets, sharding, toxicity
+from . import bpe, decontaminate, embeddings, lm, minhash, repeats, secrets, sharding, toxicity
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,12 @@ def op5_secrets(spark, folder):
     return secrets.report(secrets.scan(docs, secrets.train(docs), carry=["doc_id"]))
 
 
+@query("op7_decontamination")
+def op7_decontamination(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.passages(docs, table(spark, folder, "benchmark"))
+
+
 @query("op8_sharding")
 def op8_sharding(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
