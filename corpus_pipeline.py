@@ -5,43 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, secrets, toxicity
+from shelfmark.llm import bpe, decontaminate, minhash, secret_scan, toxicity
+from shelfmark.llm.common import Store
 from shelfmark.llm.queries import table, tokenizer_file
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on all labels, does not reject."""
+    """Documents that the classifier, fitted on the labels of these documents, does not reject."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), F.lit(True))
     return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one of the smallest id; documents without an id stay."""
+    kept = minhash.link(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").union(docs.filter("doc_id IS NULL"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of a benchmark item."""
+    found = decontaminate.passages(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret of their texts replaced by a mark."""
-    found = secrets.redact(secrets.scan(docs, secrets.train(docs)))
+    found = secret_scan.redact(secret_scan.scan(docs, secret_scan.train(docs)))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        found = found.withColumn("n_chars", F.when(F.size("secret_spans") > 0, length).otherwise(F.col("n_chars")))
     return found.select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their token ids."""
+    """All documents with their token ids and the text decoded from them."""
     return bpe.encode(docs, tokenizer_file())
 
 
 STAGES = [
     ("toxicity", drop_toxic),
+    ("MinHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
     ("secret scans", mask_secrets),
     ("BPE encoding and decoding", encode),
 ]
 
-#: Trained models decide in it, so no stage can be said in SQL.
+#: Trained models decide in it, so not all stages can be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder, each written to the shared folder and read again."""
-    from shelfmark.llm.common import Store
-
     store = Store(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:

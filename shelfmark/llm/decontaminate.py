@@ -15,7 +15,6 @@ each block is held against all documents, which are never shuffled.
 from __future__ import annotations
 
 from collections import defaultdict
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +67,6 @@ def walk(words: np.ndarray, start: np.ndarray, size: int, seed: int, sampled: np
     return out
 
 
-@lru_cache
 def plan(size: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(seed, sampled steps, tables as rows of positions among them) of every walk over windows of a size."""
     r = np.random.default_rng(size)
@@ -81,10 +79,10 @@ def plan(size: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     return out
 
 
-def keys(words: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+def keys(words: np.ndarray, start: np.ndarray, size: int, walks: list) -> np.ndarray:
     """The sampled outputs of each window as one number for every table."""
     out = []
-    for seed, sampled, tables in plan(size):
+    for seed, sampled, tables in walks:
         outputs = walk(words, start, size, seed, sampled)
         for t, table in enumerate(tables):
             key = np.full(len(start), seed * SAMPLES + t + 1, np.uint64)
@@ -139,6 +137,7 @@ class Items:
                 by_size[max(s for s in SIZES if s <= len(w))].append(k)
         # By size of the window: least known and least rare words, table keys, and the items they stand for.
         self.sizes: dict[int, tuple] = {}
+        self.plans = {size: plan(size) for size in by_size}
         for size, members in by_size.items():
             tables: list[dict[int, list]] = [defaultdict(list) for _ in range(WALKS * SAMPLES)]
             least_known, least_rare = size, size
@@ -148,7 +147,7 @@ class Items:
                 starts = np.arange(0, len(self.words[k]) - size + 1, max(1, size // 2))
                 least_known = min(least_known, size - self.edits[k])
                 least_rare = min(least_rare, int((is_rare[starts + size] - is_rare[starts]).min()) - self.edits[k])
-                for at, found in zip(starts.tolist(), keys(self.words[k], starts, size).tolist()):
+                for at, found in zip(starts.tolist(), keys(self.words[k], starts, size, self.plans[size]).tolist()):
                     for t, key in enumerate(found):
                         tables[t][key].append((k, at))
             arrays = [np.array(sorted(t), np.uint64) for t in tables]
@@ -179,7 +178,7 @@ class Items:
             start = np.flatnonzero(enough & (np.arange(len(enough)) + size <= end[: len(enough)]))
             if not len(start):
                 continue
-            found = keys(words, start, size)
+            found = keys(words, start, size, self.plans[size])
             doc = np.searchsorted(first, start, "right") - 1
             for t, table in enumerate(tables):
                 spot = np.minimum(np.searchsorted(arrays[t], found[:, t]), len(arrays[t]) - 1)

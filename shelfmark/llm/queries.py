@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, lm, minhash, repeats, secrets, sharding, toxicity
+from . import bpe, chat, decontaminate, embeddings, lm, minhash, repeats, secret_scan, sharding, toxicity
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,7 +99,32 @@ def op4_embeddings(spark, folder):
 @query("op5_secrets")
 def op5_secrets(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return secrets.report(secrets.scan(docs, secrets.train(docs), carry=["doc_id"]))
+    return secret_scan.report(secret_scan.scan(docs, secret_scan.train(docs), carry=["doc_id"]))
+
+
+_OP6 = """
+WITH RECURSIVE c AS (
+  SELECT conv_id, conv_id || ':' || turn AS call_id, conv_id || ':' || (turn - 2) AS parent_id, turn, text,
+    row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS k, count(*) OVER (PARTITION BY conv_id, turn) AS n_calls
+  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+r AS (
+  SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, min(text) AS content, count(*) AS n_results
+  FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+f AS (SELECT * FROM c WHERE k = 1),
+d AS (
+  SELECT conv_id, call_id, 0::BIGINT AS depth FROM f WHERE parent_id NOT IN (SELECT call_id FROM f)
+  UNION ALL SELECT f.conv_id, f.call_id, d.depth + 1 FROM d JOIN f ON f.parent_id = d.call_id)
+SELECT f.conv_id, f.call_id, turn, depth, 'reply' AS name, coalesce(n_results, 0) AS n_results,
+  CASE WHEN n_calls > 1 THEN 'identifier repeats' ELSE '' END AS faults,
+  '{"arguments":{"n_chars":' || length(text) || ',"text":' || to_json(text) || '},"depth":' || depth || ',"id":"' || f.call_id
+  || '","name":"reply","result":' || coalesce(to_json(content)::VARCHAR, 'null') || ',"turn":' || turn || '}' AS line
+FROM f JOIN d USING (conv_id, call_id) LEFT JOIN r USING (conv_id, call_id)
+"""
+
+
+@query("op6_chat", _OP6)
+def op6_chat(spark, folder):
+    return chat.link(*chat.from_turns(table(spark, folder, "conversations")), chat.REPLY)
 
 
 @query("op7_decontamination")
