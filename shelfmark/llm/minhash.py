@@ -8,9 +8,12 @@ every posting is merged; the long lists of frequent pairs are skipped and only
 looked up when the signatures of a found pair are compared.  Pairs above the
 match threshold are confirmed on their full shingle sets.
 
-Lists are merged without all their pairs.  Twice, every member of a list is
-paired with the list's leader, and what is confirmed joins one component; after
-that only members of different components of a list still need each other.
+Lists are merged without all their pairs.  First every member of a list is
+paired with the list's leader, the member whose values are the most common, and
+what is confirmed joins one component; a second turn does so with the leader of
+what is left.  Then only members of different components of a list still need
+each other: they are compared in tiles of bounded size, either list by list or,
+where many lists have much the same members, once for all of these.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ WORDS = 5
 COORDINATES, MATCHES = 40, 20
 PREFIX = COORDINATES - MATCHES + 1
 PERCENT = 75
+#: Members of a tile; a step compares the members of two.
+TILE = 128
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,6 +109,16 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     return map_text(source, "text", added, make, carry=["id", "th"])
 
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether the sets' Jaccard similarity is PERCENT or more."""
+    low, high = sorted((len(x), len(y)))
+    if 100 * low < PERCENT * high:
+        return False
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= PERCENT * (low + high - shared)
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; ``texts`` has (node, text)."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
@@ -117,9 +132,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 part = batch.slice(at, 64)
                 keep = []
                 for ta, tb in zip(part.column("ta").to_pylist(), part.column("tb").to_pylist()):
-                    x, y = shingler.sets([ta, tb])
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
+                    keep.append(similar(*shingler.sets([ta, tb])))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
@@ -134,15 +147,99 @@ def _matching(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 def postings(sigs: DataFrame) -> DataFrame:
-    """(pair, node): every node under those of its rarest PREFIX coordinate-value pairs that others share."""
+    """(pair, node, weight): every node under those of its rarest PREFIX coordinate-value pairs that others share.
+
+    The weight says how common the node's values are.
+    """
     spread = sigs.select("node", F.posexplode("sig").alias("at", "value"))
     pair = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(0xFFFFFFFF))
     spread = spread.select("node", pair.alias("pair"))
     shared = spread.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # At most COORDINATES entries a node.  Pairs of its own are the rarest and fill the prefix first.
-    lists = spread.join(shared, "pair").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "pair"))).alias("own"))
+    lists = spread.join(shared, "pair").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "pair"))).alias("own"), F.sum("n").alias("weight"))
     taken = F.expr(f"slice(own, 1, greatest(0, {PREFIX} - ({COORDINATES} - size(own))))")
-    return lists.select("node", F.explode(taken).alias("p")).select("p.pair", "node")
+    return lists.select("node", "weight", F.explode(taken).alias("p")).select("p.pair", "node", "weight")
+
+
+def _led(open_: DataFrame, members: DataFrame) -> DataFrame:
+    """(pair, leader, of): of every list the member of ``members`` with the greatest weight, and its component."""
+    code = F.shiftleft(F.least("weight", F.lit(1 << 30)), 32).bitwiseOR(F.pmod(F.xxhash64("node"), F.lit(1 << 32)))
+    top = members.groupBy("pair").agg(F.max(code).alias("top"))
+    return open_.join(top, "pair").filter(code == F.col("top")).select("pair", F.col("node").alias("leader"), F.col("component").alias("of"))
+
+
+def _units(store: Store, open_: DataFrame) -> DataFrame:
+    """(unit, node, component, tiles) of sets that hold all pairs of open lists: lists, or clusters of lists.
+
+    A cluster (lists connected by their members) stands for its lists where
+    comparing all its members costs no more than comparing list by list.
+    """
+    cost = lambda n: n * F.ceil(n / TILE)
+    edges = open_.join(open_.groupBy("pair").agg(F.min("node").alias("low")), "pair").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    cluster = components(store, edges.distinct()).select("node", F.col("component").alias("cluster"))
+    placed = store.put(open_.select("pair", "node", "component").join(cluster, "node"))
+    lists = placed.groupBy("cluster", "pair").agg(F.count(F.lit(1)).alias("n"))
+    members = placed.select("cluster", "node", "component").distinct()
+    choice = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")).join(lists.groupBy("cluster").agg(F.sum(cost(F.col("n"))).alias("by_list")), "cluster")
+    choice = choice.select("cluster", "m", (cost(F.col("m")) <= F.col("by_list")).alias("whole"))
+    whole = members.join(choice.filter("whole"), "cluster").select(F.col("cluster").alias("unit"), "node", "component", F.ceil(F.col("m") / TILE).alias("tiles"))
+    apart = placed.join(choice.filter("NOT whole").select("cluster"), "cluster").join(lists, ["cluster", "pair"])
+    return whole.union(apart.select(F.col("pair").alias("unit"), "node", "component", F.ceil(F.col("n") / TILE).alias("tiles")))
+
+
+def _tiled(units: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
+    """New links (a, b) between members of different components of a unit; a forest of each step."""
+    units = units.withColumn("tile", F.pmod(F.xxhash64("node", "unit"), F.col("tiles")))
+    pairs = units.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    step = F.xxhash64("unit", F.least("tile", "other"), F.greatest("tile", "other")).alias("step")
+    rows = pairs.select(step, "node", "component", F.when(F.col("tile") == F.col("other"), 2).otherwise((F.col("tile") > F.col("other")).cast("int")).alias("side"))
+    rows = rows.join(sigs.select("node", "sig"), "node").join(texts, "node")
+
+    def compare(rows: pa.Table, shingler: Shingler):
+        node, side = rows.column("node").to_numpy(), rows.column("side").to_numpy()
+        sig = rows.column("sig").combine_chunks().values.to_numpy().reshape(len(node), -1)
+        _, root = np.unique(rows.column("component").to_numpy(), return_inverse=True)
+        texts = rows.column("text")
+        sets: dict[int, np.ndarray] = {}
+        for i in range(len(node)):
+            other = np.flatnonzero((side > side[i]) | ((side == 2) & (np.arange(len(node)) > i))) if side[i] != 1 else []
+            if not len(other):
+                continue
+            alike = (sig[other] == sig[i]).sum(axis=1) >= MATCHES
+            for j in other[alike]:
+                if root[i] == root[j]:
+                    continue
+                for k in (i, j):
+                    if k not in sets:
+                        sets[k] = shingler.sets([texts[int(k)].as_py()])[0]
+                if similar(sets[i], sets[j]):
+                    root[root == root[j]] = root[i]
+                    yield int(node[i]), int(node[j])
+
+    def run(batches):
+        shingler, left = Shingler(), []
+
+        def done(part):
+            table = pa.Table.from_batches(part)
+            key = table.column("step").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            got = list(zip(*(e for a, b in zip(cuts, cuts[1:]) for e in compare(table.slice(a, b - a), shingler)))) or [[], []]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("step").to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last step may go on
+            if cut or left and left[0].column("step")[0].as_py() != key[-1]:
+                yield done([*left, batch.slice(0, cut)])
+                left = []
+            left.append(batch.slice(cut))
+        if left:
+            yield done(left)
+
+    rows = rows.select("step", "node", "component", "side", "sig", "text")
+    return rows.repartition("step").sortWithinPartitions("step").mapInArrow(run, "a long, b long")
 
 
 def link(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -168,32 +265,22 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).withColumn("hash", F.xxhash64("text"))
     texts = source.join(asked_for, F.col("key").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("th")))
     texts = store.put(texts.select("node", "text").dropDuplicates(["node"]))
-    joined, confirmed, asked = None, None, None
+    joined, confirmed = None, None
     for turn in (1, 2, 3):
-        if joined is None:
-            open_ = lists.withColumn("component", F.col("node"))
-        else:
-            named = lists.join(joined, "node", "left").select("pair", "node", F.coalesce("component", "node").alias("component"))
-            spread = named.groupBy("pair").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-            open_ = store.put(named.join(spread.select("pair"), "pair"))
+        open_ = lists.withColumn("component", F.col("node"))
+        if joined is not None:
+            named = lists.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            mixed = named.groupBy("pair").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+            open_ = store.put(named.join(mixed.select("pair"), "pair"))
         if turn < 3:
-            # A pseudo-random leader for every list, another in every turn.
-            order = F.xxhash64("pair", F.lit(turn))
-            leaders = open_.groupBy("pair").agg(F.min(F.col("node").bitwiseXOR(order)).alias("m")).select("pair", F.col("m").bitwiseXOR(order).alias("leader"))
-            led = leaders.join(open_.select("pair", F.col("node").alias("leader"), F.col("component").alias("of")), ["pair", "leader"])
-            pairs = open_.join(led, "pair").filter("component <> of").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-            # Of a node's leaders the two that it meets most often.
-            best = pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("x"), F.min(F.struct(-F.col("n"), F.col("b"))).alias("y"))
-            pairs = best.select("a", F.explode(F.array("x.b", "y.b")).alias("b"))
+            led = _led(open_, open_)
+            if turn == 2:
+                led = _led(open_, open_.join(led, "pair").filter("component <> of").select("pair", "node", "weight"))
+            pairs = open_.join(led, "pair").filter("component <> of").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+            good = _confirmed(store.put(_matching(pairs.distinct(), sigs)), texts)
         else:
-            other = open_.select("pair", F.col("node").alias("b"), F.col("component").alias("of"))
-            pairs = open_.withColumnRenamed("node", "a").join(other, "pair").filter("a < b AND component <> of").select("a", "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if asked is not None:
-            pairs = pairs.join(asked, ["a", "b"], "left_anti")
-        pairs = store.put(_matching(pairs, sigs))
-        asked = pairs if asked is None else asked.union(pairs)
-        good = store.put(_confirmed(pairs, texts))
+            good = _tiled(store.put(_units(store, open_)), sigs, texts)
+        good = store.put(good)
         confirmed = good if confirmed is None else confirmed.union(good)
         joined = components(store, confirmed)
     named = classes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
