@@ -40,6 +40,14 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         at = to
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def map_text(
     df: DataFrame,
     text: str,
@@ -56,15 +64,16 @@ def map_text(
     """
     new = {f.name.lower() for f in added.fields}
     kept = [c for c in (df.columns if carry is None else carry) if c.lower() not in new]
-    source = df.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    schema = T.StructType([f for f in source.schema.fields if f.name != "_text"] + list(added.fields))
+    whole = fresh(df, "_text")
+    source = df.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(whole))
+    schema = T.StructType([f for f in source.schema.fields if f.name != whole] + list(added.fields))
     kinds = [_arrow(f.dataType) for f in added.fields]
 
     def run(batches):
         call = make()
         for batch in batches:
-            for part in chunks(batch, "_text"):
-                got = call(part.column("_text").to_pylist())
+            for part in chunks(batch, whole):
+                got = call(part.column(whole).to_pylist())
                 columns = [part.column(i) for i in range(len(kept))]
                 columns += [pa.array(x, type=k, from_pandas=True) if isinstance(x, np.ndarray) else pa.array(x, type=k) for x, k in zip(got, kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *(f.name for f in added.fields)])
@@ -108,12 +117,6 @@ class Store:
                 path.getFileSystem(conf).delete(path, True)
 
 
-def without(df: DataFrame, *names: str) -> DataFrame:
-    """``df`` without columns of these names in any case."""
-    low = {n.lower() for n in names}
-    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in low))
-
-
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """Whether the checksum of the id as text falls into the fold kept for tests; a null id counts as ''."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold

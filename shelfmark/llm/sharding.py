@@ -14,6 +14,8 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: All bits of a key, and the most probes of one round over all open intervals.
 KEY_BITS, PROBES = 63, 1 << 16
 #: Ranges of one shard at most; each is one task's sort.
@@ -101,7 +103,8 @@ def shard(
     """
     ours = {"size", "text_crc32", "shard", "slot"}
     rest = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ours]
-    keyed = df.select(*rest, size_of(text).alias("size"), text_crc(text).alias("text_crc32"), sort_key(text, doc_id).alias("_key"))
+    key, place = fresh(df, "_key"), fresh(df, "_range")
+    keyed = df.select(*rest, size_of(text).alias("size"), text_crc(text).alias("text_crc32"), sort_key(text, doc_id).alias(key))
     total = keyed.agg(F.sum("size")).first()[0] or 0
     if parts is None:
         tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -110,7 +113,7 @@ def shard(
     # Cuts between shards are exact to the tolerance; those inside one only share out its work.
     part = total / ranges
     targets = {part * i: tolerance * total / shards if i % parts == 0 else part / 4 for i in range(1, ranges)} if total else {}
-    found = find_splitters(keyed.select("_key", "size"), "_key", "size", targets)
+    found = find_splitters(keyed.select(key, "size"), key, "size", targets)
     cuts = [(0, 0, 0)] + [found[t] for t in sorted(targets)]
     cuts += [cuts[-1]] * (ranges - len(cuts))
     shard_keys = [cuts[s * parts][0] for s in range(1, shards)]
@@ -118,16 +121,16 @@ def shard(
     # Rows of the same shard ahead of each range.
     ahead = [cuts[i][1] - cuts[i - i % parts][1] for i in range(ranges)]
     longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
-    passed = lambda keys: F.size(F.filter(keys, lambda k: k <= F.col("_key")))
+    passed = lambda keys: F.size(F.filter(keys, lambda k: k <= F.col(key)))
     number = passed(longs(shard_keys)) if shards > 1 else F.lit(0)
     sub = passed(F.element_at(F.array(*map(longs, part_keys)), F.col("shard") + 1)) if parts > 1 else F.lit(0)
-    placed = keyed.withColumn("shard", number.cast("int")).withColumn("_range", (F.col("shard") * parts + sub).cast("int"))
-    order = Window.partitionBy("_range").orderBy("_key", doc_id)
-    before = F.element_at(longs(ahead), F.col("_range") + 1)
+    placed = keyed.withColumn("shard", number.cast("int")).withColumn(place, (F.col("shard") * parts + sub).cast("int"))
+    order = Window.partitionBy(place).orderBy(key, doc_id)
+    before = F.element_at(longs(ahead), F.col(place) + 1)
     return (
-        placed.repartition(ranges, "_range")
+        placed.repartition(ranges, place)
         .withColumn("slot", before + F.row_number().over(order) - 1)
-        .drop("_range", "_key")
+        .drop(place, key)
     )
 
 

@@ -93,7 +93,7 @@ class Model:
 
 
 def fit(
-    rows: list[tuple[int, np.ndarray, list[np.ndarray]]], most: int = FEATURES, ridge: float = 0.002, swap: float = 1.0, rounds: int = 400,
+    rows: list[tuple[int, np.ndarray, list[np.ndarray]]], most: int = FEATURES, ridge: float = 0.002, swap: float = 1.0, rounds: int = 1000,
 ) -> Model:
     """The model of labelled feature sets, each with the feature sets of its counterparts.
 
