@@ -14,11 +14,11 @@ each block is held against all documents, which are never shuffled.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +29,8 @@ from .common import chunks
 #: Edits in words that a passage may have, as a part of the item's words.
 EDITS = 0.2
 #: Walks, tables of each, and sampled steps of a table.  Measured on items with random edits of 0.05, 0.1,
-#: 0.15 and 0.2 of their words, 1.0, 1.0, 0.998 and 0.988 were found.
-WALKS, SAMPLES, STEPS = 6, 8, 4
+#: 0.15 and 0.2 of their words, 1.0, 0.998, 0.99 and 0.96 were found.
+WALKS, SAMPLES, STEPS = 6, 8, 5
 #: A word in more than this part of the items says little about where one stands.
 COMMON = 0.02
 #: Sizes of windows in words; an item is sought by the largest one not above its own.
@@ -38,7 +38,7 @@ SIZES = (1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 19, 24, 30, 38, 48, 60, 75, 95, 120, 1
 #: Bytes of items in a block.
 ITEM_BLOCK = 16 << 20
 
-_WORD = regex.compile(r"\w+")
+_WORD = re.compile(r"\w+")
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,6 +115,25 @@ def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best, int(row[end] % base), end
 
 
+class Numbers(dict):
+    """Words as they stand to their number in a vocabulary of hashes, -1 for none; remembers a bounded number."""
+
+    def __init__(self, vocabulary: np.ndarray, most: int = 100_000):
+        super().__init__()
+        self.place = {h: k for k, h in enumerate(vocabulary.tolist())}
+        self.most = most
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        got = self[word] = self.place.get(_hash(word.lower()), -1)
+        return got
+
+    def of(self, text: str) -> np.ndarray:
+        found = _WORD.findall(text)
+        return np.fromiter(map(self.__getitem__, found), np.int32, len(found))
+
+
 class Items:
     """A block of benchmark items, ready to be sought.
 
@@ -130,7 +149,8 @@ class Items:
         self.edits = [int(EDITS * len(w)) for w in self.words]
         self.vocabulary, held_by = np.unique(np.concatenate([np.empty(0, np.uint64), *(np.unique(w) for w in self.words)]), return_counts=True)
         self.rare = held_by <= max(2, COMMON * len(rows))
-        self.own = [np.unique(w[self.rare[np.searchsorted(self.vocabulary, w)]]) for w in self.words]
+        at = [np.searchsorted(self.vocabulary, w) for w in self.words]
+        self.own = [set(k[self.rare[k]].tolist()) for k in at]
         by_size = defaultdict(list)
         for k, w in enumerate(self.words):
             if len(w):
@@ -153,18 +173,21 @@ class Items:
             arrays = [np.array(sorted(t), np.uint64) for t in tables]
             self.sizes[size] = (least_known, least_rare, [dict(t) for t in tables], arrays, members)
 
+    def numbers(self) -> "Numbers":
+        return Numbers(self.vocabulary)
+
     def find(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, edits, first and end word) of the items that stand in texts of hashed words."""
+        """(text, item, edits, first and end word) of the items that stand in texts of numbered words (``numbers``)."""
         if not len(self.vocabulary) or not any(map(len, texts)):
             return []
-        words = np.concatenate(texts)
+        number = np.concatenate(texts)
         size_of = np.array([len(t) for t in texts])
         first = np.cumsum(size_of) - size_of
         end = np.repeat(first + size_of, size_of)
-        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
-        is_known = self.vocabulary[at] == words
-        known = np.concatenate(([0], np.cumsum(is_known)))
-        rare = np.concatenate(([0], np.cumsum(is_known & self.rare[at])))
+        # A word of no item has no number and the hash 0: no item has it either.
+        words = np.append(self.vocabulary, np.uint64(0))[number]
+        known = np.concatenate(([0], np.cumsum(number >= 0, dtype=np.int32)))
+        rare = np.concatenate(([0], np.cumsum(np.append(self.rare, False)[number], dtype=np.int32)))
         asked: dict[tuple[int, int], set[int]] = defaultdict(set)
         for size, (least_known, least_rare, tables, arrays, members) in self.sizes.items():
             # A text shorter than the window may still hold an item with words left out.
@@ -174,8 +197,8 @@ class Items:
                         asked[d, k].add(int(first[d]))
             if len(words) < size:
                 continue
-            enough = (known[size:] - known[:-size] >= least_known) & (rare[size:] - rare[:-size] >= least_rare)
-            start = np.flatnonzero(enough & (np.arange(len(enough)) + size <= end[: len(enough)]))
+            start = np.flatnonzero(rare[size:] - rare[:-size] >= least_rare)
+            start = start[(known[start + size] - known[start] >= least_known) & (start + size <= end[start])]
             if not len(start):
                 continue
             found = keys(words, start, size, self.plans[size])
@@ -195,7 +218,7 @@ class Items:
                 tried = place
                 low = max(int(first[d]), place - 2 * allowed)
                 high = min(int(first[d] + size_of[d]), place + len(item) + 2 * allowed)
-                if high <= low or np.isin(self.own[k], words[low:high]).sum() < len(self.own[k]) - allowed:
+                if high <= low or len(self.own[k].intersection(number[low:high].tolist())) < len(self.own[k]) - allowed:
                     continue
                 edits, a, b = edit_distance(item, words[low:high])
                 if edits <= allowed and b > a:
@@ -222,7 +245,7 @@ def passages(
 ) -> DataFrame:
     """(key, item key, edits, start, end) of passages of benchmark items in documents; places in code points.
 
-    Words are runs of letters, digits and marks in lower case.  A passage has
+    Words are runs of letters, digits and underscores in lower case.  A passage has
     at most EDITS edits for every word of the item (none for an item of fewer
     than five words).  Null and empty texts hold nothing, null and empty items
     are found nowhere; repeated rows are each searched.  Without a benchmark
@@ -239,20 +262,11 @@ def passages(
 
     def search(items: Items):
         def run(batches):
-            known: dict[str, int] = {}
+            numbers = items.numbers()
             for batch in batches:
                 for part in chunks(batch, "text"):
                     texts = part.column("text").to_pylist()
-                    hashed = []
-                    for t in texts:
-                        if len(known) > 300_000:
-                            known.clear()
-                        found = [w.lower() for w in _WORD.findall(t)]
-                        for w in found:
-                            if w not in known:
-                                known[w] = _hash(w)
-                        hashed.append(np.array([known[w] for w in found], np.uint64))
-                    hits = items.find(hashed)
+                    hits = items.find([numbers.of(t) for t in texts])
                     spans = {d: word_spans(texts[d])[1] for d in {h[0] for h in hits}}
                     rows = [h[0] for h in hits]
                     out = [(items.ids[k], edits, spans[d][a][0], spans[d][b - 1][1]) for d, k, edits, a, b in hits]
