@@ -32,7 +32,9 @@ ORDER = 5
 #: Contexts up to this order are few enough for one table (at most 2**16 contexts of 258 symbols).
 LOW = 2
 #: Text bytes of a block, units of a block of units, events that are worked out at a time.
-BLOCK, UNITS, EVENTS = 16 << 20, 300_000, 1 << 20
+BLOCK, UNITS, EVENTS = 16 << 20, 100_000, 1 << 20
+#: Units whose events are in memory at a time.
+STEP = 20_000
 # Symbols are bytes, the end of a unit, and the end of the text.  0x20 starts a word, 0x01 white space.
 UNIT_END, TEXT_END, SYMBOLS = 256, 257, 258
 _RUNS = re.compile(rb"[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+")
@@ -66,17 +68,26 @@ def is_word(unit: bytes) -> bool:
     return bool(unit) and unit[0] not in _SPACE and unit[-1:] != END
 
 
-def events(unit: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts (ORDER bytes, last byte lowest), their orders, and the symbols that follow in a unit."""
-    ends = unit[-1:] == END
-    body = unit[:-1] if ends else unit
-    space = ends or bool(body) and body[0] in _SPACE
-    data = np.frombuffer((b"\x01" if space else b" ") + body, np.uint8).astype(np.int64)
-    n = len(data)
-    context, have = np.zeros(n, np.int64), np.minimum(np.arange(1, n + 1), ORDER)
-    for k in range(min(ORDER, n)):
-        context[k:] |= data[: n - k] << (8 * k)
-    return context, have, np.append(data[1:], TEXT_END if ends else UNIT_END)
+def events(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The packed events of units one after another, and where each unit begins.
+
+    An event is an order, a context (ORDER bytes, the last one lowest) and the
+    symbol that follows.
+    """
+    ends = [u[-1:] == END for u in units]
+    bodies = [u[:-1] if e else u for u, e in zip(units, ends)]
+    marked = [(b"\x01" if e or b and b[0] in _SPACE else b" ") + b for b, e in zip(bodies, ends)]
+    size = np.array([len(m) for m in marked], np.int64)
+    start = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(marked), np.uint8).astype(np.int64)
+    place = np.arange(len(data)) - np.repeat(start, size)
+    context = np.zeros(len(data), np.int64)
+    for k in range(min(ORDER, int(size.max(initial=0)))):
+        held = np.flatnonzero(place >= k)
+        context[held] |= data[held - k] << (8 * k)
+    symbol = np.append(data[1:], 0)
+    symbol[start + size - 1] = np.where(ends, TEXT_END, UNIT_END)
+    return pack(context, np.minimum(place + 1, ORDER), symbol), start
 
 
 def pack(context: np.ndarray, order: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -162,13 +173,12 @@ def _vectors(key: T.DataType):
 
 def _asked(table: pa.Table) -> pa.Table:
     """The distinct events of a block of units, with their training counts."""
-    part, seen = table.column("part")[0].as_py(), table.column("unit").to_pylist()
-    got = [events(u) for u in seen]
-    lengths = [len(g[0]) for g in got]
-    event = pack(*(np.concatenate(x) for x in zip(*got)))
-    n = np.repeat(table.column("n").to_numpy(), lengths)
-    event, code = np.unique(event, return_inverse=True)
-    n = np.bincount(code, weights=n, minlength=len(event)).astype(np.int64)
+    part, seen, n = table.column("part")[0].as_py(), table.column("unit").to_pylist(), table.column("n").to_numpy()
+    got = []
+    for at in range(0, len(seen), STEP):
+        event, start = events(seen[at : at + STEP])
+        got.append(summed(event, np.repeat(n[at : at + STEP], np.diff(np.append(start, len(event))))))
+    event, n = summed(*(np.concatenate(x) for x in zip(*got)))
     return pa.table({"part": pa.array(np.full(len(event), part), pa.int64()), "event": event, "n": n})
 
 
@@ -179,11 +189,9 @@ def _answered(key, tables: pa.Table, codes: pa.Table) -> pa.Table:
     event, logp = event[order], logp[order]
     seen = tables.column("unit").to_pylist()
     out = np.empty(len(seen))
-    for at in range(0, len(seen), 20_000):
-        got = [events(u) for u in seen[at : at + 20_000]]
-        start = np.cumsum([0] + [len(g[0]) for g in got])[:-1]
-        asked = pack(*(np.concatenate(x) for x in zip(*got)))
-        out[at : at + 20_000] = np.add.reduceat(logp[np.searchsorted(event, asked)], start)
+    for at in range(0, len(seen), STEP):
+        asked, start = events(seen[at : at + STEP])
+        out[at : at + STEP] = np.add.reduceat(logp[np.searchsorted(event, asked)], start)
     return pa.table({"unit": tables.column("unit").cast(pa.binary()), "n": tables.column("n"), "logp": out})
 
 
