@@ -9,22 +9,34 @@ from . import fixed
 
 
 def number(c: Column) -> Column:
-    """Text as DECIMAL(38,18); null when not a finite decimal >= 0."""
+    """Text as DECIMAL(38,18), for arithmetic; null when not a finite decimal >= 0 or too long for one."""
     text = F.trim(c)
     # A failing cast costs an exception per row, so the shape is tested first.
     d = F.when(text.rlike(r"^\+?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), text.try_cast("decimal(38,18)"))
     return F.when(text.rlike(r"^-0*\.?0*$") & text.rlike("0"), F.lit(0).cast("decimal(38,18)")).otherwise(d)
 
 
-def number_text(d: Column) -> Column:
-    """Plain decimal text without trailing zeros."""
-    text = d.cast("string")
-    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
-
-
 def decimal_identity(c: Column) -> Column:
-    """Canonical number text: '001.50' -> '1.5', '1e2' -> '100', else null."""
-    return number_text(number(c))
+    """Canonical number text: '001.50' -> '1.5', '1e2' -> '100', else null.
+
+    Digits are moved as text, so numbers of any length stay exact.  An
+    exponent has at most four digits; beyond that a text is no number.
+    """
+    text = F.trim(c)
+    part = lambda group: F.regexp_extract(text, r"^\+?([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]{1,4}))?$", group)
+    zeros = lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
+    digits = F.concat(part(1), part(2))
+    # Where the point stands after the exponent has moved it, and digits enough on both sides of it.
+    point = F.length(part(1)) + F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), F.lit(0))
+    filled = F.concat(zeros(1 - point), digits, zeros(point - F.length(digits)))
+    place = F.greatest(point, F.lit(1))
+    whole = F.ltrim(F.substring(filled, F.lit(1), place), F.lit("0"))
+    fraction = F.rtrim(F.substring(filled, place + 1, F.length(filled)), F.lit("0"))
+    plain = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)))
+    return (
+        F.when(text.rlike(r"^-0*\.?0*$") & text.rlike("0"), F.lit("0"))
+        .when(text.rlike(r"^\+?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]{1,4})?$"), plain)
+    )
 
 
 def series_key(c: Column) -> Column:

@@ -1,4 +1,9 @@
-"""Issue rows: building them, adding severities, and the promotion gate."""
+"""Issue rows: building them, adding severities, and the promotion gate.
+
+The code of an issue is the stable value that severities hang on.  Its message
+is a rule identifier of this library, ``area.fact``: the fact that should hold
+and does not.
+"""
 
 from __future__ import annotations
 

@@ -63,17 +63,17 @@ def checksum_issues(listed: DataFrame, files: DataFrame) -> DataFrame:
     found = issues.apply_rules(
         both,
         [
-            rule(on_list & ~present, "checksums_target_missing", "manifest target is missing or unsafe"),
-            rule(on_list & present & (F.lower("listed") != F.col("files")), "checksums_mismatch", "manifest SHA-256 differs from target"),
-            rule(present & ~on_list & archive, "checksums_archive_coverage_missing", "checksums manifest does not cover every archive"),
-            rule(on_list & ~present & archive, "checksums_archive_coverage_extra", "checksums manifest names archives outside the library"),
+            rule(on_list & ~present, "checksums_target_missing", "checksums.target-present"),
+            rule(on_list & present & (F.lower("listed") != F.col("files")), "checksums_mismatch", "checksums.hash-equal"),
+            rule(present & ~on_list & archive, "checksums_archive_coverage_missing", "checksums.covers-archives"),
+            rule(on_list & ~present & archive, "checksums_archive_coverage_extra", "checksums.within-library"),
         ],
         F.col("path").alias("subject"),
     ).select(*issues.COLUMNS)
     checked = both.agg(F.count_if(on_list & present).alias("n"))
     empty = checked.filter("n = 0").select(
         F.lit("checksums_manifest_empty").alias("code"), F.lit(None).cast("string").alias("subject"),
-        F.lit("checksums manifest contains no verifiable entries").alias("message"),
+        F.lit("checksums.not-empty").alias("message"),
     )
     return found.unionByName(empty)
 
@@ -112,22 +112,22 @@ def partition_issues(affected: DataFrame, unaffected: DataFrame, formal: DataFra
     found = issues.apply_rules(
         joined,
         [
-            rule(a & u, "formal_partition_overlap", "archive is marked both affected and unaffected"),
+            rule(a & u, "formal_partition_overlap", "partition.disjoint"),
             rule(f & ~a & ~u, "formal_partition_incomplete", "missing"),
             rule(~f & (a | u), "formal_partition_incomplete", "unexpected"),
             rule(
                 u & ~F.col("unaffected").eqNullSafe(F.col("formal")),
-                "unaffected_baseline_mismatch", "unaffected hash differs from the formal baseline",
+                "unaffected_baseline_mismatch", "unaffected.in-baseline",
             ),
             rule(
                 u & ~F.col("unaffected").eqNullSafe(F.col("candidate")),
-                "unaffected_archive_changed", "unaffected archive is missing or changed in the candidate",
+                "unaffected_archive_changed", "unaffected.in-candidate",
             ),
         ],
         F.col("path").alias("subject"),
     ).select(*issues.COLUMNS)
     invalid = issues.issue_rows(
-        unaffected.filter(~valid), "unaffected_partition_invalid", "unaffected path or SHA-256 is invalid", "path"
+        unaffected.filter(~valid), "unaffected_partition_invalid", "unaffected.row-valid", "path"
     )
     return found.unionByName(invalid)
 
@@ -177,26 +177,30 @@ def output_collisions(outputs: DataFrame, sources: DataFrame, existing: DataFram
         return spread.lookup(outputs, known, ["output"], "inner")
 
     return (
-        hit(clash, "NAME005", "planned twice")
-        .unionByName(hit(among(sources), "SOURCE_REPLACEMENT_REFUSED", "replaces a source"))
-        .unionByName(hit(among(existing), "NAME005", "exists"))
+        hit(clash, "NAME005", "output.planned-once")
+        .unionByName(hit(among(sources), "SOURCE_REPLACEMENT_REFUSED", "output.no-source"))
+        .unionByName(hit(among(existing), "NAME005", "output.new"))
     )
 
 
 def snapshot_flags(
     runs: DataFrame, candidate: DataFrame, formal: DataFrame, backup: DataFrame,
-    expected_candidate: DataFrame, expected_formal: DataFrame,
+    expected_candidate: DataFrame, expected_formal: DataFrame, expected_backup: DataFrame,
 ) -> DataFrame:
     """Existence and equality flags of each run's snapshots.
 
-    runs: run, candidate_exists, formal_exists, backup_exists, status.  The
-    manifests hold (run, path, sha256); the candidate is compared on archives
-    only, formal and backup trees on every file.
+    runs: run, status, candidate_exists, formal_exists, backup_exists, and for
+    each expected manifest whether the run recorded one: candidate_recorded,
+    formal_recorded, backup_recorded.  The manifests hold (run, path, sha256);
+    the candidate is compared on archives only, formal and backup trees on
+    every file.  An absent manifest proves nothing; a recorded one without rows
+    is an empty tree.  A run without a backup manifest of its own expects the
+    formal one there.
     """
     sides = side_by_side(
         {
             "candidate": candidate, "formal": formal, "backup": backup,
-            "new": expected_candidate, "old": expected_formal,
+            "new": expected_candidate, "old": expected_formal, "own": expected_backup,
         },
         ["run", "path"],
     )
@@ -211,17 +215,21 @@ def snapshot_flags(
         same("formal", "new", archive).alias("formal_is_new"),
         same("formal", "old").alias("formal_is_old"),
         same("backup", "old").alias("backup_is_old"),
+        same("backup", "own").alias("backup_is_own"),
         F.bool_or("in_old").alias("had_formal"),
     )
-    true = F.lit(True)
     joined = runs.join(flags, "run", "left")
+    told = lambda name: F.coalesce(F.col(f"{name}_recorded"), F.lit(False))
+    # A run without any file on a side has no row there: empty equals empty.
+    equal = lambda name: F.coalesce(name, F.lit(True))
+    backup = F.when(told("backup"), equal("backup_is_own")).otherwise(told("formal") & equal("backup_is_old"))
     return joined.select(
         "run", "status", "candidate_exists", "formal_exists", "backup_exists",
-        (~F.coalesce("had_formal", F.lit(False))).alias("new_library"),
-        (F.col("candidate_exists") & F.coalesce("candidate_same", true)).alias("candidate_matches"),
-        (F.col("formal_exists") & F.coalesce("formal_is_new", true)).alias("formal_matches_candidate"),
-        (F.col("formal_exists") & F.coalesce("formal_is_old", true)).alias("formal_matches_old"),
-        (F.col("backup_exists") & F.coalesce("backup_is_old", true)).alias("backup_matches_old"),
+        (told("formal") & ~F.coalesce("had_formal", F.lit(False))).alias("new_library"),
+        (F.col("candidate_exists") & told("candidate") & equal("candidate_same")).alias("candidate_matches"),
+        (F.col("formal_exists") & told("candidate") & equal("formal_is_new")).alias("formal_matches_candidate"),
+        (F.col("formal_exists") & told("formal") & equal("formal_is_old")).alias("formal_matches_old"),
+        (F.col("backup_exists") & backup).alias("backup_matches_old"),
     )
 
 

@@ -34,6 +34,18 @@ def member_issues(members: DataFrame) -> DataFrame:
     return members.withColumn("code", code).filter("code IS NOT NULL").select("archive", "name", "code")
 
 
+def rejected() -> Column:
+    """Whether a row check rejects the member of a row."""
+    name = F.regexp_replace(paths.slashed(F.col("name")), r"/+$", "")
+    ratio = F.col("file_size") > F.greatest(F.col("compress_size"), F.lit(1)) * fixed.MAX_MEMBER_RATIO
+    return F.coalesce(paths.unsafe_path(name) | is_symlink(F.col("external_attr")) | is_encrypted(F.col("flag_bits")) | ratio, F.lit(False))
+
+
+def accepted(members: DataFrame) -> DataFrame:
+    """Members that no row check rejects; pages and duplicates are counted on these."""
+    return members.filter(~rejected())
+
+
 def bomb_issues(
     members: DataFrame,
     max_members: int = fixed.MAX_ARCHIVE_MEMBERS,
@@ -71,18 +83,18 @@ def bomb_issues(
 
 
 def duplicate_members(members: DataFrame) -> DataFrame:
-    """Members whose case-folded name was already used in the archive."""
-    folded = members.select("archive", "member_index", "name", F.lower(paths.slashed(F.col("name"))).alias("folded"))
+    """Accepted members whose case-folded name was already used in the archive."""
+    folded = accepted(members).select("archive", "member_index", "name", F.lower(paths.slashed(F.col("name"))).alias("folded"))
     return spread.attach(
         folded, ["archive", "folded"], [F.min("member_index").alias("first_index")], ["member_index"]
     ).filter("member_index > first_index")
 
 
 def metadata_uniqueness(members: DataFrame) -> DataFrame:
-    """Archives without exactly one metadata document at the root, in exact case."""
+    """Archives without exactly one accepted metadata document at the root, in exact case."""
     name = paths.slashed(F.col("name"))
     here = F.lower(paths.base_name(name)) == fixed.METADATA_NAME.lower()
-    file = ~F.coalesce(F.col("is_dir"), F.lit(False))
+    file = ~F.coalesce(F.col("is_dir"), F.lit(False)) & ~rejected()
     counts = members.groupBy("archive").agg(
         F.count_if(file & here).alias("total_count"),
         F.count_if(file & (name == fixed.METADATA_NAME)).alias("root_count"),

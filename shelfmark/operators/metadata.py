@@ -103,7 +103,7 @@ def canonical_tags(df: DataFrame, item: str, tags: str, allow: DataFrame | None
         rows = rows.withColumn("reason", F.lit(None).cast("string"))
     else:
         listed = allow.groupBy(F.col("value").alias("tag")).agg(F.min("reason").alias("reason"))
-        rows = spread.lookup(rows, listed, ["tag"])
+        rows = spread.lookup(rows, listed, ["tag"], copies=spread.COPIES)
     protected = F.col("tag").isin(fixed.PROTECTED_TAGS) | F.col("reason").isNotNull()
     decision = (
         F.when(F.col("reason").isNotNull(), "allowlisted")

@@ -27,7 +27,7 @@ def bind_page_map(
     counts = actual.groupBy("archive").agg(F.count("*").alias("_pages"))
     rows = page_map.withColumn("_expected_page", F.col("row").cast("bigint") + 1)
     row = ["output", "row"]
-    rows = spread.lookup(rows, known, ["output", "source"])
+    rows = spread.lookup(rows, known, ["output", "source"], copies=spread.COPIES)
     rows = spread.lookup(rows, source_pages, ["source", "source_page"])
     rows = rows.join(output_pages, ["output", "_expected_page"], "left")
     used = rows.groupBy("output", "source", "source_page").agg(F.min("row").alias("_first_row"))
@@ -39,25 +39,25 @@ def bind_page_map(
     per_row = issues.apply_rules(
         rows,
         [
-            rule(F.col("output_page").isNull(), "output page number is invalid"),
-            rule(F.col("source_page").isNull() | (F.col("source_page") < 1), "source page number is invalid"),
-            rule(F.col("source").isNull(), "page mapping source is missing"),
-            rule(F.col("source").isNotNull() & ~bound, "page mapping is not bound to a verified source component"),
-            rule(bound & ~in_range, "source page is outside the verified source archive"),
-            rule(in_range & (F.col("row") > F.col("_first_row")), "page mapping reuses one source page"),
+            rule(F.col("output_page").isNull(), "map.output-page-valid"),
+            rule(F.col("source_page").isNull() | (F.col("source_page") < 1), "map.source-page-valid"),
+            rule(F.col("source").isNull(), "map.source"),
+            rule(F.col("source").isNotNull() & ~bound, "map.bound"),
+            rule(bound & ~in_range, "map.source-page"),
+            rule(in_range & (F.col("row") > F.col("_first_row")), "map.source-page-once"),
             rule(
                 in_range & (sha("source_page_sha256") != F.col("_source_sha")),
-                "source-page SHA-256 differs from the preserved source page",
+                "map.source-hash",
             ),
             rule(
                 in_range & hashes.is_sha256(F.col("output_sha256")) & (sha("output_sha256") != F.col("_source_sha")),
-                "output page bytes differ from the mapped source page",
+                "map.bytes-equal",
             ),
-            rule(~hashes.is_sha256(F.col("output_sha256")), "output page SHA-256 is invalid"),
-            rule(F.col("output_page") != F.col("_expected_page"), "output page mapping is not continuous"),
+            rule(~hashes.is_sha256(F.col("output_sha256")), "map.output-hash-valid"),
+            rule(F.col("output_page") != F.col("_expected_page"), "map.continuous"),
             rule(
                 ~sha("output_sha256").eqNullSafe(F.col("_output_sha")),
-                "output page mapping hashes differ from actual output pages",
+                "map.output-hash",
             ),
         ],
         "output", "output_page",
@@ -72,7 +72,7 @@ def bind_page_map(
         [
             rule(
                 F.coalesce("_rows", zero) != F.coalesce("_pages", zero),
-                "output page mapping does not match the page count",
+                "map.length",
             )
         ],
         "output", F.lit(None).cast("bigint").alias("output_page"),
@@ -92,7 +92,7 @@ def bind_page_map(
             differs.select(
                 "output", F.lit(None).cast("bigint").alias("output_page"),
                 F.lit("SPECIAL_RANGE_INCOMPLETE").alias("code"),
-                F.lit("component included-page list differs from the actual mapping").alias("message"),
+                F.lit("map.included-equal").alias("message"),
             )
         )
     out = found[0]
@@ -131,7 +131,7 @@ def audit_omitted(
     copies = review_files.select(
         F.col("path").alias("review_copy"), F.col("expected").alias("_expected"), F.col("actual").alias("_actual")
     )
-    rows = spread.lookup(omitted, verified, ["output", "source"])
+    rows = spread.lookup(omitted, verified, ["output", "source"], copies=spread.COPIES)
     rows = spread.lookup(rows, from_page, ["source", "source_page"])
     rows = spread.lookup(rows, to_page, ["output", "target_page"])
     rows = spread.lookup(rows, copies, ["review_copy"])
@@ -162,33 +162,33 @@ def audit_omitted(
     return issues.apply_rules(
         rows,
         [
-            rule(~located, "omitted page lacks a source archive and page number"),
-            rule(located & ~trusted, "omitted page source is not in the verified source manifest"),
-            rule(trusted & ~found, "omitted source page cannot be verified"),
+            rule(~located, "omitted.located"),
+            rule(located & ~trusted, "omitted.source-trusted"),
+            rule(trusted & ~found, "omitted.source-page"),
             rule(
                 found & ~same(c("source_page_sha256"), c("s.sha256")),
-                "omitted source-page SHA-256 differs from preserved bytes",
+                "omitted.source-hash",
             ),
-            rule(found & ~aimed, "duplicate target page is outside the actual output"),
+            rule(found & ~aimed, "omitted.target-page"),
             rule(
                 aimed & ~same(c("target_sha256"), c("t.sha256")),
-                "duplicate target SHA-256 differs from the actual page",
+                "omitted.target-hash",
             ),
             rule(
                 aimed & byte & ~(same(c("s.sha256"), c("t.sha256")) & same(c("evidence_sha256"), c("s.sha256"))),
-                "exact duplicate evidence differs from actual bytes",
+                "omitted.exact-evidence",
             ),
             rule(
                 aimed & visual & ~(measured & reviewed),
-                "perceptual duplicate evidence is not bound to actual page hashes",
+                "omitted.near-evidence",
             ),
             rule(
                 aimed & visual & measured & reviewed & ~positive,
-                "perceptual duplicate lacks a hash-bound positive visual decision",
+                "omitted.near-decision",
             ),
-            rule(aimed & ~F.coalesce(byte | visual, F.lit(False)), "omitted page evidence method is unsupported"),
-            rule(aimed & ~preserved, "omitted page lacks a preserved review copy"),
-            rule(aimed & preserved & ~proven, "review copy is not bound to the verified review manifest"),
+            rule(aimed & ~F.coalesce(byte | visual, F.lit(False)), "omitted.method"),
+            rule(aimed & ~preserved, "omitted.copy"),
+            rule(aimed & preserved & ~proven, "omitted.copy-bound"),
         ],
         "output", "index",
     ).select("output", "index", "message")
@@ -210,12 +210,12 @@ def audit_records(outputs: DataFrame, records: DataFrame, omitted: DataFrame) ->
         [
             rule(
                 ~F.coalesce(F.col("result").isin("complete", "not-applicable", "no-duplicates", "resolved"), F.lit(False)),
-                "deduplication state is incomplete",
+                "omitted.state-complete",
             ),
-            rule(no("visual_review_complete"), "visual review is incomplete"),
-            rule(F.coalesce(F.trim("audit_record_id") == "", F.lit(True)), "audit record ID is missing"),
-            rule(no("sources_ok"), "source hashes do not match preserved sources"),
-            rule(~F.col("review_copy_status").eqNullSafe(status), "review-copy status is missing"),
+            rule(no("visual_review_complete"), "omitted.review-complete"),
+            rule(F.coalesce(F.trim("audit_record_id") == "", F.lit(True)), "omitted.record-id"),
+            rule(no("sources_ok"), "omitted.sources-equal"),
+            rule(~F.col("review_copy_status").eqNullSafe(status), "omitted.copy-stated"),
         ],
         "output",
     )
@@ -223,7 +223,7 @@ def audit_records(outputs: DataFrame, records: DataFrame, omitted: DataFrame) ->
     return broken.unionByName(
         lacking.select(
             "output", F.lit("special_deduplication_missing").alias("code"),
-            F.lit("output lacks persisted deduplication state").alias("message"),
+            F.lit("omitted.state-present").alias("message"),
         )
     )
 

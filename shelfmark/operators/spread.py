@@ -7,12 +7,13 @@ byte-equal pages.  The steps here keep heavy work keyed by more than that key:
   side is copied only to the salts that really occur, which a BIGINT bitmap
   records during the (map-side combined) aggregation, so a unique key is copied
   once.
-* ``lookup`` is a many-to-one equi-join.  Adaptive execution broadcasts the
-  one-row side when its measured size allows, and otherwise splits the skewed
-  partitions of the many side, which a many-to-one join permits.
-* ``prefix`` and ``number_rows`` cut the order of a group into buckets of at
-  most ``WIDTH`` positions.  Windows run inside one bucket; what crosses
-  buckets is one carried row per bucket.
+* ``lookup`` is a many-to-one equi-join.  Where a key is known to be held by a
+  large part of the many side, the one-row side is copied to a few salts, which
+  needs no setting of the session.
+* ``prefix`` and ``number_rows`` cut the order of a group into buckets of
+  ``WIDTH`` positions, those into buckets of ``WIDTH`` buckets, and so on, so a
+  window holds at most ``WIDTH`` rows however sparse the positions are.  What
+  crosses buckets is one carried row per bucket.
 """
 
 from __future__ import annotations
@@ -23,7 +24,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 64
+#: Copies of the one-row side of a lookup with hot keys.
+COPIES = 16
 WIDTH = 65536
+#: Levels of buckets that bound the last window for any BIGINT: 65536 ** 4 covers it.
+LEVELS = 3
 _SALT, _MAP = "_salt", "_salt_map"
 
 
@@ -75,9 +80,17 @@ def attach(
     return salted.join(_spread(groups), [*keys, _SALT]).drop(_SALT)
 
 
-def lookup(many: DataFrame, one: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """``many`` joined to ``one``, which has at most one row per key."""
-    return many.join(one, list(on), how)
+def lookup(many: DataFrame, one: DataFrame, on: Sequence[str], how: str = "left", copies: int = 1) -> DataFrame:
+    """``many`` joined to ``one``, which has at most one row per key.
+
+    With ``copies`` the rows of a key (null keys too) are dealt to that many
+    salts by their content, and ``one`` is copied to each.
+    """
+    if copies == 1:
+        return many.join(one, list(on), how)
+    salted = many.withColumn(_SALT, F.pmod(F.xxhash64(*many.columns), F.lit(copies)).cast("int"))
+    spread = one.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return salted.join(spread, [*on, _SALT], how).drop(_SALT)
 
 
 def prefix(
@@ -87,15 +100,15 @@ def prefix(
     values: dict[str, tuple[str, str]],
     inclusive: bool = False,
     width: int = WIDTH,
-    levels: int = 1,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """Running aggregates by ``pos`` within ``keys``, over the rows before each row.
 
     ``values`` maps a new column to (how, column); ``how`` is last (non-null),
     sum or max.  ``pos`` is a non-negative integer, unique within ``keys``, so
-    a bucket holds at most ``width`` rows whatever the size of the group.  The
-    carried rows of a group are 1 / ``width`` of it; more ``levels`` bucket
-    them again.
+    a bucket holds at most ``width`` rows whatever the size of the group.  Each
+    of the ``levels`` buckets the carried rows of the one below; the default
+    covers all of BIGINT, one level positions below ``width`` squared.
     """
     w = Window.partitionBy(*keys).orderBy(pos)
     if levels:
@@ -139,8 +152,8 @@ def _total(how: str, column: str, pos: str) -> Column:
     return getattr(F, how)(column)
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], pos: str, name: str, width: int = WIDTH) -> DataFrame:
+def number_rows(df: DataFrame, keys: Sequence[str], pos: str, name: str, width: int = WIDTH, levels: int = LEVELS) -> DataFrame:
     """1-based number of each row within ``keys``, ordered by the unique integer ``pos``."""
     return prefix(
-        df.withColumn("_one", F.lit(1).cast("bigint")), keys, pos, {name: ("sum", "_one")}, inclusive=True, width=width
+        df.withColumn("_one", F.lit(1).cast("bigint")), keys, pos, {name: ("sum", "_one")}, inclusive=True, width=width, levels=levels
     ).drop("_one")

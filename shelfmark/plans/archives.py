@@ -60,14 +60,14 @@ MEMBER_SQL = """
 SELECT archive, doc_id, 0 AS i, 'p10.png' AS name, sha256(text) AS sha256, strlen(text) AS size FROM d
 UNION ALL SELECT archive, doc_id, 1, 'p2.JPG', sha256(CAST(doc_id AS VARCHAR)), strlen(CAST(doc_id AS VARCHAR)) FROM d
 UNION ALL SELECT archive, doc_id, CASE WHEN doc_id % 9 = 0 THEN 2 ELSE 3 END, 'sub/p3.webp', sha256(reverse(text)), strlen(text) FROM d"""
+XML_MEMBER_SQL = f"SELECT archive, doc_id, 2 AS i, 'ComicInfo.xml' AS name, sha256({XML}) AS sha256, strlen({XML}) AS size FROM d WHERE doc_id % 9 <> 0".replace("AS STRING", "AS VARCHAR")
 
 
-@query("archive_members", with_(d=GOOD, m=MEMBER_SQL) + """
-SELECT archive, CAST(i AS INTEGER) AS member_index, name, CAST(size AS BIGINT) AS file_size, sha256, true AS crc_ok FROM m
+@query("archive_members", with_(d=GOOD, m=MEMBER_SQL, x=XML_MEMBER_SQL) + """
+SELECT archive, CAST(i AS INTEGER) AS member_index, name, CAST(size AS BIGINT) AS file_size, sha256, true AS crc_ok FROM (FROM m UNION ALL FROM x)
 UNION ALL SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.cbz', NULL, NULL, NULL, NULL, NULL FROM documents WHERE doc_id % 50 = 3""")
 def archive_members(t):
-    rows = archives.read_members(built(t)).filter("name IS NULL OR name != 'ComicInfo.xml'")
-    return rows.select("archive", "member_index", "name", "file_size", "sha256", "crc_ok")
+    return archives.read_members(built(t)).select("archive", "member_index", "name", "file_size", "sha256", "crc_ok")
 
 
 @query("archive_pages", with_(d=GOOD, m=MEMBER_SQL) + """
@@ -77,7 +77,7 @@ def archive_pages(t):
 
 
 @query("archive_issues", """
-SELECT 'invalid_zip' AS code, source || '/' || CAST(doc_id AS VARCHAR) || '.cbz' AS subject, 'archive cannot be read' AS message FROM documents WHERE doc_id % 50 = 3""")
+SELECT 'invalid_zip' AS code, source || '/' || CAST(doc_id AS VARCHAR) || '.cbz' AS subject, 'archive.readable' AS message FROM documents WHERE doc_id % 50 = 3""")
 def archive_issues(t):
     return archives.archive_issues(archives.read_members(built(t)))
 
@@ -85,22 +85,20 @@ def archive_issues(t):
 META_SQL = """
 SELECT doc_id, trim(source) AS series, CAST(doc_id AS VARCHAR) AS number, CASE WHEN doc_id % 4 <> 0 THEN CAST(doc_id % 9 AS VARCHAR) END AS volume,
   CASE WHEN doc_id % 11 = 0 THEN 'a' ELSE 'T & ' || lang END AS title, CASE WHEN doc_id % 6 = 0 THEN '4' ELSE '3' END AS declared_page_count,
-  CASE WHEN doc_id % 11 = 0 THEN 'duplicate Title element' END AS issue FROM documents"""
+  CASE WHEN doc_id % 11 = 0 THEN 'metadata.one-Title' END AS issue FROM documents"""
 
 
 @query("metadata_parse", with_(m=META_SQL) + """
 SELECT doc_id, series, number, volume, title, declared_page_count, issue AS metadata_issue FROM m WHERE doc_id % 13 <> 0 AND doc_id % 17 <> 0 AND doc_id % 19 <> 0
-UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, CASE WHEN doc_id % 17 = 0 THEN 'metadata must not contain a doctype or entity declaration'
-  ELSE 'metadata is not well-formed XML' END FROM m WHERE doc_id % 17 = 0 OR doc_id % 13 = 0
-UNION ALL SELECT doc_id, series, number, volume, title, declared_page_count, 'root element must be ComicInfo' FROM m WHERE doc_id % 19 = 0 AND doc_id % 13 <> 0 AND doc_id % 17 <> 0""")
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, CASE WHEN doc_id % 17 = 0 THEN 'metadata.no-declaration'
+  ELSE 'metadata.well-formed' END FROM m WHERE doc_id % 17 = 0 OR doc_id % 13 = 0
+UNION ALL SELECT doc_id, series, number, volume, title, declared_page_count, 'metadata.root' FROM m WHERE doc_id % 19 = 0 AND doc_id % 13 <> 0 AND doc_id % 17 <> 0""")
 def metadata_parse(t):
     xml = f"""CASE WHEN doc_id % 17 = 0 THEN replace({XML}, '<ComicInfo', '<!DOCTYPE x><ComicInfo')
               WHEN doc_id % 19 = 0 THEN replace({XML}, 'ComicInfo', 'Other') ELSE {XML} END"""
     rows = t.documents.selectExpr("doc_id", f"CAST({xml} AS BINARY) AS xml")
     fields = ["series", "number", "volume", "title", "declared_page_count"]
-    parsed = archives.parse_metadata(rows, "xml")
-    broken = F.col("metadata_issue") == "metadata is not well-formed XML"
-    return parsed.select("doc_id", *(F.when(broken, F.lit(None)).otherwise(F.col(f)).alias(f) for f in fields), "metadata_issue")
+    return archives.parse_metadata(rows, "xml").select("doc_id", *fields, "metadata_issue")
 
 
 @query("archive_table", with_(d=GOOD, m=META_SQL) + """
@@ -109,10 +107,9 @@ SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.cbz' AS path, CASE WHEN doc
 FROM documents JOIN m USING (doc_id)""")
 def archive_table(t):
     table = archives.archive_table(archives.read_members(built(t)))
-    fine = F.coalesce(F.col("metadata_issue") != "metadata is not well-formed XML", F.lit(True))
     return table.select(
         "path", F.col("page_count").cast("int").alias("page_count"), F.col("error").isNotNull().alias("unreadable"),
-        F.when(fine, F.col("series")).alias("series"), F.when(fine, F.col("declared_page_count")).alias("declared"),
+        "series", F.col("declared_page_count").alias("declared"),
     )
 
 
@@ -125,7 +122,7 @@ def archive_audit(t):
     """From archive bytes to issues: members, pages, metadata and their checks in one plan."""
     stored = archives.read_members(built(t)).drop("head")
     pages = archives.pages_of(stored)
-    table = archives.archive_table(stored).filter("metadata_issue IS NULL OR metadata_issue LIKE 'duplicate%'")
+    table = archives.archive_table(stored).filter("metadata_issue IS NULL OR metadata_issue LIKE 'metadata.one-%'")
     declared = table.filter("series IS NOT NULL").select(
         F.col("path").alias("archive"), F.col("declared_page_count").alias("declared")
     )

@@ -260,26 +260,26 @@ def _canon(expression: str) -> str:
 
 
 ISSUES = " UNION ALL ".join([
-    _case("path NOT LIKE '%/%'", "media_at_library_root", "archive must be nested under a series directory"),
-    _case("series_key IS NULL", "series_missing", "Series is missing"),
-    _case("localized_series <> '' AND lower(localized_series) <> series_key", "series_identity_mix", "LocalizedSeries differs from Series"),
-    _case("series_sort <> '' AND lower(series_sort) <> series_key", "series_identity_mix", "SeriesSort differs from Series"),
-    _case("kind = 'special' AND (coalesce(lower(trim(format)) <> 'special', true) OR special IS NULL)", "invalid_special_identity", "Special requires Format=Special and an SP Number"),
-    _case(f"kind = 'special' AND (sp IS NULL OR {_canon('sp')} IS DISTINCT FROM {_canon('identity')})", "special_filename_identity_mismatch", "Special filename SP token differs from Number"),
-    _case("kind = 'special' AND volume_id IS NOT NULL", "invalid_special_identity", "Special must omit Volume"),
-    _case("kind = 'special' AND title = 'Extra'", "META008", "Special requires a reliable Chinese Title"),
-    _case("kind = 'special' AND NOT documented", "SPECIAL_RANGE_INCOMPLETE", "Special lacks a matching complete-range plan/audit record"),
-    _case("kind = 'chapter' AND ch IS NULL", "chapter_filename_identity_missing", "normal chapter filename lacks a chapter token"),
-    _case(f"kind = 'chapter' AND ch IS NOT NULL AND {_canon('ch')} <> number_id", "chapter_filename_identity_mismatch", "filename chapter token differs from Number"),
-    _case("kind = 'chapter' AND policy = 'continuous-chapter' AND volume_id IS NOT NULL", "KAVITA_VOLUME_JUMP_RISK", "continuous-chapter item must omit Volume"),
-    _case("kind = 'chapter' AND policy = 'continuous-chapter' AND hasvol", "KAVITA_VOLUME_JUMP_RISK", "continuous-chapter filename must omit volume tokens"),
-    _case("kind = 'chapter' AND policy = 'volume-aware-chapter' AND volume_id IS NULL", "volume_aware_chapter_missing_volume", "volume-aware chapter requires Volume"),
-    _case(f"kind = 'chapter' AND policy = 'volume-aware-chapter' AND volume_id IS NOT NULL AND {_canon('vol')} IS DISTINCT FROM volume_id", "volume_filename_identity_mismatch", "filename volume token differs from Volume"),
-    _case("kind = 'chapter' AND policy = 'volume-only'", "volume_only_has_chapter", "volume-only series cannot contain a normal chapter identity"),
-    _case("kind = 'volume' AND policy <> 'volume-only' AND NOT documented", "UNDOCUMENTED_VOLUME_FALLBACK", "volume item in chapter policy lacks a matching volume-fallback plan record"),
-    _case("kind = 'volume' AND ch IS NOT NULL", "fallback_filename_has_chapter", "volume fallback filename must not contain a chapter token"),
-    _case(f"kind = 'volume' AND {_canon('vol')} IS DISTINCT FROM volume_id", "volume_filename_identity_mismatch", "fallback filename volume token differs from Volume"),
-    _case("kind = 'none'", "archive_identity_missing", "normal archive has neither Number nor Volume"),
+    _case("path NOT LIKE '%/%'", "media_at_library_root", "path.nested"),
+    _case("series_key IS NULL", "series_missing", "series.present"),
+    _case("localized_series <> '' AND lower(localized_series) <> series_key", "series_identity_mix", "series.equals-LocalizedSeries"),
+    _case("series_sort <> '' AND lower(series_sort) <> series_key", "series_identity_mix", "series.equals-SeriesSort"),
+    _case("kind = 'special' AND (coalesce(lower(trim(format)) <> 'special', true) OR special IS NULL)", "invalid_special_identity", "special.format-and-number"),
+    _case(f"kind = 'special' AND (sp IS NULL OR {_canon('sp')} IS DISTINCT FROM {_canon('identity')})", "special_filename_identity_mismatch", "special.name-number"),
+    _case("kind = 'special' AND volume_id IS NOT NULL", "invalid_special_identity", "special.no-volume"),
+    _case("kind = 'special' AND title = 'Extra'", "META008", "special.title-han"),
+    _case("kind = 'special' AND NOT documented", "SPECIAL_RANGE_INCOMPLETE", "special.documented"),
+    _case("kind = 'chapter' AND ch IS NULL", "chapter_filename_identity_missing", "chapter.name-token"),
+    _case(f"kind = 'chapter' AND ch IS NOT NULL AND {_canon('ch')} <> number_id", "chapter_filename_identity_mismatch", "chapter.name-number"),
+    _case("kind = 'chapter' AND policy = 'continuous-chapter' AND volume_id IS NOT NULL", "KAVITA_VOLUME_JUMP_RISK", "chapter.no-volume"),
+    _case("kind = 'chapter' AND policy = 'continuous-chapter' AND hasvol", "KAVITA_VOLUME_JUMP_RISK", "chapter.name-without-volume"),
+    _case("kind = 'chapter' AND policy = 'volume-aware-chapter' AND volume_id IS NULL", "volume_aware_chapter_missing_volume", "chapter.volume"),
+    _case(f"kind = 'chapter' AND policy = 'volume-aware-chapter' AND volume_id IS NOT NULL AND {_canon('vol')} IS DISTINCT FROM volume_id", "volume_filename_identity_mismatch", "chapter.name-volume"),
+    _case("kind = 'chapter' AND policy = 'volume-only'", "volume_only_has_chapter", "chapter.policy"),
+    _case("kind = 'volume' AND policy <> 'volume-only' AND NOT documented", "UNDOCUMENTED_VOLUME_FALLBACK", "fallback.documented"),
+    _case("kind = 'volume' AND ch IS NOT NULL", "fallback_filename_has_chapter", "fallback.name-without-chapter"),
+    _case(f"kind = 'volume' AND {_canon('vol')} IS DISTINCT FROM volume_id", "volume_filename_identity_mismatch", "fallback.name-volume"),
+    _case("kind = 'none'", "archive_identity_missing", "item.identified"),
 ])
 ISSUE_BASE = dict(**BASE, tokens0=TOKENS, tokens="SELECT *, length(path) % 3 = 0 AS documented FROM tokens0", issues=ISSUES)
 

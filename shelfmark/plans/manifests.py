@@ -93,8 +93,8 @@ def parse_checksums(t):
 
 
 @query("checksum_line_issues", with_(**CHECKSUM_BASE) + r"""
-SELECT DISTINCT code, subject, CASE code WHEN 'checksums_manifest_invalid' THEN 'invalid SHA-256 manifest line'
-    WHEN 'checksums_manifest_unsafe_path' THEN 'manifest entry is not a safe relative path' ELSE 'manifest lists a path more than once' END AS message
+SELECT DISTINCT code, subject, CASE code WHEN 'checksums_manifest_invalid' THEN 'checksums.line-valid'
+    WHEN 'checksums_manifest_unsafe_path' THEN 'checksums.path-safe' ELSE 'checksums.path-once' END AS message
 FROM (SELECT 'checksums_manifest_invalid' AS code, value AS subject FROM lines WHERE value LIKE 'not a line%'
   UNION ALL SELECT 'checksums_manifest_unsafe_path', regexp_extract(value, '[ ]+\*?(.+)$', 1) FROM lines WHERE value LIKE '%../%' AND value NOT LIKE 'not a line%'
   UNION ALL SELECT 'checksums_manifest_duplicate', 'en/same.cbz' FROM lines WHERE value LIKE '%  en/same.cbz' HAVING count(*) > 1)""")
@@ -105,10 +105,10 @@ def checksum_line_issues(t):
 @query("checksum_issues", with_(**CHECKSUM_BASE, b="""
     SELECT path, l.sha256 AS listed, n.sha256 AS actual, l.path IS NOT NULL AS on_list, n.path IS NOT NULL AS present,
       path LIKE '%.cbz' AS archive FROM listed l FULL JOIN new n USING (path)""") + """
-SELECT 'checksums_target_missing' AS code, path AS subject, 'manifest target is missing or unsafe' AS message FROM b WHERE on_list AND NOT present
-UNION ALL SELECT 'checksums_mismatch', path, 'manifest SHA-256 differs from target' FROM b WHERE listed <> actual
-UNION ALL SELECT 'checksums_archive_coverage_missing', path, 'checksums manifest does not cover every archive' FROM b WHERE present AND NOT on_list AND archive
-UNION ALL SELECT 'checksums_archive_coverage_extra', path, 'checksums manifest names archives outside the library' FROM b WHERE on_list AND NOT present AND archive""")
+SELECT 'checksums_target_missing' AS code, path AS subject, 'checksums.target-present' AS message FROM b WHERE on_list AND NOT present
+UNION ALL SELECT 'checksums_mismatch', path, 'checksums.hash-equal' FROM b WHERE listed <> actual
+UNION ALL SELECT 'checksums_archive_coverage_missing', path, 'checksums.covers-archives' FROM b WHERE present AND NOT on_list AND archive
+UNION ALL SELECT 'checksums_archive_coverage_extra', path, 'checksums.within-library' FROM b WHERE on_list AND NOT present AND archive""")
 def checksum_issues(t):
     return manifests.checksum_issues(checksums.parse_checksums(lines(t))[0], new(t))
 
@@ -124,12 +124,12 @@ FROM {} WHERE doc_id % 3 <> 0"""
     b="""SELECT path, a.path IS NOT NULL AS a, u.path IS NOT NULL AS u, o.path IS NOT NULL AS f, u.sha256 AS us, o.sha256 AS os, n.sha256 AS ns
          FROM aff a FULL JOIN un u USING (path) FULL JOIN old o USING (path) FULL JOIN new n USING (path)""",
 ) + """
-SELECT 'formal_partition_overlap' AS code, path AS subject, 'archive is marked both affected and unaffected' AS message FROM b WHERE a AND u
+SELECT 'formal_partition_overlap' AS code, path AS subject, 'partition.disjoint' AS message FROM b WHERE a AND u
 UNION ALL SELECT 'formal_partition_incomplete', path, 'missing' FROM b WHERE f AND NOT a AND NOT u
 UNION ALL SELECT 'formal_partition_incomplete', path, 'unexpected' FROM b WHERE NOT f AND (a OR u)
-UNION ALL SELECT 'unaffected_baseline_mismatch', path, 'unaffected hash differs from the formal baseline' FROM b WHERE u AND us IS DISTINCT FROM os
-UNION ALL SELECT 'unaffected_archive_changed', path, 'unaffected archive is missing or changed in the candidate' FROM b WHERE u AND us IS DISTINCT FROM ns
-UNION ALL SELECT 'unaffected_partition_invalid', path, 'unaffected path or SHA-256 is invalid' FROM unaff0 WHERE path LIKE '/%' OR sha256 = 'bad'""")
+UNION ALL SELECT 'unaffected_baseline_mismatch', path, 'unaffected.in-baseline' FROM b WHERE u AND us IS DISTINCT FROM os
+UNION ALL SELECT 'unaffected_archive_changed', path, 'unaffected.in-candidate' FROM b WHERE u AND us IS DISTINCT FROM ns
+UNION ALL SELECT 'unaffected_partition_invalid', path, 'unaffected.row-valid' FROM unaff0 WHERE path LIKE '/%' OR sha256 = 'bad'""")
 def partition_issues(t):
     formal = old(t)
     affected = formal.filter("doc_id % 3 = 0 AND doc_id % 15 <> 0 OR doc_id % 70 = 1").select("path").unionByName(
@@ -162,7 +162,8 @@ def unaffected(t):
 
 RUNS = """
 SELECT source AS run, CASE min(doc_id) % 7 WHEN 6 THEN 'validated-final' ELSE 'promotion-intent' END AS status,
-  min(doc_id) % 2 = 0 AS candidate_exists, min(doc_id) % 3 <> 0 AS formal_exists, min(doc_id) % 5 < 2 AS backup_exists
+  min(doc_id) % 2 = 0 AS candidate_exists, min(doc_id) % 3 <> 0 AS formal_exists, min(doc_id) % 5 < 2 AS backup_exists,
+  min(doc_id) % 8 <> 6 AS candidate_recorded, min(doc_id) % 9 <> 5 AS formal_recorded, min(doc_id) % 4 = 0 AS backup_recorded
 FROM documents GROUP BY source"""
 
 
@@ -179,12 +180,14 @@ def _snapshot(which: str, changed: str) -> str:
     cand="SELECT run, path, sha256 || 'n' AS sha256 FROM d WHERE m % 2 = 0",
     formal="SELECT run, path, CASE WHEN m % 4 = 1 THEN sha256 || 'n' ELSE sha256 END AS sha256 FROM d WHERE m % 3 <> 0",
     backup="SELECT run, path, sha256 FROM d WHERE m % 5 < 2 AND NOT (m % 13 = 0 AND path LIKE '%0.cbz')",
+    own="SELECT run, path, sha256 FROM d WHERE m % 4 = 0 AND NOT (m % 16 = 0 AND path LIKE '%0.cbz')",
     f="""SELECT run, status, candidate_exists, formal_exists, backup_exists,
-      NOT EXISTS (FROM oldm o WHERE o.run = r.run) AS new_library,
-      candidate_exists AND NOT EXISTS (SELECT 1 FROM (SELECT * FROM cand WHERE run = r.run AND path LIKE '%.cbz') c FULL JOIN (SELECT * FROM new WHERE run = r.run) n USING (path) WHERE c.sha256 IS DISTINCT FROM n.sha256) AS candidate_matches,
-      formal_exists AND NOT EXISTS (SELECT 1 FROM (SELECT * FROM formal WHERE run = r.run AND path LIKE '%.cbz') c FULL JOIN (SELECT * FROM new WHERE run = r.run) n USING (path) WHERE c.sha256 IS DISTINCT FROM n.sha256) AS formal_matches_candidate,
-      formal_exists AND NOT EXISTS (SELECT 1 FROM (SELECT * FROM formal WHERE run = r.run) c FULL JOIN (SELECT * FROM oldm WHERE run = r.run) n USING (path) WHERE c.sha256 IS DISTINCT FROM n.sha256) AS formal_matches_old,
-      backup_exists AND NOT EXISTS (SELECT 1 FROM (SELECT * FROM backup WHERE run = r.run) c FULL JOIN (SELECT * FROM oldm WHERE run = r.run) n USING (path) WHERE c.sha256 IS DISTINCT FROM n.sha256) AS backup_matches_old
+      formal_recorded AND NOT EXISTS (FROM oldm o WHERE o.run = r.run) AS new_library,
+      candidate_exists AND candidate_recorded AND NOT EXISTS (SELECT 1 FROM (SELECT * FROM cand WHERE run = r.run AND path LIKE '%.cbz') c FULL JOIN (SELECT * FROM new WHERE run = r.run) n USING (path) WHERE c.sha256 IS DISTINCT FROM n.sha256) AS candidate_matches,
+      formal_exists AND candidate_recorded AND NOT EXISTS (SELECT 1 FROM (SELECT * FROM formal WHERE run = r.run AND path LIKE '%.cbz') c FULL JOIN (SELECT * FROM new WHERE run = r.run) n USING (path) WHERE c.sha256 IS DISTINCT FROM n.sha256) AS formal_matches_candidate,
+      formal_exists AND formal_recorded AND NOT EXISTS (SELECT 1 FROM (SELECT * FROM formal WHERE run = r.run) c FULL JOIN (SELECT * FROM oldm WHERE run = r.run) n USING (path) WHERE c.sha256 IS DISTINCT FROM n.sha256) AS formal_matches_old,
+      backup_exists AND CASE WHEN backup_recorded THEN NOT EXISTS (SELECT 1 FROM (SELECT * FROM backup WHERE run = r.run) c FULL JOIN (SELECT * FROM own WHERE run = r.run) n USING (path) WHERE c.sha256 IS DISTINCT FROM n.sha256)
+        ELSE formal_recorded AND NOT EXISTS (SELECT 1 FROM (SELECT * FROM backup WHERE run = r.run) c FULL JOIN (SELECT * FROM oldm WHERE run = r.run) n USING (path) WHERE c.sha256 IS DISTINCT FROM n.sha256) END AS backup_matches_old
       FROM runs r""",
 ) + """
 SELECT *, CASE WHEN status IN ('validated-final', 'rollback-complete') THEN NULL
@@ -206,19 +209,20 @@ def reconcile_snapshots(t):
         backup=pick("m % 5 < 2 AND NOT (m % 13 = 0 AND path LIKE '%0.cbz')"),
         expected_candidate=pick("path LIKE '%.cbz'", "sha256 || 'n'"),
         expected_formal=pick("m % 11 <> 0"),
+        expected_backup=pick("m % 4 = 0 AND NOT (m % 16 = 0 AND path LIKE '%0.cbz')"),
     )
     return manifests.reconcile(flags)
 
 
 OUTPUTS = """
 SELECT p_partkey AS item, CASE WHEN p_partkey % 7 = 0 THEN upper(p_name) ELSE p_name END || ' ' || CAST(p_partkey % 900 AS STRING) || '.cbz' AS output FROM part"""
-SOURCES = "SELECT p_name || ' ' || CAST(p_partkey % 901 AS STRING) || '.cbz' AS path FROM part WHERE p_partkey % 3 = 0"
-EXISTING = "SELECT p_name || ' ' || CAST(p_partkey % 902 AS STRING) || '.cbz' AS path FROM part WHERE p_partkey % 4 = 0"
+SOURCES = "SELECT p_name || ' ' || CAST(p_partkey % 901 AS STRING) || '.cbz' AS path FROM part"
+EXISTING = "SELECT p_name || ' ' || CAST(p_partkey % 902 AS STRING) || '.cbz' AS path FROM part"
 
 
 @query("output_collisions", with_(o=OUTPUTS, s=SOURCES, e=EXISTING) + """
-SELECT item, output, 'NAME005' AS code, 'planned twice' AS reason FROM (SELECT *, min(item) OVER (PARTITION BY lower(output)) AS f FROM o) WHERE item > f
-UNION ALL SELECT item, output, 'SOURCE_REPLACEMENT_REFUSED', 'replaces a source' FROM o WHERE output IN (SELECT path FROM s)
-UNION ALL SELECT item, output, 'NAME005', 'exists' FROM o WHERE output IN (SELECT path FROM e)""")
+SELECT item, output, 'NAME005' AS code, 'output.planned-once' AS reason FROM (SELECT *, min(item) OVER (PARTITION BY lower(output)) AS f FROM o) WHERE item > f
+UNION ALL SELECT item, output, 'SOURCE_REPLACEMENT_REFUSED', 'output.no-source' FROM o WHERE output IN (SELECT path FROM s)
+UNION ALL SELECT item, output, 'NAME005', 'output.new' FROM o WHERE output IN (SELECT path FROM e)""")
 def output_collisions(t):
     return manifests.output_collisions(t.sql(OUTPUTS), t.sql(SOURCES), t.sql(EXISTING))

@@ -24,6 +24,11 @@ SELECT split_part(replace(replace(url, 'https://', ''), 'http://', ''), '/', 1)
 FROM pages"""
 
 
+# What the row checks reject; such members are not counted anywhere.
+REJECTED = r"""(name LIKE '../%' OR name LIKE '/%' OR regexp_matches(name, '^[A-Za-z]:') OR (external_attr >> 16) & 61440 = 40960
+  OR flag_bits % 2 = 1 OR file_size > greatest(compress_size, 1) * 1000)"""
+
+
 def stored(t):
     return t.sql(MEMBERS)
 
@@ -60,15 +65,15 @@ def bomb_limits(t):
 
 @query("duplicate_members", with_(m=MEMBERS) + """
 SELECT archive, member_index, name, lower(name) AS folded, min(member_index) OVER (PARTITION BY archive, lower(name)) AS first_index
-FROM m QUALIFY member_index > first_index""")
+FROM m WHERE NOT """ + REJECTED + """ QUALIFY member_index > first_index""")
 def duplicate_members(t):
     return members.duplicate_members(stored(t))
 
 
 @query("metadata_uniqueness", with_(m=MEMBERS) + r"""
-SELECT archive, count(*) FILTER (NOT is_dir AND regexp_matches(lower(name), '(^|/)comicinfo\.xml$')) AS total_count,
-  count(*) FILTER (NOT is_dir AND name = 'ComicInfo.xml') AS root_count, CASE WHEN total_count > 1 THEN 'ARC006' ELSE 'ARC005' END AS code
-FROM m GROUP BY archive HAVING total_count <> 1 OR root_count <> 1""")
+SELECT archive, count(*) FILTER (NOT is_dir AND ok AND regexp_matches(lower(name), '(^|/)comicinfo\.xml$')) AS total_count,
+  count(*) FILTER (NOT is_dir AND ok AND name = 'ComicInfo.xml') AS root_count, CASE WHEN total_count > 1 THEN 'ARC006' ELSE 'ARC005' END AS code
+FROM (SELECT *, NOT """ + REJECTED + """ AS ok FROM m) GROUP BY archive HAVING total_count <> 1 OR root_count <> 1""")
 def metadata_uniqueness(t):
     return members.metadata_uniqueness(stored(t))
 
@@ -83,7 +88,7 @@ def nested_pages(t):
 @query("page_count_issues", with_(
     d="""SELECT source AS archive, CASE WHEN count(*) % 3 = 0 THEN 'many' WHEN min(doc_id) % 4 = 0 THEN CAST(count(*) + 1 AS VARCHAR)
            WHEN min(doc_id) % 5 = 0 THEN NULL ELSE ' ' || CAST(count(*) FILTER (lang <> 'zz') AS VARCHAR) || ' ' END AS declared FROM documents GROUP BY 1
-         UNION ALL SELECT 'order ' || CAST(o_orderkey AS VARCHAR), '3' FROM orders WHERE o_custkey % 100 = 0""",
+         UNION ALL SELECT 'order ' || CAST(o_orderkey AS VARCHAR), '3' FROM orders """,
     n="SELECT source AS archive, count(*) AS n FROM documents GROUP BY 1",
     j="SELECT archive, declared, coalesce(n, 0) AS actual FROM d LEFT JOIN n USING (archive)",
 ) + """
@@ -95,7 +100,7 @@ def page_count_issues(t):
         F.expr("""CASE WHEN count(*) % 3 = 0 THEN 'many' WHEN min(doc_id) % 4 = 0 THEN CAST(count(*) + 1 AS STRING)
                   WHEN min(doc_id) % 5 = 0 THEN NULL ELSE ' ' || count_if(lang <> 'zz') || ' ' END""").alias("declared")
     )
-    empty = t.orders.filter("o_custkey % 100 = 0").selectExpr("'order ' || o_orderkey AS archive", "'3' AS declared")
+    empty = t.orders.selectExpr("'order ' || o_orderkey AS archive", "'3' AS declared")
     return members.page_count_issues(declared.unionByName(empty), pages)
 
 

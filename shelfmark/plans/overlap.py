@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import hashes
-from ..operators import dedupe, overlap, provenance
+from ..operators import dedupe, overlap, provenance, spread
 from .members import DOC_PAGES, doc_pages
 from .registry import query, with_
 
@@ -35,9 +35,10 @@ def exact_overlap(t):
 REVIEWED = "SELECT DISTINCT lang AS series, source AS archive FROM documents WHERE source IN ('src3', 'src7', 'src12')"
 
 
-@query("shared_with", with_(p=SHA_PAGES, r=REVIEWED) + """
-SELECT DISTINCT a.series, a.sha256, a.archive, b.archive AS other FROM p a JOIN p b ON a.series = b.series AND a.sha256 = b.sha256 AND a.archive <> b.archive
-JOIN r ON r.series = a.series AND r.archive = a.archive""")
+@query("shared_with", with_(p=SHA_PAGES, r=REVIEWED, h="SELECT DISTINCT series, sha256, archive FROM p",
+    g="SELECT h.*, r.archive IS NOT NULL AS reviewed FROM h LEFT JOIN r USING (series, archive)") + """
+SELECT series, sha256, archive, reviewed, count(*) OVER w AS archives FROM g WINDOW w AS (PARTITION BY series, sha256)
+QUALIFY archives > 1 AND bool_or(reviewed) OVER w""")
 def shared_with(t):
     return overlap.shared_with(doc_pages(t), t.sql(REVIEWED))
 
@@ -69,100 +70,95 @@ def audit_exact(t):
     return overlap.audit_exact(recorded, pages, pages.select("series", "archive"))
 
 
-# A vector is a page; its 63 difference bits are the hash.  The labels are
-# archives, and three page widths make some pairs differ in aspect.
-WIDTH = "CAST(1000 + (vec_id % 3) * 8 AS INT)"
-BITS = "array_to_string(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > embedding[i + 1] THEN '1' ELSE '0' END), '')"
-VEC_SQL = f"SELECT vec_id, label, {BITS} AS bits, {WIDTH} AS width, 'h' || CAST(vec_id AS VARCHAR) AS sha256 FROM embeddings"
-NEAR_SQL = """
-SELECT a.bits AS a_bits, b.bits AS b_bits, a.width AS a_width, b.width AS b_width, hamming(a.bits, b.bits) AS distance
-FROM n a JOIN n b ON (a.bits, a.width) < (b.bits, b.width)
-WHERE hamming(a.bits, b.bits) <= {t} AND abs(a.width - b.width) * 100 <= greatest(a.width, b.width)"""
-DISTANCE = 16
-
-
-def vectors(t):
-    hi = hashes.dhash_bits(F.col("embedding"), 64, 1)
-    return t.embeddings.select(
-        "vec_id", "label", hi.alias("hi"), F.lit(0).alias("color"), F.expr(WIDTH).alias("width"), F.lit(1500).alias("height"),
-        F.concat(F.lit("h"), F.col("vec_id").cast("string")).alias("sha256"),
+# A document is a page: its grey grid counts eight letters in nine parts of the
+# text, so copies have equal hashes and near copies near ones; the colour grid
+# has one colour, made of the language and the source.  The package is the
+# source, the series the language; three page widths differ in aspect.
+PARTS = ", ".join(f"substr(text, CAST(1 + {i} * floor(length(text) / 9) AS INT), CAST(floor(length(text) / 9) AS INT)) AS part{i}" for i in range(9))
+CELLS = [f"length(part{c}) - length(replace(part{c}, '{letter}', ''))" for letter in "etanoisr" for c in range(9)]
+PAGE_WIDTH = "CAST(1000 + (floor(n_chars / 40) % 3) * 8 AS INT)"
+DISTANCE = 4
+_CODE = "CAST(substr(source, 4) AS INT)"
+GRID_SQL = f"SELECT doc_id, lang, source, n_chars, text, {PARTS} FROM documents"
+HASH_SQL = f"""SELECT doc_id, lang, source, sha256(text) AS sha256, {PAGE_WIDTH} AS width,
+  array_to_string(list_transform(range(64), lambda i: CASE WHEN cells[i // 8 * 9 + i % 8 + 1] > cells[i // 8 * 9 + i % 8 + 2] THEN '1' ELSE '0' END), '') ||
+  lpad(bin((ascii(lang) << 16) | (ascii(substr(lang, 2)) << 8) | {_CODE}), 24, '0') AS bits
+FROM (SELECT *, [{', '.join(CELLS)}] AS cells FROM g)"""
+NEAR_SQL = f"""
+SELECT x.*, y.lang AS lang2, y.bits AS bits2, y.width AS width2, y.source AS source2, y.doc_id AS doc2, y.sha256 AS sha2, CAST(hamming(x.bits, y.bits) AS INTEGER) AS distance
+FROM v x JOIN v y ON x.lang = y.lang WHERE hamming(x.bits, y.bits) <= {DISTANCE} AND abs(x.width - y.width) * 100 <= greatest(x.width, y.width)"""
+NEAR_CTES = {"g": GRID_SQL, "v": HASH_SQL, "n": NEAR_SQL}
+PAIRS_SQL = """
+SELECT lang AS series, source AS archive, doc_id AS page, sha256, source2 AS other, doc2 AS other_page, sha2 AS other_sha256, distance FROM n WHERE source <> source2"""
+
+
+def grid_pages(t):
+    """Pages of the documents with their 88-bit hashes."""
+    # The cells are computed once, not for every bit that reads them.
+    grid = spread.computed(t.sql(GRID_SQL).withColumn("gray", F.array(*map(F.expr, CELLS))), "gray")
+    color = F.struct(F.ascii("lang").alias("r"), F.ascii(F.substring("lang", 2, 1)).alias("g"), F.expr(_CODE).alias("b"))
+    hi, tint = hashes.dhash88(F.col("gray"), F.array_repeat(color, 64))
+    return grid.select(
+        F.col("lang").alias("series"), F.col("source").alias("archive"), F.col("doc_id").alias("page"), F.sha2("text", 256).alias("sha256"),
+        hi.alias("hi"), tint.alias("color"), F.expr(PAGE_WIDTH).alias("width"), F.lit(1500).alias("height"),
     )
 
 
-def _bits(hi):
-    return F.lpad(F.bin(hi), 63, "0")
+def _bits(hi, color):
+    return F.concat(F.lpad(F.bin(hi), 64, "0"), F.lpad(F.bin(color.cast("bigint")), 24, "0"))
 
 
-@query("difference_hash", with_(v=VEC_SQL) + """
-SELECT vec_id, bits, lower(to_hex(CAST(list_sum(list_transform(range(1, 64), lambda i: CASE WHEN bits[i] = '1' THEN (CAST(1 AS HUGEINT) << (63 - i)) ELSE CAST(0 AS HUGEINT) END)) AS BIGINT))) AS hex FROM v""")
+@query("difference_hash", with_(g=GRID_SQL, v=HASH_SQL) + """
+SELECT doc_id, bits, array_to_string(list_transform(range(22), lambda i: substr('0123456789abcdef', 1 + 8 * CAST(substr(bits, i * 4 + 1, 1) AS INT)
+  + 4 * CAST(substr(bits, i * 4 + 2, 1) AS INT) + 2 * CAST(substr(bits, i * 4 + 3, 1) AS INT) + CAST(substr(bits, i * 4 + 4, 1) AS INT), 1)), '') AS hex FROM v""")
 def difference_hash(t):
-    return vectors(t).select("vec_id", _bits(F.col("hi")).alias("bits"), F.lower(F.hex("hi")).alias("hex"))
+    pages = grid_pages(t)
+    return pages.select(F.col("page").alias("doc_id"), _bits(F.col("hi"), F.col("color")).alias("bits"), hashes.dhash_hex(F.col("hi"), F.col("color")).alias("hex"))
 
 
 @query("near_pairs", with_(
-    v=VEC_SQL, n="SELECT bits, width, count(*) AS pages FROM v GROUP BY ALL", pairs=NEAR_SQL.format(t=DISTANCE),
+    **NEAR_CTES, k="SELECT lang, bits, width, count(*) AS pages FROM v GROUP BY ALL",
+    d="SELECT DISTINCT lang, bits, width, bits2, width2, distance FROM n WHERE (bits, width) < (bits2, width2)",
 ) + """
-SELECT a_bits, b_bits, a_width, b_width, distance, x.pages AS a_pages, y.pages AS b_pages FROM pairs
-JOIN n x ON x.bits = a_bits AND x.width = a_width JOIN n y ON y.bits = b_bits AND y.width = b_width""")
+SELECT d.lang AS series, d.bits AS a_bits, bits2 AS b_bits, d.width AS a_width, width2 AS b_width, CAST(distance AS BIGINT) AS distance, x.pages AS a_pages, y.pages AS b_pages FROM d
+JOIN k x ON x.lang = d.lang AND x.bits = d.bits AND x.width = d.width JOIN k y ON y.lang = d.lang AND y.bits = bits2 AND y.width = width2
+UNION ALL SELECT lang, bits, bits, width, width, 0, pages, pages FROM k WHERE pages > 1""")
 def near_pairs(t):
-    pairs = overlap.near_pairs(vectors(t), [], DISTANCE, bits=64)
-    return pairs.select(
-        _bits(F.col("a.hi")).alias("a_bits"), _bits(F.col("b.hi")).alias("b_bits"), F.col("a.width").alias("a_width"),
-        F.col("b.width").alias("b_width"), F.col("distance").cast("bigint").alias("distance"), "a_pages", "b_pages",
-    )
-
-
-PAIRS_SQL = f"""
-SELECT x.label AS archive, x.vec_id AS page, x.sha256, y.label AS other, y.vec_id AS other_page, y.sha256 AS other_sha256,
-  hamming(x.bits, y.bits) AS distance
-FROM v x JOIN v y ON x.label <> y.label WHERE hamming(x.bits, y.bits) <= {DISTANCE} AND abs(x.width - y.width) * 100 <= greatest(x.width, y.width)"""
-
-
-def _pages(t):
-    return vectors(t).select(
-        F.lit("all").alias("series"), F.col("label").cast("string").alias("archive"), F.col("vec_id").alias("page"),
-        "sha256", *overlap.NODE,
+    pairs = overlap.near_pairs(grid_pages(t), ["series"], DISTANCE)
+    # The order of two nodes follows the signed hash; name them by their bits as the SQL does.
+    a = F.struct(_bits(F.col("a.hi"), F.col("a.color")).alias("bits"), F.col("a.width").alias("width"), F.col("a_pages").alias("pages"))
+    b = F.struct(_bits(F.col("b.hi"), F.col("b.color")).alias("bits"), F.col("b.width").alias("width"), F.col("b_pages").alias("pages"))
+    low, high = F.least(a, b), F.greatest(a, b)
+    return pairs.select("series", low.alias("x"), high.alias("y"), F.col("distance").cast("bigint").alias("distance")).select(
+        "series", F.col("x.bits").alias("a_bits"), F.col("y.bits").alias("b_bits"), F.col("x.width").alias("a_width"), F.col("y.width").alias("b_width"),
+        "distance", F.col("x.pages").alias("a_pages"), F.col("y.pages").alias("b_pages"),
     )
 
 
 def candidates(t):
-    """For each pair of near nodes in different archives, the first page of each; both directions."""
-    pages = _pages(t)
-    near = overlap.neighbours(pages, ["series"], DISTANCE, bits=64)
-    first = pages.groupBy("series", F.struct(*overlap.NODE).alias("node")).agg(
-        F.min(F.struct("page", "archive", "sha256")).alias("p")
-    )
-    right = first.toDF("series", "other", "q")
-    return (
-        near.join(first, ["series", "node"])
-        .join(right, ["series", "other"])
-        .select(
-            "series", "p.archive", "p.page", "p.sha256", F.col("q.archive").alias("other"), F.col("q.page").alias("other_page"),
-            F.col("q.sha256").alias("other_sha256"), F.col("distance").cast("int").alias("distance"),
-        )
-        .filter("archive != other")
-    )
+    pages = grid_pages(t)
+    return overlap.near_candidates(pages, pages.select("series", "archive"), DISTANCE)
 
 
-@query("near_candidates", with_(v=VEC_SQL, p=PAIRS_SQL) + """
-SELECT CAST(archive AS VARCHAR) AS archive, page, sha256, CAST(other AS VARCHAR) AS other, other_page, other_sha256, CAST(distance AS INTEGER) AS distance FROM p""")
+@query("near_candidates", with_(**NEAR_CTES) + PAIRS_SQL)
 def near_candidates(t):
-    return candidates(t).drop("series")
+    return candidates(t)
 
 
 @query("audit_near", with_(
-    v=VEC_SQL, p=PAIRS_SQL,
-    e="SELECT archive, count(*) AS expected, count(*) FILTER (page % 3 <> 0 OR page % 2 = 0) AS kept, count(*) FILTER (page % 3 <> 0 AND page % 7 = 0) AS forged FROM p GROUP BY 1",
+    **NEAR_CTES, p=PAIRS_SQL,
+    e="SELECT series, archive, count(*) AS expected, count(*) FILTER (page % 3 <> 0 OR page % 2 = 0) AS kept, count(*) FILTER (page % 3 <> 0 AND page % 7 = 0) AS forged FROM p GROUP BY ALL",
 ) + """
-SELECT 'all' AS series, CAST(l.label AS VARCHAR) AS archive, coalesce(expected, 0) AS expected, coalesce(kept - forged, 0) AS confirmed, coalesce(forged, 0) AS wrong,
+SELECT series, archive, coalesce(expected, 0) AS expected, coalesce(kept - forged, 0) AS confirmed, coalesce(forged, 0) AS wrong,
   coalesce(expected, 0) = coalesce(kept - forged, 0) AND coalesce(forged, 0) = 0 AS ok
-FROM (SELECT DISTINCT label FROM v) l LEFT JOIN e ON e.archive = l.label""")
+FROM (SELECT DISTINCT lang AS series, source AS archive FROM v) l LEFT JOIN e USING (series, archive)""")
 def audit_near(t):
+    """The recorded candidates lack some pairs (planted) and state a wrong distance for others."""
     recorded = candidates(t).filter("page % 3 <> 0 OR page % 2 = 0").withColumn(
         "distance", F.expr("distance + CASE WHEN page % 3 <> 0 AND page % 7 = 0 THEN 1 ELSE 0 END")
     )
-    pages = _pages(t)
-    return overlap.audit_near(recorded, pages, pages.select("series", "archive"), DISTANCE, bits=64)
+    pages = grid_pages(t)
+    return overlap.audit_near(recorded, pages, pages.select("series", "archive"), DISTANCE)
 
 
 DECISIONS_SQL = """
@@ -172,16 +168,16 @@ UNION ALL SELECT archive, page, sha256, other, other_page, 'other', distance, 9
 
 
 @query("decision_issues", with_(
-    v=VEC_SQL, p=PAIRS_SQL, d=DECISIONS_SQL,
+    **NEAR_CTES, p=PAIRS_SQL, d=DECISIONS_SQL,
     c="""SELECT archive, page, sha256, other, other_page, other_sha256, distance, count(*) FILTER (src = 'c') AS c, count(*) FILTER (src = 'd') AS d
          FROM (SELECT archive, page, sha256, other, other_page, other_sha256, distance, 'c' AS src FROM p
                UNION ALL SELECT archive, page, sha256, other, other_page, other_sha256, distance, 'd' FROM d) GROUP BY ALL""",
-    i="""SELECT *, 'candidate without a visual decision' AS message FROM (SELECT * EXCLUDE (c, d) FROM c WHERE c > 0 AND d = 0)
-      UNION ALL SELECT *, 'candidate with several visual decisions' FROM (SELECT * EXCLUDE (c, d) FROM c WHERE c > 0 AND d > 1)
-      UNION ALL SELECT *, 'visual decision without a candidate' FROM (SELECT * EXCLUDE (c, d) FROM c WHERE c = 0)
-      UNION ALL SELECT *, 'visual decision lacks a boolean duplicate result' FROM (SELECT * EXCLUDE (k) FROM d WHERE k = 1)
-      UNION ALL SELECT *, 'visual decision lacks a reviewer' FROM (SELECT * EXCLUDE (k) FROM d WHERE k = 2)
-      UNION ALL SELECT *, 'visual decision lacks a reason' FROM (SELECT * EXCLUDE (k) FROM d WHERE k = 3)""",
+    i="""SELECT *, 'candidate.decided' AS message FROM (SELECT * EXCLUDE (c, d) FROM c WHERE c > 0 AND d = 0)
+      UNION ALL SELECT *, 'candidate.decided-once' FROM (SELECT * EXCLUDE (c, d) FROM c WHERE c > 0 AND d > 1)
+      UNION ALL SELECT *, 'visual.candidate' FROM (SELECT * EXCLUDE (c, d) FROM c WHERE c = 0)
+      UNION ALL SELECT *, 'visual.duplicate-boolean' FROM (SELECT * EXCLUDE (k) FROM d WHERE k = 1)
+      UNION ALL SELECT *, 'visual.reviewer' FROM (SELECT * EXCLUDE (k) FROM d WHERE k = 2)
+      UNION ALL SELECT *, 'visual.reason' FROM (SELECT * EXCLUDE (k) FROM d WHERE k = 3)""",
 ) + """
 SELECT DISTINCT 'invalid_volume_fallback' AS code, concat_ws('|', CAST(archive AS VARCHAR), CAST(page AS VARCHAR), sha256, CAST(other AS VARCHAR), CAST(other_page AS VARCHAR), other_sha256, CAST(distance AS VARCHAR)) AS subject, message FROM i""")
 def decision_issues(t):
@@ -226,17 +222,13 @@ def stale_decisions(t):
 
 
 def merge_input(t):
-    """Vectors as pages of three merges; every near pair has a decision that names one page as the copy."""
-    pages = vectors(t).selectExpr(
-        "CAST(vec_id % 3 AS INT) AS output", "label AS source_index", "vec_id AS page", "'a' || label AS archive_sha256",
-        "'h' || (vec_id - CASE WHEN vec_id % 10 = 9 THEN 9 ELSE 0 END) AS sha256", *overlap.NODE,
+    """Documents as pages of a merge for each language; near pairs have a decision that names one page as the copy."""
+    pages = grid_pages(t).selectExpr(
+        "series AS output", f"{_CODE.replace('source', 'archive')} AS source_index", "page", "'a' || archive AS archive_sha256", "sha256", *overlap.NODE,
     )
     pos = dedupe.position()
-    # Pages whose number ends in 9 repeat the bytes of another page, so they share its hash too.
-    same = pages.groupBy("output", "sha256").agg(F.min_by(F.struct(*overlap.NODE), "page").alias("n"))
-    pages = pages.drop(*overlap.NODE).join(same, ["output", "sha256"]).select(*pages.columns[:5], "n.*").withColumn("pos", pos)
-    near = overlap.neighbours(pages, ["output"], DISTANCE, bits=64)
-    a = pages.withColumn("node", F.struct(*overlap.NODE))
+    near = overlap.neighbours(pages, ["output"], DISTANCE)
+    a = pages.withColumn("node", F.struct(*overlap.NODE)).withColumn("pos", pos)
     b = a.groupBy("output", F.col("node").alias("other")).agg(F.min(F.struct("pos", "sha256")).alias("first"))
     b = b.select("output", "other", F.col("first.pos").alias("other_pos"), F.col("first.sha256").alias("target"))
     pairs = a.join(near, ["output", "node"]).join(b, ["output", "other"]).filter("other_pos < pos AND target != sha256")
@@ -246,19 +238,19 @@ def merge_input(t):
         "output", "source_index", "page", "page % 2 = 0 AS duplicate", "archive_sha256 AS source_archive_sha256",
         "CASE WHEN page % 7 = 0 THEN 'old' ELSE sha256 END AS source_page_sha256", "target AS duplicate_target_sha256",
     )
-    return pages.drop("pos"), decisions
+    return pages, decisions
 
 
 @query("merge_pages")
 def merge_pages(t):
     pages, decisions = merge_input(t)
-    return dedupe.merge_pages(pages, decisions, ["output"], DISTANCE, bits=64)
+    return dedupe.merge_pages(pages, decisions, ["output"], DISTANCE)
 
 
 @query("merge_report")
 def merge_report(t):
     pages, decisions = merge_input(t)
-    return dedupe.merge_report(dedupe.merge_pages(pages, decisions, ["output"], DISTANCE, bits=64), ["output"])
+    return dedupe.merge_report(dedupe.merge_pages(pages, decisions, ["output"], DISTANCE), ["output"])
 
 
 # Provenance: each source's pages are merged into one output; some rows are forged.
@@ -280,20 +272,18 @@ NUMBERED_SQL = "SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id
            min("row") OVER (PARTITION BY m.output, m.source, m.source_page) AS first_row
          FROM map m LEFT JOIN pages s ON s.archive = m.source AND s.page = m.source_page
          LEFT JOIN pages o ON o.archive = m.output AND o.page = m."row" + 1""",
-    i="""SELECT output, output_page, 'page mapping is not bound to a verified source component' AS message FROM j WHERE NOT bound
-      UNION ALL SELECT output, output_page, 'source page is outside the verified source archive' FROM j WHERE bound AND ssha IS NULL
-      UNION ALL SELECT output, output_page, 'page mapping reuses one source page' FROM j WHERE bound AND ssha IS NOT NULL AND "row" > first_row
-      UNION ALL SELECT output, output_page, 'source-page SHA-256 differs from the preserved source page' FROM j WHERE bound AND lower(source_page_sha256) <> ssha
-      UNION ALL SELECT output, output_page, 'output page bytes differ from the mapped source page' FROM j WHERE bound AND output_sha256 <> 'short' AND output_sha256 <> ssha
-      UNION ALL SELECT output, output_page, 'output page SHA-256 is invalid' FROM j WHERE output_sha256 = 'short'
-      UNION ALL SELECT output, output_page, 'output page mapping is not continuous' FROM j WHERE output_page <> "row" + 1
-      UNION ALL SELECT output, output_page, 'output page mapping hashes differ from actual output pages' FROM j WHERE output_sha256 IS DISTINCT FROM osha
-      UNION ALL SELECT output, NULL, 'output page mapping does not match the page count' FROM (
+    i="""SELECT output, output_page, 'map.bound' AS message FROM j WHERE NOT bound
+      UNION ALL SELECT output, output_page, 'map.source-page' FROM j WHERE bound AND ssha IS NULL
+      UNION ALL SELECT output, output_page, 'map.source-page-once' FROM j WHERE bound AND ssha IS NOT NULL AND "row" > first_row
+      UNION ALL SELECT output, output_page, 'map.source-hash' FROM j WHERE bound AND lower(source_page_sha256) <> ssha
+      UNION ALL SELECT output, output_page, 'map.bytes-equal' FROM j WHERE bound AND output_sha256 <> 'short' AND output_sha256 <> ssha
+      UNION ALL SELECT output, output_page, 'map.output-hash-valid' FROM j WHERE output_sha256 = 'short'
+      UNION ALL SELECT output, output_page, 'map.continuous' FROM j WHERE output_page <> "row" + 1
+      UNION ALL SELECT output, output_page, 'map.output-hash' FROM j WHERE output_sha256 IS DISTINCT FROM osha
+      UNION ALL SELECT output, NULL, 'map.length' FROM (
         SELECT 'out ' || source AS output FROM documents GROUP BY source HAVING count(*) FILTER (doc_id % 101 <> 0) <> count(*))""",
 ) + "SELECT DISTINCT output, CAST(output_page AS BIGINT) AS output_page, message FROM i")
 def bind_page_map(t):
-    from ..operators import spread
-
     numbered = spread.number_rows(t.documents, ["source"], "doc_id", "rn")
     text = MAP_SQL.split("SELECT ", 1)[1].split("FROM numbered")[0].replace('"row"', "`row`")
     text = text.replace("sha256(text)", "sha2(text, 256)").replace("sha256('z')", "sha2('z', 256)").replace("sha256('y')", "sha2('y', 256)")
@@ -335,18 +325,18 @@ FROM documents"""
            coalesce(review_duplicate, false) AND review_source_sha256 = s AND review_target_sha256 = t AND trim(reviewer) <> '' AS positive,
            review_copy_preserved AND review_copy IS NOT NULL AS preserved FROM j""",
 ) + """
-SELECT output, "index", 'omitted page lacks a source archive and page number' AS message FROM k WHERE NOT located
-UNION ALL SELECT output, "index", 'omitted page source is not in the verified source manifest' FROM k WHERE located AND NOT trusted
-UNION ALL SELECT output, "index", 'omitted source page cannot be verified' FROM k WHERE trusted AND NOT found
-UNION ALL SELECT output, "index", 'omitted source-page SHA-256 differs from preserved bytes' FROM k WHERE found AND source_page_sha256 <> s
-UNION ALL SELECT output, "index", 'duplicate target page is outside the actual output' FROM k WHERE found AND NOT aimed
-UNION ALL SELECT output, "index", 'duplicate target SHA-256 differs from the actual page' FROM k WHERE aimed AND target_sha256 <> t
-UNION ALL SELECT output, "index", 'exact duplicate evidence differs from actual bytes' FROM k WHERE aimed AND method = 'byte-sha256' AND NOT (s = t AND evidence_sha256 = s)
-UNION ALL SELECT output, "index", 'perceptual duplicate evidence is not bound to actual page hashes' FROM k WHERE aimed AND method = 'dhash-88-color' AND NOT (measured AND reviewed)
-UNION ALL SELECT output, "index", 'perceptual duplicate lacks a hash-bound positive visual decision' FROM k WHERE aimed AND method = 'dhash-88-color' AND measured AND reviewed AND NOT positive
-UNION ALL SELECT output, "index", 'omitted page evidence method is unsupported' FROM k WHERE aimed AND method = 'guess'
-UNION ALL SELECT output, "index", 'omitted page lacks a preserved review copy' FROM k WHERE aimed AND NOT preserved
-UNION ALL SELECT output, "index", 'review copy is not bound to the verified review manifest' FROM k WHERE aimed AND preserved AND review_copy_sha256 = 'stale'""")
+SELECT output, "index", 'omitted.located' AS message FROM k WHERE NOT located
+UNION ALL SELECT output, "index", 'omitted.source-trusted' FROM k WHERE located AND NOT trusted
+UNION ALL SELECT output, "index", 'omitted.source-page' FROM k WHERE trusted AND NOT found
+UNION ALL SELECT output, "index", 'omitted.source-hash' FROM k WHERE found AND source_page_sha256 <> s
+UNION ALL SELECT output, "index", 'omitted.target-page' FROM k WHERE found AND NOT aimed
+UNION ALL SELECT output, "index", 'omitted.target-hash' FROM k WHERE aimed AND target_sha256 <> t
+UNION ALL SELECT output, "index", 'omitted.exact-evidence' FROM k WHERE aimed AND method = 'byte-sha256' AND NOT (s = t AND evidence_sha256 = s)
+UNION ALL SELECT output, "index", 'omitted.near-evidence' FROM k WHERE aimed AND method = 'dhash-88-color' AND NOT (measured AND reviewed)
+UNION ALL SELECT output, "index", 'omitted.near-decision' FROM k WHERE aimed AND method = 'dhash-88-color' AND measured AND reviewed AND NOT positive
+UNION ALL SELECT output, "index", 'omitted.method' FROM k WHERE aimed AND method = 'guess'
+UNION ALL SELECT output, "index", 'omitted.copy' FROM k WHERE aimed AND NOT preserved
+UNION ALL SELECT output, "index", 'omitted.copy-bound' FROM k WHERE aimed AND preserved AND review_copy_sha256 = 'stale'""")
 def audit_omitted(t):
     rows = t.sql(
         OMIT_SQL.format(h="sha2(", e=", 256)").replace('"index"', "`index`").replace("to_hex_(doc_id)", "hex(doc_id)")
@@ -369,12 +359,12 @@ def audit_omitted(t):
          FROM documents GROUP BY 1 HAVING min(doc_id) % 8 <> 7""",
     j="SELECT r.*, n FROM r LEFT JOIN n USING (output)",
 ) + """
-SELECT output, 'special_deduplication_incomplete' AS code, 'deduplication state is incomplete' AS message FROM j WHERE result = 'open'
-UNION ALL SELECT output, 'special_deduplication_incomplete', 'visual review is incomplete' FROM j WHERE NOT vis
-UNION ALL SELECT output, 'special_deduplication_incomplete', 'audit record ID is missing' FROM j WHERE rid = ''
-UNION ALL SELECT output, 'special_deduplication_incomplete', 'source hashes do not match preserved sources' FROM j WHERE NOT ok
-UNION ALL SELECT output, 'special_deduplication_incomplete', 'review-copy status is missing' FROM j WHERE st <> CASE WHEN n > 0 THEN 'preserved' ELSE 'not-applicable' END
-UNION ALL SELECT output, 'special_deduplication_missing', 'output lacks persisted deduplication state' FROM o WHERE output NOT IN (SELECT output FROM r)""")
+SELECT output, 'special_deduplication_incomplete' AS code, 'omitted.state-complete' AS message FROM j WHERE result = 'open'
+UNION ALL SELECT output, 'special_deduplication_incomplete', 'omitted.review-complete' FROM j WHERE NOT vis
+UNION ALL SELECT output, 'special_deduplication_incomplete', 'omitted.record-id' FROM j WHERE rid = ''
+UNION ALL SELECT output, 'special_deduplication_incomplete', 'omitted.sources-equal' FROM j WHERE NOT ok
+UNION ALL SELECT output, 'special_deduplication_incomplete', 'omitted.copy-stated' FROM j WHERE st <> CASE WHEN n > 0 THEN 'preserved' ELSE 'not-applicable' END
+UNION ALL SELECT output, 'special_deduplication_missing', 'omitted.state-present' FROM o WHERE output NOT IN (SELECT output FROM r)""")
 def audit_records(t):
     docs = t.documents
     first = docs.groupBy(F.col("source").alias("output")).agg(F.min("doc_id").alias("m")).filter("m % 8 <> 7")

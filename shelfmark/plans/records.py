@@ -53,29 +53,29 @@ FALLBACK_DOCS = (
     f"regexp_replace({_json(FALLBACK)}, '[}}]$', '') || ',\"overlap_audit\":' || CASE WHEN {HAS} THEN {_json(OVERLAP)} ELSE 'null' END || '}}' AS json FROM orders"
 )
 FALLBACK_RULES = [
-    (f"{C} % 13 = 0", "chapter must be null for a volume fallback"), (f"{C} % 11 = 0", "confirmed numeric volume is missing"),
-    (f"{C} % 17 = 0", "fallback reason is missing"), (f"{C} % 19 = 0", "source SHA-256 is missing"),
-    (f"{C} % 23 = 0 AND {C} % 19 <> 0", "source path is unsafe"), (f"{C} % 103 = 0", "boundary method is missing"),
-    (f"{C} % 5 = 0", "high-confidence series identity is not explicitly confirmed"),
-    (f"{C} % 107 = 0", "volume identity is not explicitly confirmed"),
-    (f"{C} % 109 = 0", "exactly one complete source volume is not explicitly confirmed"),
-    (f"{C} % 113 = 0", "all source pages are not explicitly confirmed readable"),
-    (f"{C} % 127 = 0", "natural page order is not explicitly confirmed"), (f"{C} % 29 = 0", "attempted evidence is missing"),
-    (f"{C} % 31 = 0", "OCR was used without recorded authorization"),
-    (f"{C} % 131 = 0", "cross-package overlap audit is not explicitly confirmed"),
-    (f"{C} % 37 = 0", "cross-package content overlap remains unresolved"), (f"{C} % 41 = 0", "stable fallback ID is missing"),
-    (f"NOT ({HAS})", "machine-readable overlap audit is missing"),
-    (f"{HAS} AND {C} % 59 = 0", "overlap audit compared identities are missing"),
-    (f"{HAS} AND {C} % 61 = 0", "overlap audit lacks page SHA-256 comparison"),
-    (f"{HAS} AND {C} % 67 = 0", "overlap audit lacks perceptual-candidate comparison"),
-    (f"{HAS} AND {C} % 71 = 0", "overlap audit visual decisions are incomplete"),
-    (f"{HAS} AND {C} % 73 = 0", "overlap audit result is unresolved"), (f"{HAS} AND {C} % 79 = 0", "overlap audit record ID is missing"),
-    (f"{HAS} AND {C} % 83 = 0", "overlap audit perceptual distance must be an integer from 0 through 16"),
-    (f"{HAS} AND {C} % 89 = 0", "overlap audit perceptual hash algorithm is missing or unsupported"),
-    (f"{HAS} AND {C} % 97 = 0", "overlap audit perceptual candidates must be recorded as an array"),
-    (f"{HAS} AND {C} % 101 = 0", "overlap audit visual decisions must be recorded as an array"),
-    (f"{C} % 47 = 0", "page coverage is explicitly incomplete"), (f"{C} % 3 = 1", "source pages are not covered exactly once"),
-    (f"{C} % 53 = 0", "documented source page count does not equal actual fallback page count"),
+    (f"{C} % 13 = 0", "fallback.chapter-null"), (f"{C} % 11 = 0", "fallback.volume-number"),
+    (f"{C} % 17 = 0", "fallback.reason"), (f"{C} % 19 = 0", "fallback.hash"),
+    (f"{C} % 23 = 0 AND {C} % 19 <> 0", "fallback.path-safe"), (f"{C} % 103 = 0", "fallback.boundary-method"),
+    (f"{C} % 5 = 0", "fallback.series-confirmed"),
+    (f"{C} % 107 = 0", "fallback.volume-confirmed"),
+    (f"{C} % 109 = 0", "fallback.one-volume"),
+    (f"{C} % 113 = 0", "fallback.pages-readable"),
+    (f"{C} % 127 = 0", "fallback.order-confirmed"), (f"{C} % 29 = 0", "fallback.attempts"),
+    (f"{C} % 31 = 0", "ocr.authorized"),
+    (f"{C} % 131 = 0", "fallback.overlap-audited"),
+    (f"{C} % 37 = 0", "fallback.overlap-resolved"), (f"{C} % 41 = 0", "fallback.id"),
+    (f"NOT ({HAS})", "overlap.present"),
+    (f"{HAS} AND {C} % 59 = 0", "overlap.identities"),
+    (f"{HAS} AND {C} % 61 = 0", "overlap.exact-compared"),
+    (f"{HAS} AND {C} % 67 = 0", "overlap.near-compared"),
+    (f"{HAS} AND {C} % 71 = 0", "overlap.decisions-complete"),
+    (f"{HAS} AND {C} % 73 = 0", "overlap.result"), (f"{HAS} AND {C} % 79 = 0", "overlap.record-id"),
+    (f"{HAS} AND {C} % 83 = 0", "overlap.distance"),
+    (f"{HAS} AND {C} % 89 = 0", "overlap.algorithm"),
+    (f"{HAS} AND {C} % 97 = 0", "overlap.candidates-array"),
+    (f"{HAS} AND {C} % 101 = 0", "overlap.decisions-array"),
+    (f"{C} % 47 = 0", "plan.coverage-stated"), (f"{C} % 3 = 1", "plan.coverage"),
+    (f"{C} % 53 = 0", "fallback.page-count"),
     (f"{C} % 137 = 0", "overlap audit page SHA-256 comparison differs from actual packages"),
 ]
 
@@ -95,12 +95,12 @@ SPECIAL = [
 ]
 SPECIAL_DOCS = f"SELECT {KEY} AS doc_seq, 2 AS actual_pages, {_json(SPECIAL)} AS json FROM orders"
 SPECIAL_RULES = [
-    (f"{C} % 7 = 0", "complete independent Special range is not confirmed"), (f"{C} % 11 = 0", "Special identity confidence is not high"),
-    (f"{C} % 13 = 0", "Special identity evidence is missing"), (f"{C} % 17 = 0", "Special documented page count differs from the archive"),
-    (f"{C} % 19 = 0", "Special deduplication audit is incomplete"), (f"{C} % 23 = 0", "Special audit record ID is missing"),
-    (f"{C} % 29 = 0", "Special source component is invalid"), (f"{C} % 29 = 0", "Special source component lacks path or SHA-256"),
-    (f"{C} % 29 = 0", "Special source component included-page list is invalid"),
-    (f"{C} % 31 = 0", "Special output page mapping does not match PageCount"),
+    (f"{C} % 7 = 0", "special.range-complete"), (f"{C} % 11 = 0", "special.confidence"),
+    (f"{C} % 13 = 0", "special.identity-evidence"), (f"{C} % 17 = 0", "special.page-count"),
+    (f"{C} % 19 = 0", "special.dedupe-done"), (f"{C} % 23 = 0", "special.record-id"),
+    (f"{C} % 29 = 0", "component.valid"), (f"{C} % 29 = 0", "component.path-and-hash"),
+    (f"{C} % 29 = 0", "component.included-valid"),
+    (f"{C} % 31 = 0", "special.map-length"),
 ]
 
 
@@ -132,7 +132,7 @@ BOUNDARY_RULES = [
     (f"{SP} AND {C} % 7 = 0", "BOUNDARY_INVALID:Special Number must use SP followed by digits"),
     (f"{SP} AND {C} % 11 = 0", "BOUNDARY_INVALID:Special Format cannot be overridden"),
     (f"{SP} AND {C} % 11 = 0", "META008:Special requires a reliable Chinese Title"),
-    (f"NOT ({SP}) AND {C} % 7 <> 0", "BOUNDARY_INVALID:a normal chapter cannot use an SP Number"),
+    (f"NOT ({SP}) AND {C} % 7 <> 0", "BOUNDARY_INVALID:chapter.number-not-sp"),
     (f"NOT ({SP}) AND {C} % 3 <> 0 AND {C} % 47 <> 0", "KAVITA_VOLUME_JUMP_RISK:continuous-chapter output filename must omit its volume"),
     (f"NOT ({SP}) AND {C} % 3 = 0 AND {C} % 11 = 0", "BOUNDARY_INVALID:volume-aware output requires a confirmed Volume"),
     (f"{C} % 5 = 0 AND {C} % 15 <> 0", "BOUNDARY_VISUAL_REVIEW_REQUIRED:span lacks affirmative visual flags"),
@@ -199,8 +199,8 @@ DECISION_KEY = f"CASE WHEN {C} % 29 = 0 THEN '0:0' ELSE CAST({KEY} AS STRING) ||
 
 
 @query("decision_row_issues", _problems([
-    (f"{C} % 29 = 0", "key must be source_index:page"), (f"{C} % 7 = 0", "duplicate must be Boolean"),
-    (f"{C} % 11 = 0 OR {C} % 13 = 0", "reason and reviewer are required"), (f"{C} % 17 = 0", "source_archive_sha256 is required"),
+    (f"{C} % 29 = 0", "decision.key-form"), (f"{C} % 7 = 0", "decision.duplicate-boolean"),
+    (f"{C} % 11 = 0 OR {C} % 13 = 0", "decision.reason-and-reviewer"), (f"{C} % 17 = 0", "source_archive_sha256 is required"),
     (f"{C} % 19 = 0", "source_page_sha256 is required"), (f"{C} % 23 = 0", "duplicate_target_sha256 is required"),
 ], DECISION_KEY + " AS key, '{message}' AS message", "orders"))
 def decision_row_issues(t):
@@ -217,12 +217,12 @@ M = f"{C} % 3 <> 0"
 
 @query("missing_source_issues", " UNION ALL ".join(
     f"SELECT {KEY} AS doc_seq, '{code}' AS code, '{message}' AS message FROM orders WHERE {c}" for c, code, message in [
-        (f"{C} % 3 = 0 AND {C} % 5 <> 0", "invalid_missing_source", "only a missing-source record may lack hash and count"),
-        (f"{M} AND {C} % 5 = 0", "invalid_missing_source", "a missing source has no hash and no count"),
-        (f"{M} AND {C} % 7 = 0", "invalid_missing_source", "a missing source keeps its expected locator"),
-        (f"{M} AND {C} % 2 <> 0 AND {C} % 11 = 0", "invalid_missing_source", "a missing volume keeps a null chapter range"),
-        (f"{M} AND {C} % 2 <> 0 AND {C} % 11 <> 0", "UNMAPPED_SOURCE_ABSENCE", "chapters of the absent volume are unknown"),
-        (f"{M} AND {C} % 2 = 0 AND {C} % 11 <> 0", "invalid_missing_source", "a missing chapter range is not stated"),
+        (f"{C} % 3 = 0 AND {C} % 5 <> 0", "invalid_missing_source", "missing.only-then-blank"),
+        (f"{M} AND {C} % 5 = 0", "invalid_missing_source", "missing.no-hash-no-count"),
+        (f"{M} AND {C} % 7 = 0", "invalid_missing_source", "missing.locator"),
+        (f"{M} AND {C} % 2 <> 0 AND {C} % 11 = 0", "invalid_missing_source", "missing.volume-range-null"),
+        (f"{M} AND {C} % 2 <> 0 AND {C} % 11 <> 0", "UNMAPPED_SOURCE_ABSENCE", "missing.volume-chapters"),
+        (f"{M} AND {C} % 2 = 0 AND {C} % 11 <> 0", "invalid_missing_source", "missing.chapters-stated"),
     ]
 ))
 def missing_source_issues(t):
@@ -266,9 +266,9 @@ def gap_parser(t):
 
 @query("gap_plan_issues", f"""
 SELECT CAST({KEY} AS VARCHAR) AS subject, seq AS entry_seq, 'invalid_intentional_gap' AS code, message FROM (
-  SELECT {KEY}, '00000000.00000002.00000000' AS seq, 'intentional gap lacks a reason or is unconfirmed' AS message FROM orders WHERE {C} % 7 = 0 OR {C} % 11 = 0
-  UNION ALL SELECT {KEY}, '00000000.00000002.00000000', 'intentional gap lacks a series or numeric range' FROM orders WHERE {C} % 5 < 2
-  UNION ALL SELECT {KEY}, '00000000.00000002.00000003', 'intentional gap lacks a series or numeric range' FROM orders)""")
+  SELECT {KEY}, '00000000.00000002.00000000' AS seq, 'gap.reason-confirmed' AS message FROM orders WHERE {C} % 7 = 0 OR {C} % 11 = 0
+  UNION ALL SELECT {KEY}, '00000000.00000002.00000000', 'gap.range' FROM orders WHERE {C} % 5 < 2
+  UNION ALL SELECT {KEY}, '00000000.00000002.00000003', 'gap.range' FROM orders)""")
 def gap_plan_issues(t):
     return sequences.documented_gaps(plans.walk_nodes(plan_docs(t), below=fixed.GAP_KEYS))[1]
 
@@ -422,11 +422,11 @@ def page_offset(t):
 
 
 @query("series_keys", r"""
-SELECT page_id, lower(trim(regexp_replace(left(html, 300), '\s+', ' ', 'g'))) AS series_key, rtrim(rtrim(CAST(CAST(page_id % 90 AS DECIMAL(20,4)) / 8 AS DECIMAL(20,6))::VARCHAR, '0'), '.') AS number FROM pages""")
+SELECT page_id, lower(trim(regexp_replace(html, '\s+', ' ', 'g'))) AS series_key, rtrim(rtrim(CAST(CAST(page_id % 90 AS DECIMAL(20,4)) / 8 AS DECIMAL(20,6))::VARCHAR, '0'), '.') AS number FROM pages""")
 def series_keys(t):
     number = F.expr("'0' || CAST(CAST(page_id % 90 AS DECIMAL(20,4)) / 8 AS DECIMAL(20,6)) || '0'")
     return t.pages.select(
-        "page_id", identity.series_key(F.substring("html", 1, 300)).alias("series_key"), identity.decimal_identity(number).alias("number")
+        "page_id", identity.series_key(F.col("html")).alias("series_key"), identity.decimal_identity(number).alias("number")
     )
 
 

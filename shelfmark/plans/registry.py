@@ -14,9 +14,6 @@ TABLES = [
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# Number of files per table path, listed once; only a hint for parallelism.
-_FILES: dict[str, int] = {}
-
 
 class Tables:
     """The given tables of one scale factor; columns are pruned by the plans that use them."""
@@ -27,14 +24,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        # A table in fewer files than there are cores would leave cores idle in
-        # the expression-heavy projections; a large table has more files.
-        cores = self.spark.sparkContext.defaultParallelism
-        path = f"{self.folder}/{name}.parquet"
-        if path not in _FILES:
-            _FILES[path] = len(df.inputFiles())
-        return df.repartition(cores) if _FILES[path] < cores else df
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def sql(self, text: str) -> DataFrame:
         """A projection written in SQL that both engines understand."""

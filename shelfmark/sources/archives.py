@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, paths
 from ..operators import issues, spread
+from ..operators import members as checks
 
 MEMBER_SCHEMA = (
     "archive string, archive_sha256 string, member_index int, name string, file_size bigint, "
@@ -113,15 +114,15 @@ def read_members(archives: DataFrame) -> DataFrame:
 
 
 def pages_of(members: DataFrame) -> DataFrame:
-    """Image members with their 1-based page number in stored order."""
-    images = members.filter(F.col("member_index").isNotNull() & ~F.col("is_dir") & paths.is_image(F.col("name")))
-    return spread.number_rows(images, ["archive"], "member_index", "page")
+    """Accepted image members with their 1-based page number in stored order."""
+    images = checks.accepted(members).filter(F.col("member_index").isNotNull() & ~F.col("is_dir") & paths.is_image(F.col("name")))
+    return spread.number_rows(images, ["archive"], "member_index", "page", levels=1)
 
 
 def metadata_documents(members: DataFrame) -> DataFrame:
     """(archive, xml bytes) of the one root metadata member of each archive."""
     return (
-        members.filter(F.col("name") == fixed.METADATA_NAME)
+        checks.accepted(members).filter(F.col("name") == fixed.METADATA_NAME)
         .groupBy("archive")
         .agg(F.count("*").alias("n"), F.max("metadata").alias("xml"), F.max("file_size").alias("bytes"))
         .filter("n = 1")
@@ -129,21 +130,25 @@ def metadata_documents(members: DataFrame) -> DataFrame:
     )
 
 
-def xml_guard(xml: Column, mode: str = "transform") -> Column:
-    """Why a metadata document must not be parsed, or null: size, encoding, declarations."""
+def xml_guard(xml: Column, mode: str = "transform", size: Column | None = None) -> Column:
+    """Why a metadata document must not be parsed, or null: size, encoding, declarations.
+
+    ``size`` is the listed size of a document that may not have been unpacked.
+    """
     limit = fixed.MAX_METADATA_BYTES[mode]
+    size = F.octet_length(xml) if size is None else size
     decoded = F.when(F.is_valid_utf8(xml.cast("string")), xml.cast("string"))
     return (
-        F.when(F.octet_length(xml) > limit, "metadata exceeds the safety limit")
-        .when(~F.is_valid_utf8(xml.cast("string")), "metadata must be UTF-8 encoded")
-        .when(decoded.rlike(fixed.FORBIDDEN_XML_PATTERN), "metadata must not contain a doctype or entity declaration")
+        F.when(size > limit, "metadata.size")
+        .when(~F.is_valid_utf8(xml.cast("string")), "metadata.utf-8")
+        .when(decoded.rlike(fixed.FORBIDDEN_XML_PATTERN), "metadata.no-declaration")
     )
 
 
 METADATA_FIELDS = [*fixed.IDENTITY_FIELDS, "PageCount", "Notes", "Summary", "Genre", "Tags", "Publisher", "LanguageISO"]
 
 
-def parse_metadata(df: DataFrame, xml: str, mode: str = "transform") -> DataFrame:
+def parse_metadata(df: DataFrame, xml: str, mode: str = "transform", size: str | None = None) -> DataFrame:
     """Metadata fields as columns, plus ``metadata_issue``.
 
     Namespaces are ignored, text is trimmed, empty is null, and the first of
@@ -157,21 +162,23 @@ def parse_metadata(df: DataFrame, xml: str, mode: str = "transform") -> DataFram
     clean = F.regexp_replace(words, "^﻿", "")
     body = F.regexp_replace(clean, r"(?s)<\?.*?\?>|<!--.*?-->", "")
     df = (
-        df.withColumn("_guard", xml_guard(F.col(xml), mode))
+        df.withColumn("_guard", xml_guard(F.col(xml), mode, F.col(size) if size else None))
         .withColumn("_root", F.regexp_extract(body, r"^\s*<(?:[^\s<>/:]+:)?([^\s<>/:]+)", 1))
         .withColumn("_doc", F.from_xml(F.when(F.col("_guard").isNull(), clean), schema, options))
     )
     repeated = [
-        F.when(F.size(F.col(f"_doc.{name}")) > 1, F.lit(f"duplicate {name} element")) for name in fixed.IDENTITY_FIELDS
+        F.when(F.size(F.col(f"_doc.{name}")) > 1, F.lit(f"metadata.one-{name}")) for name in fixed.IDENTITY_FIELDS
     ]
     issue = F.coalesce(
         F.col("_guard"),
-        F.when(F.col("_doc").isNull() | F.col("_doc._corrupt_record").isNotNull(), "metadata is not well-formed XML"),
-        F.when(F.col("_root") != fixed.METADATA_ROOT, F.lit(f"root element must be {fixed.METADATA_ROOT}")),
+        F.when(F.col("_doc").isNull() | F.col("_doc._corrupt_record").isNotNull(), "metadata.well-formed"),
+        F.when(F.col("_root") != fixed.METADATA_ROOT, F.lit("metadata.root")),
         *repeated,
     )
+    # Nothing is read from a document that is not well-formed.
+    whole = F.col("_doc._corrupt_record").isNull()
     values = [
-        F.nullif(F.trim(F.get(F.col(f"_doc.{name}"), 0)), F.lit("")).alias(_snake(name)) for name in METADATA_FIELDS
+        F.when(whole, F.nullif(F.trim(F.get(F.col(f"_doc.{name}"), 0)), F.lit(""))).alias(_snake(name)) for name in METADATA_FIELDS
     ]
     return df.select(*(c for c in df.columns if c not in ("_guard", "_root", "_doc")), *values,
                      issue.alias("metadata_issue"))
@@ -184,21 +191,21 @@ def _snake(name: str) -> str:
     }.get(name, name.lower())
 
 
-def archive_table(members: DataFrame) -> DataFrame:
+def archive_table(members: DataFrame, mode: str = "transform") -> DataFrame:
     """One row per archive: hash, page count, folder and parsed metadata."""
-    image = F.col("member_index").isNotNull() & ~F.col("is_dir") & paths.is_image(F.col("name"))
+    image = F.col("member_index").isNotNull() & ~F.col("is_dir") & paths.is_image(F.col("name")) & ~checks.rejected()
     facts = members.groupBy("archive").agg(
         F.max("archive_sha256").alias("sha256"),
         F.count_if(image).alias("page_count"),
         F.max("error").alias("error"),
     )
-    documents = parse_metadata(metadata_documents(members), "xml").drop("xml", "bytes")
+    documents = parse_metadata(metadata_documents(members), "xml", mode, "bytes").drop("xml", "bytes")
     return facts.join(documents, "archive", "left").withColumnRenamed("archive", "path")
 
 
 def archive_issues(members: DataFrame) -> DataFrame:
     """Unreadable archives and members whose content fails its CRC."""
     return issues.all_issues(
-        issues.issue_rows(members.filter("error IS NOT NULL"), "invalid_zip", "archive cannot be read", "archive"),
-        issues.issue_rows(members.filter("crc_ok = false"), "zip_crc_failed", "CRC failed for a member", "archive"),
+        issues.issue_rows(members.filter("error IS NOT NULL"), "invalid_zip", "archive.readable", "archive"),
+        issues.issue_rows(members.filter("crc_ok = false"), "zip_crc_failed", "member.crc", "archive"),
     )

@@ -33,14 +33,14 @@ def parse_checksums(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     safe = parsed.filter("valid").filter(~paths.unsafe_path(F.col("raw"))).withColumn("path", tidy)
     marked = spread.attach(safe, ["path"], [F.min("line").alias("first_line")], ["line"])
     problems = issues.all_issues(
-        issues.issue_rows(parsed.filter("NOT valid"), "checksums_manifest_invalid", "invalid SHA-256 manifest line", "value"),
+        issues.issue_rows(parsed.filter("NOT valid"), "checksums_manifest_invalid", "checksums.line-valid", "value"),
         issues.issue_rows(
             parsed.filter("valid").filter(paths.unsafe_path(F.col("raw"))),
-            "checksums_manifest_unsafe_path", "manifest entry is not a safe relative path", "raw",
+            "checksums_manifest_unsafe_path", "checksums.path-safe", "raw",
         ),
         issues.issue_rows(
             marked.filter("line > first_line"),
-            "checksums_manifest_duplicate", "manifest lists a path more than once", "path",
+            "checksums_manifest_duplicate", "checksums.path-once", "path",
         ),
     )
     return marked.filter("line = first_line").select("path", "sha256"), problems

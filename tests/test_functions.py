@@ -111,3 +111,14 @@ def test_publisher(spark):
     df = spark.createDataFrame([("某社", "ゲンシャ"), ("某社", "原社"), ("A", "a"), ("某社", None)], "z string, o string")
     got = [r.x for r in df.select(text.publisher(F.col("z"), F.col("o")).alias("x")).collect()]
     assert got == ["某社（ゲンシャ）", "原社", "A", "某社"]
+
+
+def test_numbers_of_any_length(spark):
+    texts = {
+        "123456789012345678901234567890": "123456789012345678901234567890",
+        "0.0000000000000000000000012500": "0.00000000000000000000000125",
+        "1.5e-3": "0.0015", "12.34e1": "123.4", "5.": "5", "-0.0": "0", "1e": None, "": None, "-1": None,
+    }
+    df = spark.createDataFrame([(k,) for k in texts], "x string")
+    got = {r.x: r.y for r in df.select("x", identity.decimal_identity(F.col("x")).alias("y")).collect()}
+    assert got == texts

@@ -139,9 +139,8 @@ def distance(a, b):
     return ((a[4] ^ b[4]) & (2**64 - 1)).bit_count() + (a[5] ^ b[5]).bit_count()
 
 
-@pytest.mark.parametrize("threshold, hot, agree", [(0, 2, 2), (1, 3, 1), (4, 2000, 2), (4, 2, 2), (6, 1, 2)])
-def test_banded_join_equals_brute_force(spark, monkeypatch, threshold, hot, agree):
-    monkeypatch.setattr(overlap, "HOT_BUCKET", hot)
+@pytest.mark.parametrize("threshold, agree", [(0, 2), (1, 1), (4, 2), (6, 2), (4, 3)])
+def test_banded_join_equals_brute_force(spark, threshold, agree):
     rows = page_rows(random.Random(threshold), 60)
     found = overlap.near_nodes(overlap.nodes(spark.createDataFrame(rows, PAGE), ["series"]), ["series"], threshold, agree).collect()
     got = sorted((tuple(r.a), tuple(r.b), r.distance) for r in found)
@@ -156,6 +155,23 @@ def test_banded_join_equals_brute_force(spark, monkeypatch, threshold, hot, agre
         assert len(brute) > 10
 
 
+def test_equal_hashes_are_candidates(spark):
+    rows = [("s", a, p, f"h{p}", hi, 7, 100, 150) for a, p, hi in (("a", 1, 5), ("b", 2, 5), ("c", 3, 5), ("a", 4, 4), ("d", 5, -1))]
+    pages = spark.createDataFrame(rows, PAGE)
+    found = overlap.near_candidates(pages, pages.select("series", "archive"), 4).collect()
+    want = {(a[2], b[2], distance(a, b)) for a in rows for b in rows if a[1] != b[1] and distance(a, b) <= 4}
+    assert {(r.page, r.other_page, r.distance) for r in found} == want and len(found) == len(want) == 10
+    pairs = {(r.a_pages, r.b_pages, r.distance) for r in overlap.near_pairs(pages, ["series"], 4).collect()}
+    assert pairs == {(3, 3, 0), (1, 3, 1)} or pairs == {(3, 3, 0), (3, 1, 1)}
+
+
+def test_a_span_without_its_first_page(spark):
+    pages = spark.createDataFrame([("s", 2, "2.png", "h2"), ("s", 3, "3.png", "h3"), ("s", 9, "9.png", "h9")], "source string, page int, member string, sha256 string")
+    spans = spark.createDataFrame([("s", 0, 1, 3, "a"), ("s", 1, 4, 5, "b")], "source string, item_index int, start int, end int, output string")
+    got = {(r.source_page, r.output, r.output_page) for r in coverage.map_pages(pages, spans).collect()}
+    assert got == {(2, "a", 2), (3, "a", 3)}
+
+
 def test_erased_candidates_are_noticed(spark):
     rows = page_rows(random.Random(5), 40)
     pages = spark.createDataFrame(rows, PAGE)
@@ -248,20 +264,22 @@ def test_reconcile_outcomes(spark):
     old = [(r, "a.cbz", "1") for r in ("before", "between", "after", "odd")]
     new = [(r, "a.cbz", "2") for r in ("before", "between", "after", "odd", "fresh")]
     runs_ = spark.createDataFrame(
-        [("before", True, True, False, "promotion-intent"), ("between", True, False, True, "promotion-intent"),
-         ("after", False, True, True, "promotion-intent"), ("odd", False, True, True, "promotion-intent"),
-         ("fresh", True, False, False, "promotion-intent")],
-        "run string, candidate_exists boolean, formal_exists boolean, backup_exists boolean, status string",
+        [("before", True, True, False, "promotion-intent", True, True, False), ("between", True, False, True, "promotion-intent", True, True, False),
+         ("after", False, True, True, "promotion-intent", True, True, True), ("odd", False, True, True, "promotion-intent", True, True, False),
+         ("fresh", True, False, False, "promotion-intent", True, True, False), ("unknown", True, False, False, "promotion-intent", False, False, False)],
+        "run string, candidate_exists boolean, formal_exists boolean, backup_exists boolean, status string, "
+        "candidate_recorded boolean, formal_recorded boolean, backup_recorded boolean",
     )
     flags = manifests.snapshot_flags(
         runs_, table([r for r in new if r[0] in ("before", "between", "fresh")]),
         table([("before", "a.cbz", "1"), ("after", "a.cbz", "2"), ("odd", "a.cbz", "9")]),
         table([("between", "a.cbz", "1"), ("after", "a.cbz", "1"), ("odd", "a.cbz", "1")]), table(new), table(old),
+        table([("after", "a.cbz", "1")]),
     )
     assert {r.run: r.action for r in manifests.reconcile(flags).collect()} == {
         "before": "close-noop-intent-and-restart-promotion", "between": "continue-candidate-promotion-then-postcheck",
         "after": "run-formal-postcheck-and-finalize", "odd": "stop-for-manual-recovery",
-        "fresh": "continue-candidate-promotion-then-postcheck",
+        "fresh": "continue-candidate-promotion-then-postcheck", "unknown": "stop-for-manual-recovery",
     }
 
 
@@ -282,3 +300,20 @@ def test_checksum_of_a_tampered_state(spark):
     )
     sums = [r.x for r in df.select(runs.state_checksum(F.col("j")).alias("x")).collect()]
     assert sums[0] == sums[1] != sums[2]
+
+
+def test_sparse_positions_stay_in_bounded_windows(spark):
+    # One group, positions a million apart and up to the end of BIGINT.
+    at = [i * 1_000_003 for i in range(3000)] + [(1 << 62) + i * (1 << 40) for i in range(300)]
+    df = spark.createDataFrame([("s", p, i) for i, p in enumerate(at)], "k string, pos bigint, v bigint")
+    found = spread.prefix(df, ["k"], "pos", {"last": ("last", "v"), "total": ("sum", "v")}, width=16, levels=15).orderBy("pos").collect()
+    assert [(r.last, r.total) for r in found] == [(i - 1 if i else None, i * (i - 1) // 2) for i in range(len(at))]
+    bounds = [16**level for level in range(1, 16)]
+    assert all(len({p // w for p in at if p // (w * 16) == at[-1] // (w * 16)}) <= 16 for w in bounds)
+
+
+def test_salted_lookup_keeps_null_and_repeated_rows(spark):
+    many = spark.createDataFrame([("a", 1), ("a", 1), (None, 2), ("c", 3)], "k string, v int")
+    one = spark.createDataFrame([("a", "x"), ("b", "y")], "k string, w string")
+    got = sorted((tuple(r) for r in spread.lookup(many, one, ["k"], copies=4).collect()), key=str)
+    assert got == sorted([("a", 1, "x"), ("a", 1, "x"), (None, 2, None), ("c", 3, None)], key=str)

@@ -60,8 +60,25 @@ def test_metadata_namespaces_and_guards(spark):
     df = spark.createDataFrame([(i, bytearray(t.encode())) for i, t in enumerate(texts)] + [(4, bytearray(b"\xff<ComicInfo/>"))], "i int, xml binary")
     got = {r.i: r for r in archives.parse_metadata(df, "xml").collect()}
     assert got[0].series == "A" and got[0].volume is None and got[0].metadata_issue is None
-    assert "doctype" in got[1].metadata_issue and "root element" in got[2].metadata_issue
-    assert "well-formed" in got[3].metadata_issue and "UTF-8" in got[4].metadata_issue
+    assert [got[i].metadata_issue for i in range(1, 5)] == ["metadata.no-declaration", "metadata.root", "metadata.well-formed", "metadata.utf-8"]
+
+
+def test_oversized_metadata_names_the_limit(spark):
+    big = make_zip([("ComicInfo.xml", "<ComicInfo><Series>S</Series>" + " " * (16 << 20) + "</ComicInfo>"), ("1.png", "x")])
+    rows = archives.archive_table(archives.read_members(spark.createDataFrame([("a.cbz", bytearray(big))], "path string, content binary"))).collect()
+    assert [(r.metadata_issue, r.series, r.page_count) for r in rows] == [("metadata.size", None, 1)]
+
+
+def test_rejected_members_are_not_counted(spark):
+    stored = [
+        ("a", 0, "1.png", 1, 1, 1, 0, 0, False), ("a", 1, "../2.png", 1, 1, 0, 0, 0, False), ("a", 2, "ComicInfo.xml", 1, 1, 0, 0, 0, False),
+        ("a", 3, "../ComicInfo.xml", 1, 1, 0, 0, 0, False), ("a", 4, "x.png", 1, 1, 0, 0o120777 << 16, 3, False), ("a", 5, "../comicinfo.xml", 1, 1, 0, 0, 0, False),
+    ]
+    df = spark.createDataFrame(
+        stored, "archive string, member_index int, name string, file_size bigint, compress_size bigint, flag_bits int, external_attr bigint, create_system int, is_dir boolean"
+    )
+    assert archives.pages_of(df).count() == 0
+    assert members.metadata_uniqueness(df).count() == 0 and members.duplicate_members(df).count() == 0
 
 
 def test_inventory_resumes(spark, library, tmp_path):
@@ -111,3 +128,13 @@ def test_manifest_roots(spark):
     docs = spark.createDataFrame([("d", json.dumps(document))], "doc string, text string")
     got = {(r.root, r.path, r.sha256) for r in plans.flatten_manifest(plans.walk_nodes(docs), ["m"], "/default").collect()}
     assert got == {("/default", "a", "1" * 64), ("/in", "p", "a" * 64)}
+
+
+def test_a_deep_document_is_written_in_linear_size(spark):
+    deep = {"path": "x" * 1000}
+    for i in range(200):
+        deep = {"child": deep, "path": f"p{i}"}
+    docs = spark.createDataFrame([("d", json.dumps(deep))], "doc string, text string")
+    rows = plans.walk_records(docs).collect()
+    assert len(rows) == 201 and sum(len(r.json) for r in rows) < 10 * len(json.dumps(deep))
+    assert {r.path for r in plans.record_paths(plans.walk_nodes(docs)).collect()} >= {"p0", "p199"}
