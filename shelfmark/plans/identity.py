@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import identity as ident
-from ..operators import identity, issues, sequences
+from ..functions import fixed
+from ..operators import audit, coverage, identity, issues, sequences
+from . import coverage as sources
 from .registry import query, with_
 
 # One archive per order line: the series is the order, the chapter the line
@@ -310,6 +312,33 @@ def issue_severity(t):
     )
 
 
+CODE_SEVERITY = "CASE code " + " ".join(f"WHEN '{c}' THEN '{level}'" for c, (_, level) in fixed.ISSUE_CODES.items()) + " ELSE 'BLOCKER' END"
+CODE_AREA = "CASE code " + " ".join(f"WHEN '{c}' THEN '{area}'" for c, (area, _) in fixed.ISSUE_CODES.items()) + " ELSE 'validation' END"
+
+
+@query("library_audit", with_(
+    **ISSUE_BASE, chapters=CHAPTERS, documented=DOCUMENTED, dnum=DOCUMENTED_NUMBERS, absent=ABSENT,
+    undocumented="SELECT * FROM absent ANTI JOIN dnum USING (series_key, n)", islands=ISLANDS.format("undocumented"),
+    pairs="SELECT DISTINCT folder, series_key FROM items WHERE series_key IS NOT NULL",
+    spans=sources.SPANS, c="SELECT source, max(pages) AS pages FROM (" + sources.COUNTS + ") GROUP BY 1", o=sources.SPAN_ORDER,
+    every="SELECT code, subject, message FROM issues" + """
+      UNION ALL SELECT 'mixed_series_folder', folder || ' | ' || series_key, 'folder.one-series' FROM pairs QUALIFY count(*) OVER (PARTITION BY folder) > 1
+      UNION ALL SELECT 'series_split_across_folders', series_key || ' | ' || folder, 'series.one-folder' FROM pairs QUALIFY count(*) OVER (PARTITION BY series_key) > 1
+      UNION ALL SELECT CASE kind WHEN 'chapter' THEN 'DUPLICATE_CHAPTER_IDENTITY' ELSE 'duplicate_series_identity' END, path, 'identity.once'
+        FROM items WHERE identity IS NOT NULL QUALIFY count(*) OVER (PARTITION BY series_key, kind, identity) > 1
+      UNION ALL SELECT unnest(['SERIES_IDENTITY_MIX', 'PARTIAL_VOLUME_TAGGING']), series_key, 'series.volume-tagging' FROM items WHERE kind = 'chapter'
+        GROUP BY series_key HAVING count(volume_id) > 0 AND count(volume_id) < count(*)
+      UNION ALL SELECT 'UNINTENDED_GAP', series_key || ' | ' || "start" || ' | ' || "end", 'sequence.complete' FROM islands
+      UNION ALL SELECT code, concat_ws(' | ', source, CAST(item_index AS VARCHAR)), 'source.spans' FROM (""" + sources.SPAN_FAULTS + ")",
+) + f"SELECT DISTINCT code, subject, message, {CODE_AREA} AS area, {CODE_SEVERITY} AS severity FROM every")
+def library_audit(t):
+    """All issues of the archives, their series and the split sources, as one stream."""
+    rows = items(t)
+    plan = archives(t).filter(F.length("path") % 3 == 0)
+    counts = t.sql(sources.COUNTS).groupBy("source").agg(F.max("pages").alias("pages"))
+    return audit.library_audit(rows, plan, documented(t), audit.span_issues(coverage.span_issues(sources.spans(t), counts)))
+
+
 @query("promotion_gate", with_(
     **ISSUE_BASE, runs="SELECT split_part(subject, '/', 1) AS run, code, length(subject) % 5 = 0 AS resolved FROM issues",
 ) + f"""

@@ -123,21 +123,21 @@ ITEM = [
 ]
 BOUNDARY_DOCS = f"SELECT 'src' AS source, CAST({KEY} AS INT) AS item_index, 9 AS pages, {_json(PLAN)} AS plan, {_json(ITEM)} AS item FROM orders"
 BOUNDARY_RULES = [
-    (f"{SP} AND {C} % 53 = 0", "SPECIAL_RANGE_INCOMPLETE:Special requires a confirmed complete page range"),
-    (f"{SP} AND {C} % 59 = 0", "MANIFEST_UNCERTAIN_SOURCE:Special requires high-confidence evidence"),
-    (f"{SP} AND {C} % 61 = 0", "BOUNDARY_INVALID:Special must record its evidence"),
-    (f"{C} % 41 = 0 OR {C} % 43 = 0", "BOUNDARY_INVALID:page indices must be positive integers"),
-    (f"{C} % 47 = 0", "OUTPUT_EXTENSION:output must use the .cbz extension"),
-    (f"{C} % 11 = 0 AND {C} % 7 <> 0", "BOUNDARY_INVALID:number conflicts with identity.Number"),
-    (f"{SP} AND {C} % 7 = 0", "BOUNDARY_INVALID:Special Number must use SP followed by digits"),
-    (f"{SP} AND {C} % 11 = 0", "BOUNDARY_INVALID:Special Format cannot be overridden"),
-    (f"{SP} AND {C} % 11 = 0", "META008:Special requires a reliable Chinese Title"),
+    (f"{SP} AND {C} % 53 = 0", "SPECIAL_RANGE_INCOMPLETE:special.range-confirmed"),
+    (f"{SP} AND {C} % 59 = 0", "MANIFEST_UNCERTAIN_SOURCE:special.evidence-high"),
+    (f"{SP} AND {C} % 61 = 0", "BOUNDARY_INVALID:special.evidence"),
+    (f"{C} % 41 = 0 OR {C} % 43 = 0", "BOUNDARY_INVALID:span.indices"),
+    (f"{C} % 47 = 0", "OUTPUT_EXTENSION:item.output-suffix"),
+    (f"{C} % 11 = 0 AND {C} % 7 <> 0", "BOUNDARY_INVALID:item.number-equal"),
+    (f"{SP} AND {C} % 7 = 0", "BOUNDARY_INVALID:special.number-form"),
+    (f"{SP} AND {C} % 11 = 0", "BOUNDARY_INVALID:special.format-kept"),
+    (f"{SP} AND {C} % 11 = 0", "META008:special.title-han"),
     (f"NOT ({SP}) AND {C} % 7 <> 0", "BOUNDARY_INVALID:chapter.number-not-sp"),
-    (f"NOT ({SP}) AND {C} % 3 <> 0 AND {C} % 47 <> 0", "KAVITA_VOLUME_JUMP_RISK:continuous-chapter output filename must omit its volume"),
-    (f"NOT ({SP}) AND {C} % 3 = 0 AND {C} % 11 = 0", "BOUNDARY_INVALID:volume-aware output requires a confirmed Volume"),
-    (f"{C} % 5 = 0 AND {C} % 15 <> 0", "BOUNDARY_VISUAL_REVIEW_REQUIRED:span lacks affirmative visual flags"),
-    (f"{C} % 31 = 0", "BOUNDARY_SOURCE_MISMATCH:plan source does not match the source"),
-    (f"{C} % 37 = 0", "BOUNDARY_PAGE_COUNT_MISMATCH:plan page count does not match the source"),
+    (f"NOT ({SP}) AND {C} % 3 <> 0 AND {C} % 47 <> 0", "KAVITA_VOLUME_JUMP_RISK:item.name-without-volume"),
+    (f"NOT ({SP}) AND {C} % 3 = 0 AND {C} % 11 = 0", "BOUNDARY_INVALID:item.volume"),
+    (f"{C} % 5 = 0 AND {C} % 15 <> 0", "BOUNDARY_VISUAL_REVIEW_REQUIRED:span.seen"),
+    (f"{C} % 31 = 0", "BOUNDARY_SOURCE_MISMATCH:plan.source"),
+    (f"{C} % 37 = 0", "BOUNDARY_PAGE_COUNT_MISMATCH:plan.page-count"),
 ]
 
 
