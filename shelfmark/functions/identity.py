@@ -140,7 +140,3 @@ def output_name(series: Column, kind: Column, policy: Column, number: Column, vo
 
 def norm_policy(c: Column) -> Column:
     return F.lower(F.translate(c, "_", "-"))
-
-
-def known_policy(c: Column) -> Column:
-    return norm_policy(c).isin(fixed.POLICIES)

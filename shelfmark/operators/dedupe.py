@@ -39,7 +39,16 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = shared_folder(spark, "merge")
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._folder = folder
+    return out
+
+
+def _deleted(df: DataFrame) -> None:
+    """Remove a table of ``_checkpointed`` that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def merge_pages(
@@ -107,7 +116,7 @@ def merge_pages(
     settled = contenders.join(heads.filter("NOT h._may_drop"), group).filter("pos = h.pos").select(
         *scope, "sha256", "node", "pos"
     )
-    kept = settled
+    kept = _checkpointed(settled)
     open_pages = _checkpointed(contenders.join(heads.filter("h._may_drop"), group, "left_semi"))
     empty = open_pages.limit(0).select(*scope, "pos")
     dropped = empty
@@ -129,11 +138,13 @@ def merge_pages(
         judged = _checkpointed(judged)
         now_kept = judged.filter("NOT _drop").select(*scope, "sha256", "node", "pos")
         now_dropped = judged.filter("_drop").select(*scope, "pos")
-        kept = _checkpointed(kept.unionByName(now_kept))
-        dropped = _checkpointed(dropped.unionByName(now_dropped))
-        open_pages = _checkpointed(
+        # A round writes what it has judged and what is still open; earlier rounds are only read.
+        kept = kept.unionByName(now_kept)
+        dropped = dropped.unionByName(now_dropped)
+        before, open_pages = open_pages, _checkpointed(
             open_pages.join(now_kept, group, "left_anti").join(now_dropped, [*scope, "pos"], "left_anti")
         )
+        _deleted(before)
 
     # Every page against the final kept set.
     holder = kept.select(*group, F.col("pos").alias("_kept"))

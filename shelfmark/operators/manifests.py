@@ -49,11 +49,6 @@ def verify_manifest(recorded: DataFrame, actual: DataFrame, kind: str) -> DataFr
     )
 
 
-def verify_summary(verified: DataFrame) -> DataFrame:
-    """Rows per status."""
-    return verified.groupBy("status").agg(F.count("*").alias("records"))
-
-
 def checksum_issues(listed: DataFrame, files: DataFrame) -> DataFrame:
     """Checksum list against the files of a library -> issues (code, subject, message)."""
     both = side_by_side({"listed": listed, "files": files}, ["path"])
@@ -90,12 +85,6 @@ def diff_manifests(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("path"
     return both.select(*keys, F.col("old").alias("old_sha256"), F.col("new").alias("new_sha256"), change.alias("change"))
 
 
-def manifests_equal(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
-    """One row: whether both manifests hold the same paths and hashes."""
-    differs = diff_manifests(old, new, keys).agg(F.count_if(F.col("change") != "same").alias("n"))
-    return differs.select((F.col("n") == 0).alias("equal"))
-
-
 def partition_issues(affected: DataFrame, unaffected: DataFrame, formal: DataFrame, candidate: DataFrame) -> DataFrame:
     """Affected and unaffected paths must partition the formal archives; unaffected ones must not change."""
     valid = ~paths.unsafe_path(F.col("path")) & hashes.is_sha256(F.col("sha256"))

@@ -174,8 +174,3 @@ def update_mode_issues(df: DataFrame, item: str, mode: str, fields: Sequence[str
         return df.select(item, F.lit(None).cast("string").alias("field")).limit(0)
     changed = changed_fields([F.col(f) for f in frozen], [F.col(f"new_{f}") for f in frozen], frozen)
     return df.select(item, F.explode(changed).alias("field"))
-
-
-def default_title(number: Column) -> Column:
-    """Title of a normal chapter without a better one."""
-    return F.concat(F.lit("第"), identity.decimal_identity(number), F.lit("话"))

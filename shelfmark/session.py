@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,12 +36,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the cluster's checkpoint folder.
 
     The folder named in ``spark.checkpoint.dir`` is shared by all executors.
-    Only where it is unset (plain local runs) a temporary folder takes its
-    place.
+    Only a session of one process, where it is unset, gets a temporary folder,
+    the same for all its tables.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="shelfmark-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
