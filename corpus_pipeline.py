@@ -30,10 +30,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret of their texts replaced by a mark."""
-    found = secret_scan.redact(secret_scan.scan(docs, secret_scan.train(docs)))
+    found = secret_scan.redact(docs, secret_scan.train(docs))
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        found = found.withColumn("n_chars", F.when(F.size("secret_spans") > 0, length).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(F.col("n_secrets") > 0, length).otherwise(F.col("n_chars")))
     return found.select(*docs.columns)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from .common import map_text
 
 #: Words whose ids a task remembers before it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 _NONE = np.iinfo(np.int64).max
 
 

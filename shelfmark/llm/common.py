@@ -14,7 +14,11 @@ from pyspark.sql import types as T
 from ..session import shared_folder
 
 #: Text that one call of a batch function gets, unless a single row is larger.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes of a stored table for one task of a table like it.
+TASK_BYTES = 4 << 20
+#: An unknown size leaves the number of tasks as it is; this is beyond any.
+MOST_TASKS = (1 << 31) - 1
 
 
 def fold_case(raw: bytes) -> bytes:
@@ -99,15 +103,30 @@ class Store:
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark, self.root, self.count = spark, shared_folder(spark, purpose), 0
 
-    def put(self, df: DataFrame) -> DataFrame:
-        """``df``, written and read again."""
+    def put(self, df: DataFrame, like: DataFrame | int | None = None, heavy: bool = False) -> DataFrame:
+        """``df``, written and read again.
+
+        ``like`` is a stored table of at least about the size of ``df``, or a
+        size in bytes.  Then ``df`` is written by no more tasks than TASK_BYTES
+        of that size each (``heavy`` work by twice the cores at least): a small
+        table in very many files costs more than its rows.
+        """
         self.count += 1
         path = f"{self.root}/{self.count}"
+        if like is not None:
+            size = like if isinstance(like, int) else self.size(like)
+            least = 2 * self.spark.sparkContext.defaultParallelism if heavy else 1
+            df = df.coalesce(min(max(least, -(-size // TASK_BYTES)), MOST_TASKS))
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stored_at = path
         return out
 
+    def size(self, df: DataFrame) -> int:
+        """Bytes of a table of ``put``."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables of ``put`` that no later step reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
@@ -117,14 +136,21 @@ class Store:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def planned_size(df: DataFrame) -> int:
+    """Bytes that the optimizer expects of ``df``, beyond any number where it cannot tell."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """Whether the checksum of the id as text falls into the fold kept for tests; a null id counts as ''."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
 
 
-def components(store: Store, edges: DataFrame) -> DataFrame:
+def components(store: Store, edges: DataFrame, like: DataFrame | None = None) -> DataFrame:
     """(node, component) of every node of the undirected ``edges`` (a, b); component is some node of it.
 
+    ``like`` is a stored table of about the size of the edges.
+
     Rounds of contraction: each node hooks to its smallest neighbour in a
     pseudo-random order, which keeps chains short; hooks are shortened by
     pointer jumping, and edges are rewritten between what remains.  Every round
@@ -134,19 +160,19 @@ def components(store: Store, edges: DataFrame) -> DataFrame:
     both = edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
     # xxhash64 of a BIGINT is one-to-one: an order without long descending chains, reversed at the end.
     keyed = both.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")).distinct()
-    names = store.put(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.xxhash64("node").alias("label")))
-    left = store.put(keyed)
+    left = store.put(keyed, like)
+    names = store.put(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.xxhash64("node").alias("label")), left)
     while not left.isEmpty():
         hook = left.groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to"))
-        hook = store.put(hook)
+        hook = store.put(hook, left)
         for _ in range(3):
             step = hook.select(F.col("a").alias("to"), F.col("to").alias("next"))
             hook = hook.join(step, "to", "left").select("a", F.coalesce("next", "to").alias("to"))
-        hook = store.put(hook)
+        hook = store.put(hook, left)
         at_a, at_b = hook.select("a", F.col("to").alias("ta")), hook.select(F.col("a").alias("b"), F.col("to").alias("tb"))
         renamed = left.join(at_a, "a").join(at_b, "b").filter("ta <> tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct()
         moved = names.join(hook.select(F.col("a").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         old = left, names
-        left, names = store.put(renamed), store.put(moved)
+        left, names = store.put(renamed, left), store.put(moved, names)
         store.drop(*old)
     return names.select("node", F.col("label").alias("component"))

@@ -177,7 +177,7 @@ def link(df: DataFrame, vector: str = "embedding", label: str = "label", key: st
     rows = pairs.join(nodes.select("node", "unit", "buckets", "size"), "node").withColumn("step", F.xxhash64("bucket", "i", "j"))
     found = store.put(rows.repartition("step").sortWithinPartitions("step").mapInArrow(_compared, "node long, links long, other long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = components(store, found.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    joined = components(store, found.select(F.col("node").alias("a"), F.col("other").alias("b")), found)
     named = nodes.select("node", "size", "least").join(links, "node", "left").join(joined, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Store, components, fold_case, map_text, words
+from .common import Store, components, fold_case, map_text, planned_size, words
 
 WORDS = 5
 #: Coordinates, and agreeing ones that a pair needs to be confirmed: at a
@@ -41,7 +41,7 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 class Shingler:
     """Sorted distinct shingle hashes of texts, remembering the hashes of a bounded number of words."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 100_000):
         self.known: dict[bytes, int] = {}
         self.most = most
 
@@ -176,8 +176,8 @@ def _units(store: Store, open_: DataFrame) -> DataFrame:
     """
     cost = lambda n: n * F.ceil(n / TILE)
     edges = open_.join(open_.groupBy("pair").agg(F.min("node").alias("low")), "pair").select(F.col("low").alias("a"), F.col("node").alias("b"))
-    cluster = components(store, edges.distinct()).select("node", F.col("component").alias("cluster"))
-    placed = store.put(open_.select("pair", "node", "component").join(cluster, "node"))
+    cluster = components(store, edges.distinct(), open_).select("node", F.col("component").alias("cluster"))
+    placed = store.put(open_.select("pair", "node", "component").join(cluster, "node"), open_)
     lists = placed.groupBy("cluster", "pair").agg(F.count(F.lit(1)).alias("n"))
     members = placed.select("cluster", "node", "component").distinct()
     choice = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")).join(lists.groupBy("cluster").agg(F.sum(cost(F.col("n"))).alias("by_list")), "cluster")
@@ -253,36 +253,38 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     repeat a key are judged each by its text.  Other columns are not read.
     """
     store = Store(docs.sparkSession, "minhash")
-    every = store.put(signatures(docs, text, key))
+    # As the files are, whatever the columns that follow would be estimated at.
+    size = planned_size(docs)
+    every = store.put(signatures(docs, text, key), size, heavy=True)
     # One node for each distinct set, named by a hash of its digest, with any one of its rows.
     node = F.xxhash64("d1", "d2").alias("node")
     some = every.filter("n_shingles > 0")
     classes = some.groupBy("d1", "d2").agg(F.min("id").alias("least")).withColumn("node", node)
-    sigs = store.put(some.select(node, "id", "th", "sig").dropDuplicates(["node"]))
-    lists = store.put(postings(sigs.select("node", "sig")))
+    sigs = store.put(some.select(node, "id", "th", "sig").dropDuplicates(["node"]), every)
+    lists = store.put(postings(sigs.select("node", "sig")), every)
     # Only the texts of posted nodes are read again, one for each node.
     asked_for = sigs.select("node", "id", "th").join(lists.select("node").distinct(), "node", "left_semi")
     source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).withColumn("hash", F.xxhash64("text"))
     texts = source.join(asked_for, F.col("key").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("th")))
-    texts = store.put(texts.select("node", "text").dropDuplicates(["node"]))
+    texts = store.put(texts.select("node", "text").dropDuplicates(["node"]), size, heavy=True)
     joined, confirmed = None, None
     for turn in (1, 2, 3):
         open_ = lists.withColumn("component", F.col("node"))
         if joined is not None:
             named = lists.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
             mixed = named.groupBy("pair").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-            open_ = store.put(named.join(mixed.select("pair"), "pair"))
+            open_ = store.put(named.join(mixed.select("pair"), "pair"), lists)
         if turn < 3:
             led = _led(open_, open_)
             if turn == 2:
                 led = _led(open_, open_.join(led, "pair").filter("component <> of").select("pair", "node", "weight"))
             pairs = open_.join(led, "pair").filter("component <> of").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-            good = _confirmed(store.put(_matching(pairs.distinct(), sigs)), texts)
+            good = _confirmed(store.put(_matching(pairs.distinct(), sigs), lists), texts)
         else:
-            good = _tiled(store.put(_units(store, open_)), sigs, texts)
-        good = store.put(good)
+            good = _tiled(store.put(_units(store, open_), lists), sigs, texts)
+        good = store.put(good, lists, heavy=True)
         confirmed = good if confirmed is None else confirmed.union(good)
-        joined = components(store, confirmed)
+        joined = components(store, confirmed, lists)
     named = classes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_set = named.join(least, "component").select("d1", "d2", "component_id")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text
+from .common import Store, chunks, map_text
 
 # Sets of identity terms that may stand for one another.
 IDENTITY = [
@@ -48,7 +48,7 @@ _WORD = regex.compile(r"\p{L}+")
 class Features:
     """64-bit hashes of the words and word beginnings of a text, remembered by word."""
 
-    def __init__(self, most: int = 100_000):
+    def __init__(self, most: int = 50_000):
         self.known: dict[str, list[int]] = {}
         self.most = most
 
@@ -93,31 +93,21 @@ class Model:
 
 
 def fit(
-    rows: list[tuple[int, np.ndarray, list[np.ndarray]]], most: int = FEATURES, ridge: float = 0.002, swap: float = 1.0, rounds: int = 1000,
+    rows: list[tuple[int, np.ndarray, list[np.ndarray]]], keys: np.ndarray, ridge: float = 0.002, swap: float = 1.0, rounds: int = 1000,
 ) -> Model:
-    """The model of labelled feature sets, each with the feature sets of its counterparts.
+    """The model over the features ``keys`` of labelled feature sets, each with the feature sets of its counterparts.
 
     Loss: mean logistic loss with labels in equal parts, plus ``ridge`` times
     the squared weights, plus ``swap`` times the mean squared score change
-    between a text and its counterparts.  Features are chosen by how unevenly
-    they are spread over the labels.  Without both labels the score is the
+    between a text and its counterparts.  Without both labels the score is the
     share of label 1 (0 without any row).
     """
     y = np.array([r[0] for r in rows], float)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.empty(0, np.int64), np.empty(0), float(np.clip(np.log(share + 1e-3) - np.log(1 - share + 1e-3), -7, 7)))
-    owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    flat = np.concatenate([r[1] for r in rows])
-    keys, code = np.unique(flat, return_inverse=True)
-    pos = np.bincount(code, weights=y[owner], minlength=len(keys))
-    neg = np.bincount(code, minlength=len(keys)) - pos
+    keys = np.sort(keys)
     n1, n0 = y.sum(), len(y) - y.sum()
-    both = (pos + neg) / len(y)
-    z = (pos / n1 - neg / n0) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n1 + 1 / n0))
-    chosen = np.flatnonzero((pos + neg >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z))
-    chosen = np.sort(chosen[np.lexsort((keys[chosen], -np.abs(z[chosen])))[:most]])
-    keys = keys[chosen]
 
     def cells(lists):
         own = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
@@ -170,23 +160,45 @@ def train(
     # The sample is drawn from ids, so only its texts are shuffled.
     drawn = [marks.filter(F.col("_label") == y).orderBy(F.xxhash64(key), key).limit(sample) for y in (0, 1)]
     rows = docs.filter(F.col(text).isNotNull()).select(key, F.col(text).alias("_text")).join(drawn[0].union(drawn[1]), key)
-    schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("seen", T.BinaryType()), T.StructField("swaps", T.ArrayType(T.BinaryType()))])
+    schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("seen", T.ArrayType(T.LongType())), T.StructField("swaps", T.ArrayType(T.ArrayType(T.LongType())))])
 
     def featurise(batches):
         features = Features()
         for batch in batches:
-            got = []
-            for t in batch.column("_text").to_pylist():
-                found = features.words(t)
-                got.append((features.of(found).tobytes(), [features.of(c).tobytes() for c in counterparts(found)]))
+            for part in chunks(batch, "_text"):
+                got = []
+                for t in part.column("_text").to_pylist():
+                    found = features.words(t)
+                    got.append((features.of(found), [features.of(c) for c in counterparts(found)]))
+                lists = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("_label").cast(pa.int32()), pa.array([a for a, _ in got], lists), pa.array([b for _, b in got], pa.list_(lists))],
+                    names=schema.names,
+                )
+
+    seen = Store(docs.sparkSession, "toxicity").put(rows.select("_label", "_text").mapInArrow(featurise, schema))
+    totals = seen.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("n1")).first()
+    n1, n0 = max(totals.n1, 1), max(totals.n - totals.n1, 1)
+    # Features that are spread unevenly over the labels, by the z value of two proportions.
+    counts = seen.select("label", F.explode("seen").alias("feature")).groupBy("feature").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("df"))
+    share = F.col("df") / (n1 + n0)
+    spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n1 + 1 / n0))
+    z = F.abs((F.col("pos") / n1 - (F.col("df") - F.col("pos")) / n0) / spread)
+    chosen = counts.withColumn("z", z).filter((F.col("df") >= LEAST_DOCS) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "feature").limit(FEATURES)
+    keys = np.sort(np.array([r.feature for r in chosen.select("feature").collect()], np.int64))
+
+    def kept(batches):
+        for batch in batches:
+            only = lambda x: np.intersect1d(np.array(x, np.int64), keys)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_label").cast(pa.int32()), pa.array([a for a, _ in got], pa.binary()), pa.array([b for _, b in got], pa.list_(pa.binary()))],
-                names=["label", "seen", "swaps"],
+                [batch.column("label"), pa.array([only(x).tobytes() for x in batch.column("seen").to_pylist()], pa.binary()),
+                 pa.array([[only(x).tobytes() for x in s] for s in batch.column("swaps").to_pylist()], pa.list_(pa.binary()))], names=["label", "seen", "swaps"],
             )
 
-    seen = lambda raw: np.frombuffer(bytes(raw), np.int64)
-    got = [(r.label, seen(r.seen), [seen(s) for s in r.swaps]) for r in rows.select("_label", "_text").mapInArrow(featurise, schema).collect()]
-    return fit(sorted(got, key=lambda r: (r[0], r[1].tobytes())), swap=swap)
+    # What reaches the driver: at most twice ``sample`` rows of chosen features.
+    loads = lambda raw: np.frombuffer(bytes(raw), np.int64)
+    got = [(r.label, loads(r.seen), [loads(s) for s in r.swaps]) for r in seen.mapInArrow(kept, "label int, seen binary, swaps array<binary>").collect()]
+    return fit(sorted(got, key=lambda r: (r[0], r[1].tobytes())), keys, swap=swap)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:

@@ -178,7 +178,7 @@ def test_base_spans_and_model_spans(spark):
         assert ",".join(s for s in x.spans.split(",") if not s.startswith("model")) == want
         assert (x.n_assign, x.n_access, x.n_hex) == tuple(want.count(k + ":") for k in secret_scan.KINDS[:3])
     assert any("model" in x.spans for x in rows if x.doc_id == 50)
-    clean = {x.doc_id: x.text for x in secret_scan.redact(found).collect()}
+    clean = {x.doc_id: x.text for x in secret_scan.redact(df, net).collect()}
     assert clean[0].startswith("é [SECRET] secret: abc") and clean[7] is None and clean[8] == ""
 
 
