@@ -6,12 +6,16 @@ shorter context (method D: counts less one half, and one half for every
 distinct symbol to the escape); symbols of the longer context are excluded from
 the shorter one.  The pretrained code lengths are summed over each text.
 
-Contexts reach back ORDER bytes, at most to the start of the present unit: a
-word, or the white space between two words.  So the code length of a unit is
-the same wherever it stands, and each is computed once.  No table of the corpus
-is sent to all tasks: texts become vectors over the dictionary of their block
-of a few MB, blocks ask for the units they hold, and blocks of units ask for
-the trie events they hold; every answer is one shuffle.
+Contexts reach back ORDER bytes: ``across`` words and white space to the start
+of the text, or at most to the start of the present unit, a word or the white
+space between two words.  Across, an event is ORDER bytes and the symbol that
+follows, whatever the words: a block of texts lists its distinct events, dealt
+to cells by the last bytes of the context, a cell works out those of all
+blocks, and each block gets its own back.  Within units the code length of a
+unit is the same wherever it stands: texts become vectors over the dictionary
+of their block of a few MB, blocks ask for the units they hold, and blocks of
+units ask for the trie events they hold.  No table of the corpus is sent to
+all tasks; every answer is one shuffle.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ LOW = 2
 BLOCK, UNITS, EVENTS = 16 << 20, 100_000, 1 << 20
 #: Units whose events are in memory at a time.
 STEP = 20_000
+#: Across units: text bytes of a block, and the cells that its events are dealt to.
+SPAN, CELLS = 32 << 20, 4096
 # Symbols are bytes, the end of a unit, and the end of the text.  0x20 starts a word, 0x01 white space.
 UNIT_END, TEXT_END, SYMBOLS = 256, 257, 258
 _RUNS = re.compile(rb"[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+")
@@ -343,20 +349,242 @@ def _scored(total: int, kinds: int, ends: int, key: T.DataType):
     return run, schema
 
 
-def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
+def text_events(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The packed events of whole texts, and where each text begins; 0x01 stands before a text."""
+    return events([r + END for r in raws])
+
+
+def _squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _loosened(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _listed(event: np.ndarray, value: np.ndarray) -> bytes:
+    """Sorted events with a value of eight bytes each, as compressed planes of bytes."""
+    planes = [x.view(np.uint8).reshape(-1, 8).T for x in (np.diff(event, prepend=0), value)]
+    return _squeezed(np.concatenate(planes).tobytes())
+
+
+def _unlisted(raw: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(_loosened(raw), np.uint8).reshape(2, 8, -1)
+    step, value = (np.ascontiguousarray(p.T).view(k)[:, 0] for p, k in zip(planes, ("<i8", kind)))
+    return np.cumsum(step), value
+
+
+def _cell(event: np.ndarray) -> np.ndarray:
+    """The cell of each event: events whose contexts agree in the last LOW + 1 bytes, or are shorter and equal, share one."""
+    have, group = np.minimum(event >> 49, LOW + 1), event >> 9 & ((1 << 8 * (LOW + 1)) - 1)
+    mixed = (have << 8 * (LOW + 1) | group).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(32)) % np.uint64(CELLS)).astype(np.int64)
+
+
+def _blocks(key: T.DataType):
+    """Per block: its words and end with training counts, its events as one list a cell, its counts of low orders (cell -1), its texts."""
+    from .common import _arrow
+
+    kinds = {
+        "block": pa.int64(), "unit": pa.binary(), "n": pa.int64(), "cell": pa.int64(), "list": pa.binary(),
+        "key": _arrow(key), "held_out": pa.bool_(), "n_tokens": pa.int64(), "text": pa.binary(),
+    }
+
+    def rows(block, size, **given):
+        given["block"] = [block] * size
+        got = [given[c] if isinstance(given.get(c), pa.Array) else pa.array(given[c], k) if c in given else pa.nulls(size, k) for c, k in kinds.items()]
+        return pa.RecordBatch.from_arrays(got, names=list(kinds))
+
+    def run(batches):
+        block = TaskContext.get().partitionId() << 24
+        taught: Counter = Counter()
+        asked: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def ended():
+            got = list(taught)
+            for at in range(0, len(got), 50_000):
+                part = got[at : at + 50_000]
+                yield rows(block, len(part), unit=part, n=[taught[u] for u in part])
+            if not asked:
+                return
+            event, n = summed(*(np.concatenate(x) for x in zip(*asked)))
+            have = np.minimum(event >> 49, LOW)
+            low = have << 49 | event & (1 << (8 * have + 9)) - 1
+            lists = {-1: _listed(*summed(low, n))}
+            cell = _cell(event)
+            order = np.argsort(cell, kind="stable")
+            cell, event, n = cell[order], event[order], n[order]
+            cuts = np.flatnonzero(np.diff(cell, prepend=-1)).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(cell)]):
+                lists[int(cell[a])] = _listed(event[a:b], n[a:b])
+            yield rows(block, len(lists), cell=list(lists), list=list(lists.values()))
+
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                raws, held = [fold_case(t.encode()) for t in part.column("text").to_pylist()], part.column("held_out").to_pylist()
+                found = [words(r) for r in raws]
+                for some, kept in zip(found, held):
+                    # Words of texts that are not learnt from stand with the count 0.
+                    taught.update(dict.fromkeys(some, 0) if kept else some)
+                taught[END] += len(held) - sum(held)
+                asked.append(np.unique(text_events([r for r, kept in zip(raws, held) if not kept])[0], return_counts=True))
+                event = np.unique(text_events([r for r, kept in zip(raws, held) if kept])[0])
+                asked.append((event, np.zeros(len(event), np.int64)))
+                size += sum(map(len, raws))
+                yield rows(
+                    block, len(raws), key=part.column("key").cast(kinds["key"]), held_out=part.column("held_out"),
+                    n_tokens=[len(x) + 1 for x in found], text=[_squeezed(r) for r in raws],
+                )
+                if size >= SPAN:
+                    yield from ended()
+                    taught, asked, size, block = Counter(), [], 0, block + 1
+        yield from ended()
+
+    schema = T.StructType([
+        T.StructField(n, k) for n, k in zip(kinds, [
+            T.LongType(), T.BinaryType(), T.LongType(), T.LongType(), T.BinaryType(), key, T.BooleanType(), T.LongType(), T.BinaryType(),
+        ])
+    ])
+    return run, schema
+
+
+def _low_rows(batches):
+    for batch in batches:
+        for raw in batch.column("list").to_pylist():
+            event, n = _unlisted(raw, "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(event), pa.array(n)], names=["event", "n"])
+
+
+def _cells_worked_out(low_event: np.ndarray, low_n: np.ndarray):
+    """For every block of a partition sorted by cell the code lengths of its events, whole cells at a time."""
+
+    def run(batches):
+        low = low_levels(low_event, low_n)
+        held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def rows(some):
+            event, code = np.unique(np.concatenate([x[2] for x in some]), return_inverse=True)
+            n = np.bincount(code, weights=np.concatenate([x[3] for x in some]), minlength=len(event)).astype(np.int64)
+            logp = np.split(code_lengths(event, n, low)[code], np.cumsum([len(x[2]) for x in some])[:-1])
+            for at in range(0, len(some), 1000):
+                part = list(zip(some[at : at + 1000], logp[at : at + 1000]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[1] for x, _ in part], pa.int64()), pa.array([_listed(x[2], p) for x, p in part], pa.binary())], names=["block", "list"],
+                )
+
+        for batch in batches:
+            for cell, block, raw in zip(*(batch.column(c).to_pylist() for c in ("cell", "block", "list"))):
+                if size >= EVENTS and held[-1][0] != cell:
+                    yield from rows(held)
+                    held, size = [], 0
+                held.append((cell, block, *_unlisted(raw, "<i8")))
+                size += len(held[-1][2])
+        if held:
+            yield from rows(held)
+
+    return run
+
+
+def _texts_scored(total: int, kinds: int, ends: int, key: T.DataType):
+    """Scores of a partition sorted by block, the words and events of each block before its texts."""
+    from .common import CHUNK_BYTES
+
+    floor = total + kinds + 1
+    schema = T.StructType([
+        T.StructField("key", key), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
+        T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
+    ])
+
+    def priced(rows, raws, counts, event, logp):
+        asked, start = text_events(raws)
+        asked, code = np.unique(asked, return_inverse=True)
+        full = np.add.reduceat(logp[np.searchsorted(event, asked)][code], start)
+        found = [np.array([counts[w] for w in words(r)] + [ends], np.int64) for r in raws]
+        n = len(raws)
+        return pa.RecordBatch.from_arrays([
+            rows.column("key"), rows.column("held_out"), rows.column("n_tokens"), pa.array([int((x > 0).sum()) for x in found], pa.int64()),
+            pa.array([total] * n, pa.int64()), pa.array([float(np.log10((x + 1) / floor).sum()) for x in found], pa.float64()), pa.array(full, pa.float64()),
+        ], names=schema.names)
+
+    def run(batches):
+        block, counts, lists, table = None, {}, [], None
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for a, b in zip(cuts, cuts[1:]):
+                part = batch.slice(a, b - a)
+                if blocks[a] != block:
+                    block, counts, lists, table = blocks[a], {}, [], None
+                split = int(np.searchsorted(part.column("is_doc").to_numpy(zero_copy_only=False), True))
+                for unit, n, raw in zip(*(part.slice(0, split).column(c).to_pylist() for c in ("unit", "n", "list"))):
+                    if unit is None:
+                        lists.append(_unlisted(raw, "<f8"))
+                    else:
+                        counts[unit] = n
+                part = part.slice(split)
+                if not part.num_rows:
+                    continue
+                if table is None:
+                    event, logp = (np.concatenate(x) for x in zip(*lists))
+                    order = np.argsort(event)
+                    table, lists = (event[order], logp[order]), []
+                at, raws, size = 0, [], 0
+                for raw in part.column("text"):
+                    raws.append(_loosened(raw.as_py()))
+                    size += len(raws[-1])
+                    if size >= CHUNK_BYTES:
+                        yield priced(part.slice(at, len(raws)), raws, counts, *table)
+                        at, raws, size = at + len(raws), [], 0
+                if raws:
+                    yield priced(part.slice(at), raws, counts, *table)
+
+    return run, schema
+
+
+def _score_across(source: DataFrame, kind: T.DataType) -> DataFrame:
+    store = Store(source.sparkSession, "lm")
+    run, schema = _blocks(kind)
+    both = store.put(source.mapInArrow(run, schema))
+    held = both.filter("unit IS NOT NULL").select("block", "unit", "n")
+    counted = store.put(held.groupBy("unit").agg(F.sum("n").alias("n")))
+    end = F.col("unit") == F.lit(bytearray(END))
+    facts = counted.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.when(F.col("n") > 0, 1)).alias("kinds"),
+        F.coalesce(F.sum(F.when(end, F.col("n"))), F.lit(0)).alias("ends"),
+    ).first()
+    # At most 2**16 contexts of two bytes, and as many of one, with at most SYMBOLS symbols each.
+    low = both.filter("cell = -1").select("list").mapInArrow(_low_rows, "event long, n long").groupBy("event").agg(F.sum("n").alias("n")).filter("n > 0").toArrow()
+    lists = both.filter("cell >= 0").select("cell", "block", "list").repartition("cell").sortWithinPartitions("cell")
+    codes = lists.mapInArrow(_cells_worked_out(low.column("event").to_numpy(), low.column("n").to_numpy()), "block long, list binary")
+    none = lambda name, t: F.lit(None).cast(t).alias(name)
+    of_doc = [none("key", kind), none("held_out", "boolean"), none("n_tokens", "long"), none("text", "binary")]
+    rows = held.select("block", "unit").join(counted, "unit").select("block", F.lit(False).alias("is_doc"), "unit", "n", none("list", "binary"), *of_doc)
+    rows = rows.union(codes.select("block", F.lit(False), none("unit", "binary"), none("n", "long"), "list", *of_doc))
+    rows = rows.union(both.filter("text IS NOT NULL").select(
+        "block", F.lit(True), none("unit", "binary"), none("n", "long"), none("list", "binary"), "key", "held_out", "n_tokens", "text",
+    ))
+    run, schema = _texts_scored(int(facts.tokens), int(facts.kinds), int(facts.ends), kind)
+    return rows.repartition("block").sortWithinPartitions("block", "is_doc").mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id", across: bool = False) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     Learns from the rows that ``held_out`` does not mark.  A-Z count as lower
     case.  ``base_score`` is the word model with one added to every count;
     ``score`` is log10 of the probability that PPM gives the whole text, white
-    space and end included.  A null text is empty: one token, its end.  Without
+    space and end included.  Its contexts run ``across`` white space or start anew
+at every unit; only across does the order of the words count.  A null text is empty: one token, its end.  Without
     any training row all counts are zero and bytes are equally likely.  Rows
     that repeat are learnt and scored each; other columns are not read.
     """
-    spark = docs.sparkSession
-    store = Store(spark, "lm")
     source = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     kind = docs.schema[key].dataType
+    if across:
+        return _score_across(source, kind).withColumnRenamed("key", key)
+    store = Store(docs.sparkSession, "lm")
     run, schema = _vectors(kind)
     both = store.put(source.mapInArrow(run, schema))
     held = both.filter("unit IS NOT NULL").select("block", "unit", "number", "n")

@@ -141,7 +141,7 @@ def op8_sharding(spark, folder):
 
 @query("op9_lm")
 def op9_lm(spark, folder):
-    return lm.score(table(spark, folder, "documents").select("doc_id", "text"), held_out(F.col("doc_id"), 7, 2))
+    return lm.score(table(spark, folder, "documents").select("doc_id", "text"), held_out(F.col("doc_id"), 7, 2), across=True)
 
 
 @query("op10_repeats")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -201,6 +202,64 @@ def test_language_model_learns_and_handles_nothing(spark):
     assert [x.train_tokens for x in alone] == [0, 0] and all(np.isfinite(x.score) for x in alone)
 
 
+def test_language_model_contexts_run_across_white_space(spark, monkeypatch):
+    for name, value in {"SPAN": 600, "EVENTS": 500, "CELLS": 7}.items():
+        monkeypatch.setattr(lm, name, value)
+    r = random.Random(11)
+    word = ["the", "Cat", "sat", "upon", "\u00fcber", "m\u00e4t", "x\x01y"]
+    rows = [(i, r.choice(["", " ", "\n"]) + "".join(r.choice(word) + r.choice([" ", " ", "  ", "\t"]) for _ in range(r.randrange(30)))) for i in range(60)]
+    rows += [(60, None), (61, "the cat sat upon"), (62, "upon sat cat the")]
+    held = {i for i, _ in rows if i % 5 == 1 or i > 60}
+    trie = {}
+
+    def steps(text):
+        raw = (text or "").encode().lower()
+        marked = b"\x01" + raw
+        for i in range(len(marked)):
+            yield marked[max(0, i - 4) : i + 1], raw[i] if i < len(raw) else 257
+
+    for i, text in rows:
+        if i not in held:
+            for context, symbol in steps(text):
+                for k in range(len(context) + 1):
+                    node = trie.setdefault(context[k:], {})
+                    node[symbol] = node.get(symbol, 0) + 1
+
+    def logp(context, symbol):
+        out, gone = 0.0, set()
+        for k in range(len(context) + 1):
+            if context[k:] not in trie:
+                continue
+            left = {s: n for s, n in trie[context[k:]].items() if s not in gone}
+            if symbol in left:
+                return out + math.log10((2 * left[symbol] - 1) / (2 * sum(left.values())))
+            if left:
+                out += math.log10(len(left) / (2 * sum(left.values())))
+            gone = set(trie[context[k:]])
+        return out - math.log10(max(1, 258 - len(gone)))
+
+    df = frame(spark, rows, "doc_id long, text string").repartition(3)
+    out = F.col("doc_id").isin(sorted(held))
+    got = {x.doc_id: x for x in lm.score(df, out, across=True).collect()}
+    assert len(got) == len(rows)
+    for i, text in rows:
+        assert got[i].score == pytest.approx(sum(logp(c, s) for c, s in steps(text)), abs=1e-9), i
+    # The word model and the counts do not depend on it; the order of the words counts.
+    for x in lm.score(df, out).collect():
+        assert (x.n_tokens, x.n_known, x.train_tokens) == (got[x.doc_id].n_tokens, got[x.doc_id].n_known, got[x.doc_id].train_tokens)
+        assert x.base_score == pytest.approx(got[x.doc_id].base_score, abs=1e-9)
+    assert abs(got[61].score - got[62].score) > 1e-6
+    assert lm.score(spark.createDataFrame([], "doc_id long, text string"), F.lit(False), across=True).count() == 0
+
+
+def test_language_model_query_sees_the_order_of_words(spark, tmp_path):
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2]
+    text = {i: "the cat sat upon" for i in range(100)} | {held[0]: "upon sat cat the", held[1]: "the cat sat upon"}
+    frame(spark, list(text.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x.score for x in QUERIES["op9_lm"](spark, str(tmp_path)).collect()}
+    assert got[held[1]] > got[held[0]] + 1
+
+
 def plain_repeats(rows, window=100):
     seen, out = set(), {}
     for ident, text in sorted(rows, key=lambda x: x[0]):
