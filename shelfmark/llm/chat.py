@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import spread
 from .common import Store
 
 #: Spark types that a schema may ask for, by the name used in the schema.
@@ -77,8 +78,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tupl
     ``calls`` has CALL_COLUMNS, ``results`` RESULT_COLUMNS; other columns are
     not read.  Rows without conversation or identifier are left out.  Of calls
     that repeat an identifier the first counts (by turn, then content) and the
-    row says so; likewise the first result, with the number of all.  Results
-    without a call are left out.  Order: conv_id, depth, turn, call_id; calls
+    row says so; likewise the first result, with the number of all.  What is
+    left out here is listed by ``unlinked``.  Order: conv_id, depth, turn, call_id; calls
     on a cycle have no depth.
     """
     store = Store(calls.sparkSession, "chat")
@@ -109,6 +110,46 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tupl
     )
 
 
+def unlinked(calls: DataFrame, results: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """(conv_id, call_id, turn, kind, fault, content, n): every row that ``link`` joins to nothing or leaves out.
+
+    Calls without a result, results without a call, calls and results after the
+    first of their identifier, and those without conversation or identifier;
+    ``others`` (conv_id, turn, role, text) are turns that are neither call nor
+    result.  Equal rows are one row with their number ``n``; a row of two
+    faults is listed for each.  ``content`` is the text of a call's arguments,
+    of a result or of a turn.
+    """
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    rows = calls.select("conv_id", "call_id", "turn", F.lit("call").alias("kind"), "name", F.col("arguments").alias("content"), "parent_id").union(
+        results.select("conv_id", "call_id", "turn", F.lit("result"), none("name"), "content", none("parent_id"))
+    )
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    # The order of ``link``; a result has neither name nor parent.
+    me = F.struct("turn", "name", "content", "parent_id")
+    first = lambda kind: F.min(F.when(F.col("kind") == kind, me)).alias(f"first_{kind}")
+    named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    known = spread.attach(rows.filter(named), ["conv_id", "call_id"], [first("call"), first("result")], ["kind", "turn", "name", "content", "parent_id"])
+    is_call = F.col("kind") == "call"
+    is_first = me.eqNullSafe(F.when(is_call, F.col("first_call")).otherwise(F.col("first_result")))
+    orphan = ~is_call & F.col("first_call").isNull()
+    later = F.col("n") - is_first.cast("long")
+    fault = lambda says, n: F.struct(F.lit(says).alias("fault"), n.alias("n"))
+    faults = F.array_compact(F.array(
+        F.when(orphan, fault("result without call", F.col("n"))),
+        F.when(is_call & is_first & F.col("first_result").isNull(), fault("call without result", F.lit(1).cast("long"))),
+        F.when(~orphan & (later > 0), fault("identifier repeats", later)),
+    ))
+    out = known.select("conv_id", "call_id", "turn", "kind", "content", F.explode(faults).alias("f"))
+    out = out.groupBy("conv_id", "call_id", "turn", "kind", "f.fault", "content").agg(F.sum("f.n").alias("n"))
+    lost = rows.filter(~named).groupBy("conv_id", "call_id", "turn", "kind", F.lit("no identifier").alias("fault"), "content").agg(F.sum("n").alias("n"))
+    out = out.union(lost)
+    if others is not None:
+        turns = others.select("conv_id", none("call_id"), "turn", F.lit("turn").alias("kind"), F.concat_ws(" ", F.coalesce("role", F.lit("unknown")), F.lit("turn")).alias("fault"), F.col("text").alias("content"))
+        out = out.union(turns.groupBy(*turns.columns).agg(F.count(F.lit(1)).alias("n")))
+    return out
+
+
 def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of a plain transcript (conv_id, turn, role, text).
 

@@ -337,6 +337,34 @@ def test_calls_are_linked_ordered_and_checked(spark):
     assert chat.link(df.limit(0), answers, schemas).count() == 0
 
 
+def test_rows_that_link_leaves_out_are_listed(spark):
+    calls = [
+        (1, "a", 1, "f", "{}", None), (1, "a", 1, "f", "{}", None), (1, "a", 2, "g", "[]", None), (1, "b", 3, "f", "{}", "a"), (None, "a", 1, "f", "{}", None),
+    ]
+    results = [(1, "a", 2, "one"), (1, "a", 2, "one"), (1, "a", 4, "two"), (9, "a", 1, "orphan"), (9, "a", 1, "orphan"), (1, None, 5, "lost")]
+    turns = [(1, 0, "system", "be brief"), (1, 9, None, "?")]
+    got = chat.unlinked(
+        frame(spark, calls, "conv_id long, call_id string, turn long, name string, arguments string, parent_id string"),
+        frame(spark, results, "conv_id long, call_id string, turn long, content string"),
+        frame(spark, turns, "conv_id long, turn long, role string, text string"),
+    )
+    assert got.columns == ["conv_id", "call_id", "turn", "kind", "fault", "content", "n"]
+    assert Counter(tuple(x) for x in got.collect()) == Counter([
+        (1, "a", 1, "call", "identifier repeats", "{}", 1), (1, "a", 2, "call", "identifier repeats", "[]", 1), (1, "b", 3, "call", "call without result", "{}", 1),
+        (None, "a", 1, "call", "no identifier", "{}", 1), (1, "a", 2, "result", "identifier repeats", "one", 1), (1, "a", 4, "result", "identifier repeats", "two", 1),
+        (9, "a", 1, "result", "result without call", "orphan", 2), (1, None, 5, "result", "no identifier", "lost", 1),
+        (1, None, 0, "turn", "system turn", "be brief", 1), (1, None, 9, "turn", "unknown turn", "?", 1),
+    ])
+
+
+def test_every_turn_is_in_a_chat_output(spark):
+    turns = spark.read.parquet(f"{FOLDER}/conversations.parquet")
+    linked, left = QUERIES["op6_chat"](spark, FOLDER), QUERIES["op6_chat_unlinked"](spark, FOLDER)
+    shown = linked.agg(F.count(F.lit(1)), F.sum(F.least("n_results", F.lit(1)))).first()
+    rest = left.filter("fault <> 'call without result'").agg(F.sum("n")).first()[0]
+    assert shown[0] + shown[1] + rest == turns.count()
+
+
 def test_pipeline_stage_by_stage(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     columns, store = docs.columns, common.Store(spark, "stages")
