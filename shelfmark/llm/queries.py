@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, embeddings, lm, minhash, repeats, secret_scan, sharding, toxicity
+from . import bitslices, bpe, centroids, chat, decontaminate, embeddings, lexical, lm, minhash, repeats, secret_scan, sharding, toxicity
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,78 @@ def op9_lm(spark, folder):
 @query("op10_repeats")
 def op10_repeats(spark, folder):
     return repeats.report(repeats.remove(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+_VALID = "embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"
+_OP11 = f"""
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings WHERE {_VALID}),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x)::BIGINT AS score, q.r
+  FROM v q JOIN v ON q.r <> v.r WHERE q.vec_id % 50 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5
+"""
+
+
+@query("op11_bitslices", _OP11)
+def op11_bitslices(spark, folder):
+    return bitslices.search(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+_TERMS = r"list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+_OP12 = f"""
+WITH t AS (
+  SELECT d, doc_id, unnest({_TERMS.removeprefix('list_distinct')}) AS term FROM (SELECT row_number() OVER () AS d, * FROM documents)),
+n AS (SELECT d, doc_id, count(*) AS n FROM t GROUP BY ALL),
+g AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM n),
+p AS (SELECT d, term, count(*) AS tf FROM t GROUP BY ALL),
+w AS (
+  SELECT term, floor(1000 * ln((2 * max(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, g GROUP BY term),
+i AS (SELECT r, item_id, unnest({_TERMS}) AS term FROM (SELECT row_number() OVER () AS r, * FROM benchmark)),
+s AS (
+  SELECT r, item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length))))::BIGINT AS score
+  FROM i JOIN w USING (term) JOIN p USING (term) JOIN n USING (d), g GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
+@query("op12_lexical", _OP12)
+def op12_lexical(spark, folder):
+    return lexical.search(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+
+
+def _op13() -> str:
+    """Ten rounds over (vector, component) rows; every round is two tables."""
+    parts = [f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND {_VALID}),
+c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1)::INTEGER AS cluster, x FROM v
+  QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id), x) <= 8)"""]
+    for k in range(11):
+        parts.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT r, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (
+    SELECT r, cluster, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{k} c)
+  GROUP BY r)""")
+        if k < 10:
+            parts.append(f"""
+c{k + 1} AS MATERIALIZED (
+  SELECT cluster, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN (
+    SELECT cluster, list(m ORDER BY i) AS x FROM (
+      SELECT cluster, i, ((sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m
+      FROM a{k} JOIN v USING (r), (SELECT unnest(range(1, 65)) AS i) GROUP BY cluster, i)
+    GROUP BY cluster) m USING (cluster))""")
+    return ",".join(parts) + """
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a10 JOIN v USING (r) JOIN c10 c USING (cluster)
+"""
+
+
+@query("op13_centroids", _op13())
+def op13_centroids(spark, folder):
+    return centroids.cluster(table(spark, folder, "embeddings").select("vec_id", "embedding"))
