@@ -23,22 +23,40 @@ def decimal_identity(c: Column) -> Column:
     exponent has at most four digits; beyond that a text is no number.
     """
     text = F.trim(c)
-    part = lambda group: F.regexp_extract(text, r"^\+?([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]{1,4}))?$", group)
-    zeros = lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
-    digits = F.concat(part(1), part(2))
-    # Where the point stands after the exponent has moved it, and digits enough on both sides of it.
-    point = F.length(part(1)) + F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), F.lit(0))
-    filled = F.concat(zeros(1 - point), digits, zeros(point - F.length(digits)))
-    place = F.greatest(point, F.lit(1))
-    whole = F.ltrim(F.substring(filled, F.lit(1), place), F.lit("0"))
-    fraction = F.rtrim(F.substring(filled, place + 1, F.length(filled)), F.lit("0"))
-    plain = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)))
+    plain = F.concat(F.lit("0"), F.when(text.rlike("[eE]"), _without_exponent(text)).otherwise(F.ltrim(text, F.lit("+"))))
     return (
-        F.when(text.rlike(r"^-0*\.?0*$") & text.rlike("0"), F.lit("0"))
-        .when(text.rlike(r"^\+?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]{1,4})?$"), plain)
+        F.when(text.rlike(r"^-(?:0+\.?0*|\.0+)$"), F.lit("0"))
+        .when(
+            text.rlike(r"^\+?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]{1,4})?$"),
+            F.regexp_replace(plain, r"^0*([0-9]+)(?:\.0*|(\.[0-9]*[1-9])0*)?$", "$1$2"),
+        )
     )
 
 
+def _without_exponent(text: Column) -> Column:
+    """Number text with the point moved to where its exponent puts it.
+
+    Each part is bound once, as an element of an array: pasted where it is
+    used, it would be evaluated many times over.
+    """
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    zeros = lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
+    halves = F.split(F.ltrim(text, F.lit("+")), "[eE]")
+
+    def shifted(h: Column) -> Column:
+        whole, fraction = F.substring_index(h[0], ".", 1), F.when(F.contains(h[0], F.lit(".")), F.substring_index(h[0], ".", -1)).otherwise("")
+        parts = F.struct(F.concat(whole, fraction).alias("digits"), (F.length(whole) + h[1].try_cast("int")).alias("point"))
+        return bound(parts, pointed)
+
+    def pointed(p: Column) -> Column:
+        # Digits enough on both sides of the point.
+        filled = F.concat(zeros(1 - p["point"]), p["digits"], zeros(p["point"] - F.length(p["digits"])))
+        place = F.greatest(p["point"], F.lit(1))
+        return bound(filled, lambda f: F.concat(F.substring(f, F.lit(1), place), F.lit("."), F.substring(f, place + 1, F.length(f))))
+
+    return bound(halves, shifted)
+
+
 def series_key(c: Column) -> Column:
     """Series name as it is compared: whitespace collapsed, trimmed, lower case."""
     return F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))

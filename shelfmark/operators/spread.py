@@ -11,9 +11,9 @@ byte-equal pages.  The steps here keep heavy work keyed by more than that key:
   large part of the many side, the one-row side is copied to a few salts, which
   needs no setting of the session.
 * ``prefix`` and ``number_rows`` cut the order of a group into buckets of
-  ``WIDTH`` positions, those into buckets of ``WIDTH`` buckets, and so on, so a
-  window holds at most ``WIDTH`` rows however sparse the positions are.  What
-  crosses buckets is one carried row per bucket.
+  ``WIDTH`` positions, for dense positions such as pages and list indexes.  What
+  crosses buckets is one carried row per bucket.  Sparse positions, and inputs
+  that are dear to plan twice, take ``ordered.scan`` instead.
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ SALTS = 64
 #: Copies of the one-row side of a lookup with hot keys.
 COPIES = 16
 WIDTH = 65536
-#: Levels of buckets that bound the last window for any BIGINT: 65536 ** 4 covers it.
-LEVELS = 3
 _SALT, _MAP = "_salt", "_salt_map"
 
 
@@ -100,50 +98,35 @@ def prefix(
     values: dict[str, tuple[str, str]],
     inclusive: bool = False,
     width: int = WIDTH,
-    levels: int = LEVELS,
 ) -> DataFrame:
     """Running aggregates by ``pos`` within ``keys``, over the rows before each row.
 
     ``values`` maps a new column to (how, column); ``how`` is last (non-null),
     sum or max.  ``pos`` is a non-negative integer, unique within ``keys``, so
-    a bucket holds at most ``width`` rows whatever the size of the group.  Each
-    of the ``levels`` buckets the carried rows of the one below; the default
-    covers all of BIGINT, one level positions below ``width`` squared.
+    a bucket holds at most ``width`` rows whatever the size of the group, and
+    there are as many buckets in one window as ``width`` goes into the last
+    position: below ``width`` squared both are bounded.
     """
-    w = Window.partitionBy(*keys).orderBy(pos)
-    if levels:
-        bucket = f"_bucket{levels}"
-        # Totals and rows come from the same shuffle on (keys, bucket).
-        df = df.withColumn(bucket, F.expr(f"{pos} div {width}")).repartition(*keys, bucket)
-        totals = df.groupBy(*keys, bucket).agg(
-            *(_total(how, column, pos).alias(f"_total_{name}") for name, (how, column) in values.items())
-        )
-        before = prefix(
-            totals, keys, bucket,
-            {f"_before_{name}": (how, f"_total_{name}") for name, (how, _) in values.items()},
-            False, width, levels - 1,
-        ).drop(*(f"_total_{name}" for name in values))
-        df = df.join(before, [*keys, bucket])
-        w = Window.partitionBy(*keys, bucket).orderBy(pos)
-    w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    # Totals and rows come from the same shuffle on (keys, bucket).
+    df = df.withColumn("_bucket", F.expr(f"{pos} div {width}")).repartition(*keys, "_bucket")
+    totals = df.groupBy(*keys, "_bucket").agg(
+        *(_total(how, column, pos).alias(f"_total_{name}") for name, (how, column) in values.items())
+    )
+    run = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(
+        *keys, "_bucket", *(run[how](f"_total_{name}").over(earlier).alias(f"_before_{name}") for name, (how, _) in values.items())
+    )
+    df = df.join(before, [*keys, "_bucket"])
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     columns = {}
     for name, (how, column) in values.items():
-        own = F.last(column, ignorenulls=True).over(w) if how == "last" else getattr(F, how)(column).over(w)
-        if levels:
-            carried = F.col(f"_before_{name}")
-            if how == "last":
-                own = F.coalesce(own, carried)
-            elif how == "max":
-                own = F.greatest(own, carried)
-            else:
-                own = F.coalesce(own, F.lit(0)) + F.coalesce(carried, F.lit(0))
-        elif how == "sum":
-            own = F.coalesce(own, F.lit(0))
-        columns[name] = own
-    df = df.withColumns(columns)
-    if levels:
-        df = df.drop(bucket, *(f"_before_{name}" for name in values))
-    return df
+        own, carried = run[how](column).over(inside), F.col(f"_before_{name}")
+        if how == "sum":
+            columns[name] = F.coalesce(own, F.lit(0)) + F.coalesce(carried, F.lit(0))
+        else:
+            columns[name] = (F.coalesce if how == "last" else F.greatest)(own, carried)
+    return df.withColumns(columns).drop("_bucket", *(f"_before_{name}" for name in values))
 
 
 def _total(how: str, column: str, pos: str) -> Column:
@@ -152,8 +135,6 @@ def _total(how: str, column: str, pos: str) -> Column:
     return getattr(F, how)(column)
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], pos: str, name: str, width: int = WIDTH, levels: int = LEVELS) -> DataFrame:
+def number_rows(df: DataFrame, keys: Sequence[str], pos: str, name: str, width: int = WIDTH) -> DataFrame:
     """1-based number of each row within ``keys``, ordered by the unique integer ``pos``."""
-    return prefix(
-        df.withColumn("_one", F.lit(1).cast("bigint")), keys, pos, {name: ("sum", "_one")}, inclusive=True, width=width, levels=levels
-    ).drop("_one")
+    return prefix(df.withColumn("_one", F.lit(1).cast("bigint")), keys, pos, {name: ("sum", "_one")}, inclusive=True, width=width).drop("_one")

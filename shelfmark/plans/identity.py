@@ -188,11 +188,10 @@ UNION ALL
 SELECT 'series ' || CAST(o_orderkey AS VARCHAR), 'UNMAPPED_SOURCE_ABSENCE', CAST(0 AS BIGINT), NULL, NULL, CAST(o_custkey AS VARCHAR)
 FROM orders WHERE o_custkey % 50 = 0""")
 def gap_classes(t):
-    gaps = sequences.sequence_gaps(identity.chapter_numbers(items(t)))
     absent = t.orders.filter("o_custkey % 50 = 0").selectExpr(
         "'series ' || o_orderkey AS series_key", "o_custkey AS volume"
     )
-    pieces = sequences.classify_gaps(gaps, documented(t), _ranges(t, IGNORED), _ranges(t, FALLBACK), absent)
+    pieces = sequences.classify_gaps(identity.chapter_numbers(items(t)), documented(t), _ranges(t, IGNORED), _ranges(t, FALLBACK), absent)
     return pieces.groupBy("series_key", "code", "volume").agg(
         F.coalesce(F.sum(F.col("end") - F.col("start") + 1), F.lit(0)).cast("bigint").alias("chapters"),
         F.min("start").alias("first"), F.max("end").alias("last"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import hashes
-from ..operators import dedupe, overlap, provenance, spread
+from ..operators import dedupe, ordered, overlap, provenance, spread
 from .members import DOC_PAGES, doc_pages
 from .registry import query, with_
 
@@ -284,7 +284,7 @@ NUMBERED_SQL = "SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id
         SELECT 'out ' || source AS output FROM documents GROUP BY source HAVING count(*) FILTER (doc_id % 101 <> 0) <> count(*))""",
 ) + "SELECT DISTINCT output, CAST(output_page AS BIGINT) AS output_page, message FROM i")
 def bind_page_map(t):
-    numbered = spread.number_rows(t.documents, ["source"], "doc_id", "rn")
+    numbered = ordered.number_rows(t.documents.select("doc_id", "source", "text"), ["source"], "doc_id", "rn")
     text = MAP_SQL.split("SELECT ", 1)[1].split("FROM numbered")[0].replace('"row"', "`row`")
     text = text.replace("sha256(text)", "sha2(text, 256)").replace("sha256('z')", "sha2('z', 256)").replace("sha256('y')", "sha2('y', 256)")
     text = text.replace("sha256(CASE WHEN doc_id % 37 = 0 THEN 'x' ELSE source END)", "sha2(CASE WHEN doc_id % 37 = 0 THEN 'x' ELSE source END, 256)")

@@ -1,4 +1,4 @@
-"""Session defaults and the shared folder."""
+"""Session defaults, the shared folder, and tables stored in it."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     # Re-plan at run time: coalesce small shuffles, split skewed join partitions.
@@ -46,3 +46,20 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         root = tempfile.mkdtemp(prefix="shelfmark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, which ends its lineage; ``_folder`` names the place."""
+    spark = df.sparkSession
+    folder = shared_folder(spark, purpose)
+    df.write.parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._folder = folder
+    return out
+
+
+def deleted(df: DataFrame) -> None:
+    """Remove a table of ``stored`` that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,29 +7,60 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.operators import coverage, dedupe, identity, manifests, matching, overlap, runs, sequences, spread
+from shelfmark.operators import coverage, dedupe, identity, manifests, matching, ordered, overlap, runs, sequences, spread
 
 
-@pytest.mark.parametrize("width, levels", [(4, 1), (3, 2), (65536, 1), (5, 0)])
-def test_prefix_matches_a_plain_loop(spark, width, levels):
+def running_rows():
     rng = random.Random(3)
     rows = []
-    for key, size in (("hot", 200), ("a", 3), ("b", 1)):
+    for key, size in (("hot", 200), ("a", 3), ("b", 1), ("c", 5)):
         for pos in sorted(rng.sample(range(1000), size)):
-            rows.append((key, pos, rng.randint(-5, 5), rng.choice([None, f"m{pos}"])))
+            rows.append((key, pos, rng.randint(-5, 5) if key != "c" else None, rng.choice([None, f"m{pos}"])))
     rng.shuffle(rows)
+    return rows
+
+
+def plain_running(rows, inclusive):
+    out, state = {}, {}
+    for k, pos, n, m in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
+        before = state.get(k, (0, None, None))
+        total, mark, top = before
+        state[k] = total + (n or 0), m or mark, top if n is None else n if top is None else max(top, n)
+        out[(k, pos)] = state[k] if inclusive else before
+    return out
+
+
+VALUES = {"total": ("sum", "n"), "mark_seen": ("last", "mark"), "top": ("max", "n")}
+
+
+@pytest.mark.parametrize("width", [4, 65536])
+def test_prefix_matches_a_plain_loop(spark, width):
+    rows = running_rows()
     df = spark.createDataFrame(rows, "k string, pos bigint, n bigint, mark string")
-    values = {"total": ("sum", "n"), "mark_before": ("last", "mark"), "top": ("max", "n")}
-    got = {(r.k, r.pos): (r.total, r.mark_before, r.top) for r in spread.prefix(df, ["k"], "pos", values, False, width, levels).collect()}
-    for key in ("hot", "a", "b"):
-        total, mark, top = 0, None, None
-        for k, pos, n, m in sorted(r for r in rows if r[0] == key):
-            assert got[(k, pos)] == (total, mark, top)
-            total, mark, top = total + n, m or mark, n if top is None else max(top, n)
+    got = {(r.k, r.pos): (r.total, r.mark_seen, r.top) for r in spread.prefix(df, ["k"], "pos", VALUES, False, width).collect()}
+    assert got == plain_running(rows, False)
     numbered = spread.number_rows(df.select("k", "pos"), ["k"], "pos", "rn", width=4).filter("k = 'hot'").orderBy("pos")
     assert [r.rn for r in numbered.collect()] == list(range(1, 201))
 
 
+@pytest.mark.parametrize("parts, batch", [(1, 10000), (7, 10000), (64, 7), (3, 1)])
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_ordered_scan_matches_a_plain_loop(spark, parts, batch, inclusive):
+    rows = running_rows() + [(None, 3, 1, "x"), (None, 5, 2, None), (None, 9, None, "y")]
+    df = spark.createDataFrame(rows, "k string, pos bigint, n bigint, mark string").withColumn("mark", F.when(F.col("mark").isNotNull(), F.struct("mark")))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for c, v in zip(old, (str(parts), str(batch), "false")):
+        spark.conf.set(c, v)
+    try:
+        found = ordered.scan(df, ["k"], "pos", VALUES, inclusive).collect()
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    got = {(r.k, r.pos): (r.total, r.mark_seen and r.mark_seen.mark, r.top) for r in found}
+    assert len(found) == len(rows) and got == plain_running(rows, inclusive)
+    assert ordered.scan(df.limit(0), ["k"], "pos", VALUES).count() == 0
+
+
 @pytest.mark.parametrize("share", [False, True])
 def test_attach_gives_each_row_its_group(spark, share):
     rows = [("hot", i) for i in range(500)] + [(f"k{i}", i) for i in range(50)]
@@ -302,14 +333,12 @@ def test_checksum_of_a_tampered_state(spark):
     assert sums[0] == sums[1] != sums[2]
 
 
-def test_sparse_positions_stay_in_bounded_windows(spark):
+def test_scan_of_sparse_positions(spark):
     # One group, positions a million apart and up to the end of BIGINT.
     at = [i * 1_000_003 for i in range(3000)] + [(1 << 62) + i * (1 << 40) for i in range(300)]
     df = spark.createDataFrame([("s", p, i) for i, p in enumerate(at)], "k string, pos bigint, v bigint")
-    found = spread.prefix(df, ["k"], "pos", {"last": ("last", "v"), "total": ("sum", "v")}, width=16, levels=15).orderBy("pos").collect()
+    found = ordered.scan(df, ["k"], "pos", {"last": ("last", "v"), "total": ("sum", "v")}).orderBy("pos").collect()
     assert [(r.last, r.total) for r in found] == [(i - 1 if i else None, i * (i - 1) // 2) for i in range(len(at))]
-    bounds = [16**level for level in range(1, 16)]
-    assert all(len({p // w for p in at if p // (w * 16) == at[-1] // (w * 16)}) <= 16 for w in bounds)
 
 
 def test_salted_lookup_keeps_null_and_repeated_rows(spark):
