@@ -17,15 +17,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of the smallest id; documents without an id stay."""
-    kept = minhash.link(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").union(docs.filter("doc_id IS NULL"))
+    """One document of each group of near copies, the one of the smallest id; documents without an id stay.
+
+    Rows that share an id are told apart by their texts, and of fully equal ones one stays.
+    """
+    kept = minhash.link(docs, text_hash="_hash").filter("kept").groupBy(F.col("doc_id").alias("_id"), "_hash").agg(F.count(F.lit(1)).alias("_rows"))
+    found = docs.join(kept, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+    single, repeated = found.filter("_rows = 1"), found.filter("_rows > 1").dropDuplicates(["_id", "_hash"])
+    return single.union(repeated).select(*docs.columns).union(docs.filter("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of a benchmark item."""
-    found = decontaminate.passages(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no passage of a benchmark item; a row is known by its id, null or not, and its text."""
+    rows = docs.select("text", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")).alias("row"))
+    found = decontaminate.passages(rows, table(spark, sf_dir, "benchmark"), key="row").select("row.*").distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash")), "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,9 @@ MAX_METADATA_BYTES = {"validate": 8 * 1024 * 1024, "transform": 16 * 1024 * 1024
 DEFAULT_DISTANCE = 4
 MAX_DISTANCE = 16
 
+# White space in the sense of Unicode's property, as the inside of a character class.
+WHITE_SPACE = "\\t-\\r \\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+
 # Patterns.
 SHA256_PATTERN = r"^[0-9a-fA-F]{64}$"
 DRIVE_PATTERN = r"^[A-Za-z]:"

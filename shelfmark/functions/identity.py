@@ -24,8 +24,11 @@ def decimal_identity(c: Column) -> Column:
     """
     text = F.trim(c)
     plain = F.concat(F.lit("0"), F.when(text.rlike("[eE]"), _without_exponent(text)).otherwise(F.ltrim(text, F.lit("+"))))
+    whole = F.ltrim(text, F.lit("0"))
     return (
-        F.when(text.rlike(r"^-(?:0+\.?0*|\.0+)$"), F.lit("0"))
+        # Most numbers are whole and need one test.
+        F.when(text.rlike("^[0-9]+$"), F.when(whole == "", "0").otherwise(whole))
+        .when(text.rlike(r"^-(?:0+\.?0*|\.0+)$"), F.lit("0"))
         .when(
             text.rlike(r"^\+?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]{1,4})?$"),
             F.regexp_replace(plain, r"^0*([0-9]+)(?:\.0*|(\.[0-9]*[1-9])0*)?$", "$1$2"),
@@ -59,7 +62,9 @@ def _without_exponent(text: Column) -> Column:
 
 def series_key(c: Column) -> Column:
     """Series name as it is compared: whitespace collapsed, trimmed, lower case."""
-    return F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
+    # Names with single spaces are the rule, and a test costs less than a replacement.
+    odd = c.rlike(f"  |[{fixed.WHITE_SPACE.replace(' ', '')}]")
+    return F.lower(F.trim(F.when(odd, F.regexp_replace(c, f"[{fixed.WHITE_SPACE}]+", " ")).otherwise(c)))
 
 
 def natural_key(c: Column) -> Column:

@@ -28,7 +28,8 @@ def suffix(c: Column) -> Column:
 def stem(c: Column) -> Column:
     """Last path component without its suffix."""
     name = base_name(c)
-    return F.substring(name, F.lit(1), F.length(name) - F.length(suffix(c)))
+    size, last = F.length(name), F.length(F.substring_index(name, ".", -1))
+    return F.when(last.between(1, size - 2), F.substring(name, F.lit(1), size - last - 1)).otherwise(name)
 
 
 def top_folder(c: Column) -> Column:
