@@ -19,6 +19,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,9 @@ SIZES = (1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 19, 24, 30, 38, 48, 60, 75, 95, 120, 1
 ITEM_BLOCK = 16 << 20
 
 _WORD = re.compile(r"\w+")
+#: Bytes of ASCII that are no word character as spaces, A-Z in lower case.
+_FOLDED = bytes(c if c >= 0x80 or chr(c).isalnum() or c == 0x5F else 0x20 for c in range(256)).lower()
+_ODD = "[^\\x00-\\x7F\\p{L}\\p{N}]|[\u0130\u03a3]"
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,23 +119,47 @@ def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best, int(row[end] % base), end
 
 
-class Numbers(dict):
-    """Words as they stand to their number in a vocabulary of hashes, -1 for none; remembers a bounded number."""
+class Numbers:
+    """The words of texts as numbers in a vocabulary of words, -1 for any other.
 
-    def __init__(self, vocabulary: np.ndarray, most: int = 100_000):
-        super().__init__()
-        self.place = {h: k for k, h in enumerate(vocabulary.tolist())}
-        self.most = most
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        got = self[word] = self.place.get(_hash(word.lower()), -1)
-        return got
+    ASCII is parted and lower-cased by its bytes, and Arrow splits a chunk of
+    texts and looks up its distinct pieces.  A piece is one word, unless it
+    holds a character beyond ASCII that is no letter or digit, or one whose
+    lower case depends on more than itself: only such pieces are taken apart
+    singly.
+    """
 
-    def of(self, text: str) -> np.ndarray:
-        found = _WORD.findall(text)
-        return np.fromiter(map(self.__getitem__, found), np.int32, len(found))
+    def __init__(self, vocabulary: list[str]):
+        self.words = pa.array(vocabulary, pa.string())
+        self.place = {w: k for k, w in enumerate(vocabulary)}
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the words of all texts, one text after the other, and how many words each has."""
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        raw = texts.buffers()[2]
+        folded = raw[int(ends[0]) : int(ends[-1])].to_pybytes().translate(_FOLDED) if raw is not None else b""
+        clean = pa.StringArray.from_buffers(len(texts), pa.py_buffer((ends - ends[0]).tobytes()), pa.py_buffer(folded))
+        split = pc.ascii_split_whitespace(clean)
+        pieces = split.flatten().dictionary_encode()
+        number = pc.fill_null(pc.index_in(pc.utf8_lower(pieces.dictionary), value_set=self.words), -1).to_numpy(zero_copy_only=False)
+        size = np.ones(len(number), np.int64)
+        size[pc.equal(pieces.dictionary, "").to_numpy(zero_copy_only=False)] = 0
+        wide = pc.invert(pc.string_is_ascii(pieces.dictionary)).to_numpy(zero_copy_only=False).nonzero()[0]
+        odd = wide[pc.match_substring_regex(pieces.dictionary.take(pa.array(wide)), _ODD).to_numpy(zero_copy_only=False)]
+        parts = {k: [self.place.get(w.lower(), -1) for w in _WORD.findall(pieces.dictionary[int(k)].as_py())] for k in odd}
+        for k, found in parts.items():
+            size[k] = len(found)
+        code = pieces.indices.to_numpy(zero_copy_only=False)
+        each = size[code]
+        if (each == 1).all():
+            out = number[code]
+        else:
+            out = np.repeat(number[code], each)
+            first = np.cumsum(each) - each
+            for at in np.flatnonzero(np.isin(code, odd)):
+                out[first[at] : first[at] + each[at]] = parts[code[at]]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        return out, np.diff(upto[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))])])
 
 
 class Items:
@@ -147,8 +175,10 @@ class Items:
         self.ids = [i for i, _ in rows]
         self.words = [np.array([_hash(w) for w in word_spans(t)[0]], np.uint64) for _, t in rows]
         self.edits = [int(EDITS * len(w)) for w in self.words]
+        texts = {_hash(w): w for _, t in rows for w in word_spans(t)[0]}
         self.vocabulary, held_by = np.unique(np.concatenate([np.empty(0, np.uint64), *(np.unique(w) for w in self.words)]), return_counts=True)
         self.rare = held_by <= max(2, COMMON * len(rows))
+        self.texts = [texts[h] for h in self.vocabulary.tolist()]
         at = [np.searchsorted(self.vocabulary, w) for w in self.words]
         self.own = [set(k[self.rare[k]].tolist()) for k in at]
         by_size = defaultdict(list)
@@ -174,14 +204,12 @@ class Items:
             self.sizes[size] = (least_known, least_rare, [dict(t) for t in tables], arrays, members)
 
     def numbers(self) -> "Numbers":
-        return Numbers(self.vocabulary)
+        return Numbers(self.texts)
 
-    def find(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, edits, first and end word) of the items that stand in texts of numbered words (``numbers``)."""
-        if not len(self.vocabulary) or not any(map(len, texts)):
+    def find(self, number: np.ndarray, size_of: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, edits, first and end word) of the items that stand in texts of numbered words (``Numbers.of``)."""
+        if not len(self.vocabulary) or not len(number):
             return []
-        number = np.concatenate(texts)
-        size_of = np.array([len(t) for t in texts])
         first = np.cumsum(size_of) - size_of
         end = np.repeat(first + size_of, size_of)
         # A word of no item has no number and the hash 0: no item has it either.
@@ -265,9 +293,9 @@ def passages(
             numbers = items.numbers()
             for batch in batches:
                 for part in chunks(batch, "text"):
-                    texts = part.column("text").to_pylist()
-                    hits = items.find([numbers.of(t) for t in texts])
-                    spans = {d: word_spans(texts[d])[1] for d in {h[0] for h in hits}}
+                    texts = part.column("text")
+                    hits = items.find(*numbers.of(texts))
+                    spans = {d: word_spans(texts[d].as_py())[1] for d in {h[0] for h in hits}}
                     rows = [h[0] for h in hits]
                     out = [(items.ids[k], edits, spans[d][a][0], spans[d][b - 1][1]) for d, k, edits, a, b in hits]
                     cells = list(zip(*out)) or [[]] * 4
