@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fixed
 
@@ -72,6 +73,23 @@ def similar_aspect(w1: Column, h1: Column, w2: Column, h2: Column) -> Column:
 
 
 def row_fingerprint(df: DataFrame, exclude: tuple[str, ...] = ("state_checksum",)) -> Column:
-    """SHA-256 over the row's JSON with columns in name order."""
-    names = sorted(c for c in df.columns if c not in exclude)
-    return F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
+    """SHA-256 over the row's canonical JSON: columns in name order, no white space, null for nothing.
+
+    Whole numbers, decimals and Booleans are written plainly, floating-point
+    numbers in scientific form with 15 digits, dates and times in ISO form as
+    text; texts and nested values as ``to_json`` writes them.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    parts = [F.concat(F.lit(f'"{name}":'), F.coalesce(_canonical(F.col(name), kinds[name]), F.lit("null"))) for name in sorted(kinds) if name not in exclude]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), 256)
+
+
+def _canonical(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.IntegralType, T.DecimalType, T.BooleanType)):
+        return c.cast("string")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.when(c.isNotNull(), F.format_string("%.14e", c.cast("double")))
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+    shown = F.to_json(F.array(c), {"ignoreNullFields": "false"})
+    return F.when(c.isNotNull(), F.substring(shown, F.lit(2), F.length(shown) - 2))

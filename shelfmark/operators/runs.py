@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, hashes, paths, variants
+from ..session import stored as store_table
 from . import issues, spread
 
 V = variants
@@ -138,6 +139,26 @@ def fold_updates(updates: DataFrame) -> DataFrame:
     )
 
 
+def rebuild_state(leaves: DataFrame) -> DataFrame:
+    """The nested state of each run, as JSON text with sorted keys -> (run, document).
+
+    ``leaves`` is what ``fold_updates`` leaves: run, path (dotted), value.  The
+    objects are put together from the deepest level up: of every level the
+    leaves and the finished objects below it become objects of their parents.
+    """
+    parts = F.split("path", r"\.")
+    rows = leaves.select("run", parts.alias("parts"), F.col("value").cast("variant").alias("v"), F.size(parts).alias("depth"))
+    rows = store_table(rows, "state")
+    top = rows.agg(F.max("depth").alias("d")).first().d or 1
+    above = F.slice("parts", F.lit(1), F.size("parts") - 1)
+    entry = F.struct(F.element_at("parts", -1).alias("key"), "v")
+    done = rows.filter(F.lit(False)).drop("depth")
+    for depth in range(top, 0, -1):
+        here = rows.filter(F.col("depth") == depth).drop("depth").unionByName(done)
+        done = here.groupBy("run", above.alias("parts")).agg(F.to_variant_object(F.map_from_entries(F.collect_list(entry))).alias("v"))
+    return done.select("run", F.to_json("v").alias("document"))
+
+
 def next_actions(states: DataFrame, problems: DataFrame, caches: DataFrame, existing: DataFrame) -> DataFrame:
     """What each run does next -> (run, step, action, path).
 

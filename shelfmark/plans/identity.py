@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import identity as ident
 from ..functions import fixed
 from ..operators import audit, coverage, identity, issues, sequences
+from ..session import stored
 from . import coverage as sources
+from . import records
 from .registry import query, with_
 
 # One archive per order line: the series is the order, the chapter the line
@@ -315,8 +317,73 @@ CODE_SEVERITY = "CASE code " + " ".join(f"WHEN '{c}' THEN '{level}'" for c, (_,
 CODE_AREA = "CASE code " + " ".join(f"WHEN '{c}' THEN '{area}'" for c, (area, _) in fixed.ISSUE_CODES.items()) + " ELSE 'validation' END"
 
 
+# The tables of a whole library, beside the archives: members, page counts, manifests, plan records.
+LIBRARY = ARCHIVES.replace("\nFROM lineitem", ", l_partkey + l_suppkey AS x, ((l_orderkey * 20011 + l_partkey) * 1009 + l_suppkey) * 8 + l_linenumber AS n, l_orderkey AS o FROM lineitem")
+LIB_MEMBERS = """
+SELECT path AS archive, CAST(k AS INT) AS member_index, CASE
+    WHEN k = 0 THEN CASE WHEN x % 41 = 0 THEN 'sub/comicinfo.xml' WHEN x % 43 = 0 THEN 'notes.txt' ELSE 'ComicInfo.xml' END
+    WHEN (x + k) % 97 = 0 THEN '../p' || CAST(k AS STRING) || '.jpg' WHEN k = 1 AND x % 37 = 0 THEN 'x/COMICINFO.xml' ELSE 'p' || CAST(k AS STRING) || '.jpg' END AS name,
+  CAST(1000 + x AS BIGINT) AS file_size, CASE WHEN (x + k) % 101 = 0 THEN CAST(1 AS BIGINT) ELSE CAST(900 AS BIGINT) END AS compress_size,
+  CASE WHEN (x + k) % 103 = 0 THEN 1 ELSE 0 END AS flag_bits,
+  CASE WHEN (x + k) % 107 = 0 THEN CAST(2717843456 AS BIGINT) ELSE CAST(2175008768 AS BIGINT) END AS external_attr, false AS is_dir,
+  CASE WHEN (x + k) % 19 = 0 THEN 'shared ' || CAST(o AS STRING) ELSE path || CAST(k AS STRING) END AS sha256
+FROM {}, (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10)) v(k) WHERE k <= x % 11"""
+LIB_DECLARED = "SELECT path AS archive, CASE WHEN x % 13 = 0 THEN 'many' WHEN x % 17 = 0 THEN CAST(x % 11 + 1 AS STRING) ELSE CAST(x % 11 AS STRING) END AS declared FROM {}"
+LIB_FILES = "SELECT path, 'h' || CAST(n AS STRING) AS sha256 FROM {}"
+LIB_RECORDED = """
+SELECT CASE WHEN x % 59 = 0 THEN '../' || path WHEN x % 61 = 0 THEN 'gone/' || path ELSE path END AS path,
+  CASE WHEN x % 31 = 0 THEN 'old' ELSE 'H' || CAST(n AS STRING) END AS sha256 FROM {} WHERE x % 3 <> 0"""
+LIB_LISTED = """
+SELECT CASE WHEN x % 67 = 0 THEN 'extra/' || path ELSE path END AS path, CASE WHEN x % 29 = 0 THEN 'old' ELSE 'h' || CAST(n AS STRING) END AS sha256 FROM {} WHERE x % 7 <> 0"""
+LIB_RECORDS = """
+SELECT n AS doc_seq, CASE n % 5 WHEN 0 THEN './' || path WHEN 1 THEN 'elsewhere/' || regexp_extract(path, '([^/]*)$', 1) END AS path, CASE WHEN n % 4 <> 0 THEN upper(series) END AS series,
+  CASE WHEN n % 6 <> 0 THEN volume || '.0' END AS volume, lower(number) AS number, """ + records.FALLBACK_DOCS.split(f"{records.C}, ", 1)[1].replace(records.C, "x").replace(
+    "FROM orders", "FROM {} WHERE (number IS NULL OR number LIKE 'SP%') AND n % 7 <> 0")
+LIB_SQL = dict(
+    members=LIB_MEMBERS.format("archives"), declared=LIB_DECLARED.format("archives"), files=LIB_FILES.format("archives"),
+    recorded=LIB_RECORDED.format("archives"), listed=LIB_LISTED.format("archives"), records=LIB_RECORDS.replace("{} WHERE (", "archives WHERE ("),
+    ok="SELECT *, NOT (name LIKE '../%' OR (external_attr >> 16) & 61440 = 40960 OR flag_bits % 2 = 1 OR file_size > greatest(compress_size, 1) * 1000) AS ok FROM members",
+    mf="""SELECT archive AS path, count(*) AS n, count(*) FILTER (ok AND name LIKE '%.jpg') AS pages, count(*) FILTER (ok AND regexp_matches(lower(name), '(^|/)comicinfo[.]xml$')) AS meta,
+            count(*) FILTER (ok AND name = 'ComicInfo.xml') AS root FROM ok GROUP BY 1""",
+    ff="SELECT path, max(sha256) AS sha256 FROM files GROUP BY 1", rf="SELECT path, min(lower(sha256)) AS a, max(lower(sha256)) AS b FROM recorded GROUP BY 1",
+    lf="SELECT path, min(lower(sha256)) AS a, max(lower(sha256)) AS b FROM listed GROUP BY 1",
+    df="SELECT d.path, declared, coalesce(pages, 0) AS pages FROM (SELECT archive AS path, max(declared) AS declared FROM declared GROUP BY 1) d LEFT JOIN mf USING (path)",
+    d="""SELECT doc_seq, x, CASE WHEN starts_with(path, './') THEN substr(path, 3) ELSE path END AS p, regexp_extract(path, '[^/]*$') AS name, lower(trim(regexp_replace(series, '\\s+', ' ', 'g'))) AS s,
+           """ + TXT.format(NUM.format("volume")) + """ AS v, replace(lower(number), ' ', '') AS u FROM (SELECT r.*, a.x FROM records r JOIN (SELECT DISTINCT n, x FROM archives) a ON a.n = r.doc_seq)""",
+    a="""SELECT DISTINCT path, kind, regexp_extract(path, '[^/]*$') AS name, series_key AS s, CASE kind WHEN 'volume' THEN volume_id ELSE replace(lower(number), ' ', '') END AS v
+         FROM items WHERE kind IN ('volume', 'special')""",
+    w="""SELECT a.path, a.kind, doc_seq, d.x FROM a JOIN d ON d.p = a.path UNION SELECT a.path, a.kind, doc_seq, d.x FROM a JOIN d USING (name)
+         UNION SELECT a.path, a.kind, doc_seq, d.x FROM a JOIN d ON d.s = a.s AND CASE a.kind WHEN 'volume' THEN d.v ELSE d.u END = a.v""",
+    z="""SELECT w.path, w.kind, w.doc_seq, w.x, CASE WHEN d.p = a.path THEN 100 WHEN d.name = a.name THEN 50 ELSE 0 END + CASE WHEN d.s = a.s THEN 10 ELSE 0 END
+           + CASE WHEN CASE a.kind WHEN 'volume' THEN d.v ELSE d.u END = a.v THEN 10 ELSE 0 END AS score FROM w JOIN a USING (path, kind) JOIN d USING (doc_seq)""",
+    matched="SELECT path, kind, arg_max(x, (score, -doc_seq)) AS x FROM z WHERE score >= 20 GROUP BY path, kind",
+    held="SELECT DISTINCT archive AS path, sha256, series_key FROM members JOIN items ON items.path = archive WHERE name LIKE '%.jpg' AND series_key IS NOT NULL",
+    sharing="SELECT DISTINCT path FROM (SELECT path, count(*) OVER (PARTITION BY series_key, sha256) AS c FROM held) WHERE c > 1",
+    ev="""SELECT m.path, m.x, m.x AS """ + records.C + """, coalesce(pages, 0) AS pages, s.path IS NOT NULL AS shared FROM matched m LEFT JOIN mf USING (path) LEFT JOIN sharing s USING (path) WHERE kind = 'volume'""",
+)
+LIB_ISSUES = """
+  UNION ALL SELECT CASE WHEN name LIKE '../%' THEN 'unsafe_archive_path' WHEN (external_attr >> 16) & 61440 = 40960 THEN 'archive_symlink' WHEN flag_bits % 2 = 1 THEN 'encrypted_archive_member'
+      ELSE 'archive_expansion_ratio' END, archive || ' | ' || name, 'member.accepted' FROM ok WHERE NOT ok
+  UNION ALL SELECT CASE WHEN meta > 1 THEN 'ARC006' ELSE 'ARC005' END, path, CASE WHEN meta > 1 THEN 'metadata.once' ELSE 'metadata.at-root' END FROM mf WHERE meta <> 1 OR root <> 1
+  UNION ALL SELECT 'pagecount_mismatch', path, 'pages.counted' FROM df WHERE TRY_CAST(declared AS BIGINT) IS DISTINCT FROM pages
+  UNION ALL SELECT 'archive_has_no_pages', path, 'pages.any' FROM df WHERE pages = 0
+  UNION ALL SELECT 'unsafe_baseline_path', path, 'manifest.path-safe' FROM rf WHERE path LIKE '../%'
+  UNION ALL SELECT 'baseline_file_missing', path, 'manifest.present' FROM rf ANTI JOIN ff USING (path) WHERE path NOT LIKE '../%'
+  UNION ALL SELECT 'baseline_hash_changed', path, 'manifest.hash-equal' FROM rf JOIN ff USING (path) WHERE a <> sha256 OR b <> sha256
+  UNION ALL SELECT unnest(['checksums_target_missing', 'checksums_archive_coverage_extra']), path, unnest(['checksums.target-present', 'checksums.within-library']) FROM lf ANTI JOIN ff USING (path)
+  UNION ALL SELECT 'checksums_mismatch', path, 'checksums.hash-equal' FROM lf JOIN ff USING (path) WHERE a <> sha256 OR b <> sha256
+  UNION ALL SELECT 'checksums_archive_coverage_missing', path, 'checksums.covers-archives' FROM ff ANTI JOIN lf USING (path)
+""" + "".join(
+    f"  UNION ALL SELECT 'invalid_volume_fallback', path, '{message}' FROM ev WHERE {condition}\n"
+    for condition, message in [r for r in records.FALLBACK_RULES if r[1] not in ("fallback.page-count", "overlap.exact-equal")]
+    + [("pages <> 10", "fallback.page-count"), (f"{records.HAS} AND shared", "overlap.exact-resolved")]
+)
+
+
 @query("library_audit", with_(
-    **ISSUE_BASE, chapters=CHAPTERS, documented=DOCUMENTED, dnum=DOCUMENTED_NUMBERS, absent=ABSENT,
+    **(BASE | dict(archives=LIBRARY)), **LIB_SQL, tokens0=TOKENS,
+    tokens="SELECT t.*, m.path IS NOT NULL AS documented FROM tokens0 t LEFT JOIN (SELECT DISTINCT path FROM matched) m USING (path)", issues=ISSUES,
+    chapters=CHAPTERS, documented=DOCUMENTED, dnum=DOCUMENTED_NUMBERS, absent=ABSENT,
     undocumented="SELECT * FROM absent ANTI JOIN dnum USING (series_key, n)", islands=ISLANDS.format("undocumented"),
     pairs="SELECT DISTINCT folder, series_key FROM items WHERE series_key IS NOT NULL",
     spans=sources.SPANS, c="SELECT source, max(pages) AS pages FROM (" + sources.COUNTS + ") GROUP BY 1", o=sources.SPAN_ORDER,
@@ -328,14 +395,19 @@ CODE_AREA = "CASE code " + " ".join(f"WHEN '{c}' THEN '{area}'" for c, (area, _)
       UNION ALL SELECT unnest(['SERIES_IDENTITY_MIX', 'PARTIAL_VOLUME_TAGGING']), series_key, 'series.volume-tagging' FROM items WHERE kind = 'chapter'
         GROUP BY series_key HAVING count(volume_id) > 0 AND count(volume_id) < count(*)
       UNION ALL SELECT 'UNINTENDED_GAP', series_key || ' | ' || "start" || ' | ' || "end", 'sequence.complete' FROM islands
-      UNION ALL SELECT code, concat_ws(' | ', source, CAST(item_index AS VARCHAR)), 'source.spans' FROM (""" + sources.SPAN_FAULTS + ")",
+      UNION ALL SELECT code, concat_ws(' | ', source, CAST(item_index AS VARCHAR)), 'source.spans' FROM (""" + sources.SPAN_FAULTS + ")" + LIB_ISSUES,
 ) + f"SELECT DISTINCT code, subject, message, {CODE_AREA} AS area, {CODE_SEVERITY} AS severity FROM every")
 def library_audit(t):
-    """All issues of the archives, their series and the split sources, as one stream."""
-    rows = items(t)
-    plan = archives(t).filter(F.length("path") % 3 == 0)
+    """Every check of the archives, their members, manifests, records and series, as one report."""
+    archives = stored(t.sql(LIBRARY), "library")
+    archives.createOrReplaceTempView("given_library")
+    given = lambda text: t.spark.sql(text.replace("{} WHERE (", "given_library WHERE (").replace("FROM {}", "FROM given_library"))
+    rows = identity.classify(archives, policies(t))
     counts = t.sql(sources.COUNTS).groupBy("source").agg(F.max("pages").alias("pages"))
-    return audit.library_audit(rows, plan, documented(t), audit.span_issues(coverage.span_issues(sources.spans(t), counts)))
+    return audit.whole_library(
+        rows, given(LIB_MEMBERS), given(LIB_FILES), given(LIB_DECLARED), given(LIB_RECORDED), given(LIB_LISTED), given(LIB_RECORDS), documented(t),
+        [audit.span_issues(coverage.span_issues(sources.spans(t), counts))],
+    )
 
 
 @query("promotion_gate", with_(

@@ -197,6 +197,64 @@ def decision_issues(t):
     return overlap.decision_issues(found, rows)
 
 
+CLASS_CTES = dict(
+    **NEAR_CTES, p=PAIRS_SQL, d=DECISIONS_SQL,
+    q="""SELECT lang AS series, source AS archive, bits AS a_bits, width AS a_width, bits2 AS b_bits, width2 AS b_width, distance, doc_id AS page, sha256, source2 AS other, doc2 AS other_page, sha2 AS other_sha256
+         FROM n WHERE source <> source2""",
+    u="SELECT DISTINCT archive, page, sha256, other, other_page, other_sha256, distance, TRUE AS there FROM d",
+)
+
+
+def _decisions(t):
+    found = candidates(t).toDF("series", "archive", *_reordered())
+    return (
+        found.filter("fallback_page % 4 <> 0").unionByName(found.filter("fallback_page % 9 = 0"))
+        .unionByName(found.filter("fallback_page % 11 = 0").withColumn("compared_page_sha256", F.lit("other")))
+    )
+
+
+def _coverage(t):
+    pages = grid_pages(t)
+    return overlap.decision_coverage(pages, pages.select("series", "archive"), _decisions(t), DISTANCE)
+
+
+@query("decided_classes", with_(**CLASS_CTES) + """
+SELECT series, archive, a_bits, a_width, b_bits, b_width, distance, count(*) AS candidates, count(there) AS decided
+FROM q LEFT JOIN u USING (archive, page, sha256, other, other_page, other_sha256, distance) GROUP BY ALL""")
+def decided_classes(t):
+    bits = lambda side: _bits(F.col(f"{side}.hi"), F.col(f"{side}.color"))
+    return _coverage(t)[0].select(
+        "series", "archive", bits("node").alias("a_bits"), F.col("node.width").alias("a_width"), bits("other").alias("b_bits"),
+        F.col("other.width").alias("b_width"), "distance", "candidates", "decided",
+    )
+
+
+@query("decision_strays", with_(**CLASS_CTES) + """
+SELECT 'invalid_volume_fallback' AS code, concat_ws('|', CAST(archive AS VARCHAR), CAST(page AS VARCHAR), sha256, CAST(other AS VARCHAR), CAST(other_page AS VARCHAR), other_sha256, CAST(distance AS VARCHAR)) AS subject,
+  CASE WHEN other_sha256 = 'other' THEN 'visual.candidate' ELSE 'candidate.decided-once' END AS message
+FROM d GROUP BY archive, page, sha256, other, other_page, other_sha256, distance HAVING other_sha256 = 'other' OR count(*) > 1""")
+def decision_strays(t):
+    return _coverage(t)[1]
+
+
+IDENTITIES = """
+SELECT lang AS series, source AS archive, 'volume ' || source AS identity, {h}source || lang{e} AS sha256 FROM documents GROUP BY lang, source"""
+COMPARED = """
+SELECT a.series, a.archive, b.identity, CASE WHEN length(a.archive) = 5 AND length(b.archive) = 4 THEN upper(b.sha256) WHEN a.archive = b.archive THEN 'self' ELSE b.sha256 END AS sha256
+FROM {t} a JOIN {t} b ON a.series = b.series WHERE a.archive <> b.archive AND NOT (a.archive = 'src2' AND b.archive LIKE '%1') OR a.archive = b.archive AND a.archive LIKE '%7'"""
+
+
+@query("audit_identities", with_(a=IDENTITIES.replace("{h}", "sha256(").replace("{e}", ")"), r=COMPARED.replace("{t}", "a")) + """
+SELECT a.series, a.archive, count(*) - 1 AS expected, any_value(r.confirmed) AS confirmed, any_value(r.wrong) AS wrong, count(*) - 1 = any_value(r.confirmed) AND any_value(r.wrong) = 0 AS ok
+FROM a JOIN a b ON a.series = b.series JOIN (SELECT x.series, x.archive, count(r.series) FILTER (r.sha256 <> 'self') AS confirmed, count(r.series) FILTER (r.sha256 = 'self') AS wrong
+  FROM a x LEFT JOIN r ON r.series = x.series AND r.archive = x.archive GROUP BY ALL) r ON r.series = a.series AND r.archive = a.archive GROUP BY a.series, a.archive""")
+def audit_identities(t):
+    packages = t.sql(IDENTITIES.replace("{h}", "sha2(").replace("{e}", ", 256)"))
+    packages.createOrReplaceTempView("given_identities")
+    recorded = t.spark.sql(COMPARED.replace("{t}", "given_identities"))
+    return overlap.audit_identities(recorded, packages, packages.select("series", "archive"))
+
+
 def _reordered():
     return ["fallback_page", "fallback_page_sha256", "compared_path", "compared_page", "compared_page_sha256", "hamming_distance"]
 

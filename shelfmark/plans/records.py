@@ -76,7 +76,7 @@ FALLBACK_RULES = [
     (f"{HAS} AND {C} % 101 = 0", "overlap.decisions-array"),
     (f"{C} % 47 = 0", "plan.coverage-stated"), (f"{C} % 3 = 1", "plan.coverage"),
     (f"{C} % 53 = 0", "fallback.page-count"),
-    (f"{C} % 137 = 0", "overlap audit page SHA-256 comparison differs from actual packages"),
+    (f"{C} % 137 = 0", "overlap.exact-equal"),
 ]
 
 
@@ -325,7 +325,7 @@ def flatten_manifest(t):
     )
 
 
-# Records to match: part archives against the plan records of every third part.
+# Records to match: part archives against the plan records of all parts.
 ARCHIVES = """
 SELECT DISTINCT p_brand || '/' || p_name || ' v' || CAST(p_size AS STRING) || ' ' || CAST(p_partkey % 40 AS STRING) || '.cbz' AS path,
   p_brand AS series, CAST(p_size AS STRING) AS volume, 'SP ' || CAST(p_size AS STRING) AS number FROM part"""
@@ -333,7 +333,7 @@ DOCS = """
 SELECT p_partkey AS doc_seq, CASE p_partkey % 5 WHEN 0 THEN './' || p_brand || '/' || p_name || ' v' || CAST(p_size AS STRING) || ' ' || CAST(p_partkey % 40 AS STRING) || '.cbz'
     WHEN 1 THEN 'elsewhere/' || p_name || ' v' || CAST(p_size AS STRING) || ' ' || CAST(p_partkey % 40 AS STRING) || '.cbz' END AS path,
   CASE WHEN p_partkey % 4 <> 0 THEN upper(p_brand) END AS series, CASE WHEN p_partkey % 6 <> 0 THEN CAST(p_size AS STRING) || '.0' END AS volume,
-  'sp' || CAST(p_size AS STRING) AS number FROM part WHERE p_partkey % 3 = 0"""
+  'sp' || CAST(p_size AS STRING) AS number FROM part"""
 
 
 def _match_sql(same: str) -> str:
@@ -377,6 +377,30 @@ def match_titles(t):
     return matching.match_titles(items, t.sql(RESULTS))
 
 
+# A catalog of its own: every part's title in another form, searched by all parts.
+TITLES = "SELECT p_partkey AS item, p_name || ' ' || p_type || ' ' || p_brand || ' ' || CAST(p_size AS STRING) AS title, 'i' || CAST(p_partkey % 700 AS STRING) AS isbn FROM part"
+CATALOG = """
+SELECT p_partkey AS candidate, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) || ', ' || p_type || ': ' || p_brand || '-' || CAST(p_size AS STRING)
+    WHEN 1 THEN substr(p_name, 2) || ' ' || p_type || ' ' || p_brand || ' ' || CAST(p_size AS STRING) WHEN 2 THEN p_name || ' the ' || p_type || ' ' || p_brand ELSE p_brand END AS title,
+  CASE WHEN p_partkey % 5 = 0 THEN replace(p_name, 'e', 'a') || ' ' || p_type || ' ' || p_brand || CAST(p_size AS STRING) END AS alias,
+  CASE WHEN p_partkey % 9 = 0 THEN 'i' || CAST(p_partkey % 650 AS STRING) END AS isbn FROM part"""
+KEYED = "regexp_replace(lower({}), '[\\s\\W]+', '', 'g')"
+
+
+@query("search_titles", with_(
+    i=TITLES, c=CATALOG, x=f"SELECT item, {KEYED.format('title')} AS x, isbn FROM i",
+    y=f"SELECT candidate, {KEYED.format('title')} AS y, {KEYED.format("coalesce(alias, '')")} AS z, isbn FROM c",
+    s=f"""SELECT item, candidate, CASE WHEN x.isbn = y.isbn THEN 10000 ELSE greatest(CASE WHEN abs(length(x) - length(y)) * 5 <= greatest(length(x), length(y)) THEN {RATIO} ELSE 0 END,
+      CASE WHEN abs(length(x) - length(z)) * 5 <= greatest(length(x), length(z)) THEN {RATIO.replace('y', 'z')} ELSE 0 END) END AS score FROM x, y""",
+    k="SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, candidate) AS rn FROM s WHERE score >= 8200",
+) + """
+SELECT i.item, a.candidate, CAST(a.score AS BIGINT) AS score, CAST(a.score - coalesce(b.score, 0) AS BIGINT) AS lead,
+  CASE WHEN a.score IS NULL THEN 'META001' WHEN a.score < 9200 THEN 'META003' WHEN a.score - coalesce(b.score, 0) < 1000 THEN 'META002' END AS code
+FROM i LEFT JOIN (SELECT * FROM k WHERE rn = 1) a USING (item) LEFT JOIN (SELECT * FROM k WHERE rn = 2) b USING (item)""")
+def search_titles(t):
+    return matching.search_titles(t.sql(TITLES), t.sql(CATALOG))
+
+
 EDITIONS = """
 SELECT CAST(l_orderkey AS STRING) || ':' || CAST(l_linenumber AS STRING) AS identity, CAST(l_partkey * 1000 + l_suppkey AS BIGINT) AS item,
   CAST(l_quantity AS BIGINT) % 7 AS score, 'h' || CAST(l_partkey % 10 AS STRING) AS sha256 FROM lineitem"""

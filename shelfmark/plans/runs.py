@@ -27,17 +27,26 @@ def latest_checkpoint(t):
 # A user's events update nested state; some replace a whole branch by a scalar.
 UPDATES = """
 SELECT user_id AS run, event_id AS sequence, CASE WHEN event_id % 40 = 0 THEN event_type WHEN event_id % 7 = 0 THEN event_type || '.k' || CAST(event_id % 3 AS STRING) || '.deep'
-  ELSE event_type || '.k' || CAST(event_id % 3 AS STRING) END AS path, CAST(value AS STRING) AS value FROM events"""
+  ELSE event_type || '.k' || CAST(event_id % 3 AS STRING) END AS path, CAST(CAST(floor(value * 100) AS BIGINT) AS STRING) AS value FROM events"""
+FOLDED = dict(
+    u=UPDATES, l="SELECT run, path, max(sequence) AS sequence, arg_max(value, sequence) AS value FROM u GROUP BY ALL",
+    f="""SELECT run, path, value, sequence FROM l a WHERE NOT EXISTS (SELECT 1 FROM l b WHERE b.run = a.run AND b.sequence > a.sequence
+  AND (starts_with(b.path, a.path || '.') OR starts_with(a.path, b.path || '.')))""",
+)
 
 
-@query("fold_updates", with_(
-    u=UPDATES.replace("CAST(value AS STRING) AS value", "event_id AS value"),
-    l="SELECT run, path, max(sequence) AS sequence FROM u GROUP BY ALL",
-) + """
-SELECT run, path, sequence FROM l a WHERE NOT EXISTS (SELECT 1 FROM l b WHERE b.run = a.run AND b.sequence > a.sequence
-  AND (starts_with(b.path, a.path || '.') OR starts_with(a.path, b.path || '.')))""")
+@query("fold_updates", with_(**FOLDED) + "SELECT * FROM f")
 def fold_updates(t):
-    return runs.fold_updates(t.sql(UPDATES)).select("run", "path", "sequence")
+    return runs.fold_updates(t.sql(UPDATES))
+
+
+@query("rebuild_state", with_(
+    **FOLDED, p="SELECT run, split_part(path, '.', 1) AS a, split_part(path, '.', 2) AS b, split_part(path, '.', 3) AS c, coalesce(CAST(to_json(value) AS VARCHAR), 'null') AS v FROM f",
+    two="SELECT run, a, b, CASE WHEN max(c) = '' THEN max(v) ELSE '{' || string_agg(to_json(c) || ':' || v, ',' ORDER BY c) || '}' END AS v FROM p GROUP BY run, a, b",
+    one="SELECT run, a, CASE WHEN max(b) = '' THEN max(v) ELSE '{' || string_agg(to_json(b) || ':' || v, ',' ORDER BY b) || '}' END AS v FROM two GROUP BY run, a",
+) + "SELECT run, '{' || string_agg(to_json(a) || ':' || v, ',' ORDER BY a) || '}' AS document FROM one GROUP BY run")
+def rebuild_state(t):
+    return runs.rebuild_state(runs.fold_updates(t.sql(UPDATES)))
 
 
 K = "c_custkey"
@@ -104,7 +113,10 @@ def reused_sections(t):
     return runs.reused_sections(t.sql(STATES))
 
 
-@query("row_fingerprint")
+@query("row_fingerprint", """
+SELECT o_orderkey, sha256('{"o_custkey":' || o_custkey || ',"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '","o_orderkey":' || o_orderkey
+  || ',"o_orderpriority":' || to_json(o_orderpriority) || ',"o_orderstatus":' || to_json(o_orderstatus) || ',"o_totalprice":' || printf('%.14e', o_totalprice) || '}') AS fingerprint
+FROM orders""")
 def row_fingerprint(t):
     orders = t.orders
     return orders.select("o_orderkey", hashes.row_fingerprint(orders).alias("fingerprint"))

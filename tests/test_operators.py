@@ -346,3 +346,78 @@ def test_salted_lookup_keeps_null_and_repeated_rows(spark):
     one = spark.createDataFrame([("a", "x"), ("b", "y")], "k string, w string")
     got = sorted((tuple(r) for r in spread.lookup(many, one, ["k"], copies=4).collect()), key=str)
     assert got == sorted([("a", 1, "x"), ("a", 1, "x"), (None, 2, None), ("c", 3, None)], key=str)
+
+
+def plain_similarity(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    longest = max(len(a), len(b))
+    return (longest - row[-1]) * 10000 // longest if longest else 0
+
+
+def near_title_rows():
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcde") for _ in range(rng.choice([1, 2, 3, 5, 8, 12, 25]))) for _ in range(40)] + ["a" * 12, "ab" * 9, "x"]
+
+    def changed(text):
+        letters = list(text)
+        for _ in range(rng.randrange(0, 4)):
+            at = rng.randrange(len(letters) + 1)
+            letters[at:at + rng.randrange(2)] = rng.choice(["", "z", "ab"])
+        return "".join(letters)
+
+    return base, [changed(rng.choice(base)) for _ in range(120)] + base[:5] * 3 + ["", "a" * 11, "b" + "a" * 12]
+
+
+def test_near_texts_are_all_found(spark):
+    left, right = near_title_rows()
+    a, b = (spark.createDataFrame([(t,) for t in side], "text string") for side in (left, right))
+    for least in (8200, 5000):
+        got = sorted(map(tuple, matching.near_texts(a, b, least).collect()))
+        pairs = [(x, y, plain_similarity(x, y)) for x in set(left) for y in set(right)]
+        assert got == sorted(p for p in pairs if p[2] >= least)
+
+
+def test_search_titles_against_all_pairs(spark):
+    left, right = near_title_rows()
+    items = [(i, t.upper() + " !", f"i{i}" if i % 9 == 0 else None) for i, t in enumerate(left + left[:10])]
+    catalog = [(k, t, right[-k] if k % 3 == 0 and k else None, f"i{k % 60}" if k % 7 == 0 else None) for k, t in enumerate(right)]
+    got = matching.search_titles(
+        spark.createDataFrame(items, "item int, title string, isbn string"),
+        spark.createDataFrame(catalog, "candidate int, title string, alias string, isbn string"),
+    ).collect()
+    want = []
+    for (i, _, isbn), title in zip(items, left + left[:10]):
+        scores = []
+        for k, t, alias, other in catalog:
+            score = 10000 if isbn is not None and isbn == other else max(plain_similarity(title, t), plain_similarity(title, alias or ""))
+            if score >= 8200:
+                scores.append((-score, k))
+        scores.sort()
+        if not scores:
+            want.append((i, None, None, None, "META001"))
+            continue
+        best, lead = -scores[0][0], -scores[0][0] + (scores[1][0] if len(scores) > 1 else 0)
+        want.append((i, scores[0][1], best, lead, "META003" if best < 9200 else "META002" if lead < 1000 else None))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_state_is_rebuilt_from_its_leaves(spark):
+    rows = [("r", "a.b.c", "1"), ("r", "a.b.d", "x\"y"), ("r", "a.e", None), ("r", "z", "2"), ("s", "k", "v")]
+    got = {r.run: r.document for r in runs.rebuild_state(spark.createDataFrame(rows, "run string, path string, value string")).collect()}
+    assert got == {"r": '{"a":{"b":{"c":"1","d":"x\\"y"},"e":null},"z":"2"}', "s": '{"k":"v"}'}
+    assert runs.rebuild_state(spark.createDataFrame([], "run string, path string, value string")).count() == 0
+
+
+@pytest.mark.parametrize("length", [2, 40])
+def test_merge_of_a_long_chain(spark, length):
+    # Every page is near only its neighbours and claims to be the copy of the one before, so each second one goes.
+    pages = [("o", 1, k, "arc", f"s{k:03d}", (1 << (2 * k % 62)) * 0 + ((1 << (k % 60 + 1)) - 1), 0, 10, 10) for k in range(length)]
+    decisions = [("o", 1, k, True, "arc", f"s{k:03d}", f"s{k - 1:03d}") for k in range(1, length)]
+    pages_df = spark.createDataFrame(pages, "output string, source_index int, page bigint, archive_sha256 string, sha256 string, hi bigint, color bigint, width int, height int")
+    decided = spark.createDataFrame(decisions, "output string, source_index int, page bigint, duplicate boolean, source_archive_sha256 string, source_page_sha256 string, duplicate_target_sha256 string")
+    merged = dedupe.merge_pages(pages_df, decided, ["output"], 1).orderBy("page").collect()
+    assert [r.state for r in merged] == ["kept" if k % 2 == 0 else "near" for k in range(length)]
