@@ -375,10 +375,12 @@ def near_title_rows():
 def test_near_texts_are_all_found(spark):
     left, right = near_title_rows()
     a, b = (spark.createDataFrame([(t,) for t in side], "text string") for side in (left, right))
-    for least in (8200, 5000):
+    for least in (8200, 7600, 10000):
         got = sorted(map(tuple, matching.near_texts(a, b, least).collect()))
         pairs = [(x, y, plain_similarity(x, y)) for x in set(left) for y in set(right)]
         assert got == sorted(p for p in pairs if p[2] >= least)
+    with pytest.raises(ValueError):
+        matching.near_texts(a, b, 7500)
 
 
 def test_search_titles_against_all_pairs(spark):
