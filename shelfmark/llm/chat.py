@@ -18,6 +18,8 @@ from .common import Store
 
 #: Spark types that a schema may ask for, by the name used in the schema.
 TYPES = {"string": "string", "integer": "bigint", "number": "double", "boolean": "boolean"}
+#: Every join here has one row for a key on its right, which each task holds as a hash table.
+HASH = "shuffle_hash"
 CALL_COLUMNS = ["conv_id", "call_id", "turn", "name", "arguments", "parent_id"]
 RESULT_COLUMNS = ["conv_id", "call_id", "turn", "content"]
 
@@ -54,7 +56,7 @@ def depths(store: Store, calls: DataFrame) -> DataFrame:
     A parent that is absent, or the call itself, counts as none.  A chain of n
     calls takes log2(n) rounds.
     """
-    known = calls.select("conv_id", F.col("call_id").alias("parent_id"), F.lit(True).alias("there"))
+    known = calls.select("conv_id", F.col("call_id").alias("parent_id"), F.lit(True).alias("there")).hint(HASH)
     pointer = calls.join(known, ["conv_id", "parent_id"], "left").select(
         "conv_id", "call_id", F.when(F.col("there") & (F.col("parent_id") != F.col("call_id")), F.col("parent_id")).alias("at"),
     )
@@ -63,7 +65,7 @@ def depths(store: Store, calls: DataFrame) -> DataFrame:
     for _ in range(rounds):
         if pointer.filter("at IS NOT NULL").isEmpty():
             break
-        ahead = pointer.select("conv_id", F.col("call_id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
+        ahead = pointer.select("conv_id", F.col("call_id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more")).hint(HASH)
         step = pointer.join(ahead, ["conv_id", "at"], "left").select(
             "conv_id", "call_id", F.col("next").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
         )
@@ -91,7 +93,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tupl
     answers = results.filter("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(
         F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n_results")
     ).select("conv_id", "call_id", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), "n_results")
-    both = one.join(answers, ["conv_id", "call_id"], "left").join(depths(store, one), ["conv_id", "call_id"])
+    both = one.join(answers.hint(HASH), ["conv_id", "call_id"], "left").join(depths(store, one).hint(HASH), ["conv_id", "call_id"])
     faults = F.concat(
         argument_errors(F.col("name"), F.col("arguments"), schemas),
         F.array_compact(F.array(
@@ -118,7 +120,8 @@ def unlinked(calls: DataFrame, results: DataFrame, others: DataFrame | None = No
     ``others`` (conv_id, turn, role, text) are turns that are neither call nor
     result.  Equal rows are one row with their number ``n``; a row of two
     faults is listed for each.  ``content`` is the text of a call's arguments,
-    of a result or of a turn.
+    of a result or of a turn.  The aggregates of an identifier reach its rows
+    by the library's salted ``spread.attach``.
     """
     none = lambda name: F.lit(None).cast("string").alias(name)
     rows = calls.select("conv_id", "call_id", "turn", F.lit("call").alias("kind"), "name", F.col("arguments").alias("content"), "parent_id").union(
@@ -155,9 +158,9 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Every assistant turn calls ``reply`` with its text; it uses the result of
     the assistant turn two turns before, and the user turn after it is its
-    result.
+    result.  A row without conversation or turn has no identifier.
     """
-    ident = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
+    ident = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
     turn = F.col("turn")
     calls = turns.filter("role = 'assistant'").select(
         "conv_id", ident(turn).alias("call_id"), "turn", F.lit("reply").alias("name"),

@@ -137,12 +137,14 @@ r AS (
     row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) = 1 AS first
   FROM conversations WHERE role = 'user' GROUP BY conv_id, turn, text),
 a AS (
-  SELECT c.*, '{"text":' || to_json(text) || ',"n_chars":' || length(text) || '}' AS arguments, call_id IN (SELECT call_id FROM r) AS answered FROM c),
-b AS (SELECT r.*, call_id IN (SELECT call_id FROM c) AS called FROM r)
+  SELECT c.*, '{"text":' || to_json(text) || ',"n_chars":' || length(text) || '}' AS arguments, call_id IN (SELECT call_id FROM r WHERE call_id IS NOT NULL) AS answered FROM c),
+b AS (SELECT r.*, call_id IN (SELECT call_id FROM c WHERE call_id IS NOT NULL) AS called FROM r)
 SELECT conv_id, call_id, turn, 'call' AS kind, 'call without result' AS fault, arguments AS content, 1::BIGINT AS n FROM a WHERE first AND NOT answered
-UNION ALL SELECT conv_id, call_id, turn, 'call', 'identifier repeats', arguments, n - first::BIGINT FROM a WHERE n > first::BIGINT
+UNION ALL SELECT conv_id, call_id, turn, 'call', 'identifier repeats', arguments, n - first::BIGINT FROM a WHERE call_id IS NOT NULL AND n > first::BIGINT
 UNION ALL SELECT conv_id, call_id, turn, 'result', 'result without call', text, n FROM b WHERE NOT called
 UNION ALL SELECT conv_id, call_id, turn, 'result', 'identifier repeats', text, n - first::BIGINT FROM b WHERE called AND n > first::BIGINT
+UNION ALL SELECT conv_id, NULL, turn, 'call', 'no identifier', arguments, n FROM a WHERE call_id IS NULL
+UNION ALL SELECT conv_id, NULL, turn, 'result', 'no identifier', text, n FROM b WHERE call_id IS NULL
 UNION ALL SELECT conv_id, NULL, turn, 'turn', coalesce(role, 'unknown') || ' turn', text, count(*) FROM conversations
   WHERE role IS NULL OR role NOT IN ('assistant', 'user') GROUP BY conv_id, turn, role, text
 """
