@@ -17,6 +17,8 @@ from ..session import shared_folder
 CHUNK_BYTES = 1 << 20
 #: Bytes of a stored table for one task of a table like it.
 TASK_BYTES = 4 << 20
+#: Parts of the rows of one key, one for each bit of a BIGINT.
+SALTS = 64
 #: An unknown size leaves the number of tasks as it is; this is beyond any.
 MOST_TASKS = (1 << 31) - 1
 
@@ -136,6 +138,19 @@ class Store:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def lookup(many: DataFrame, one: DataFrame, on: list[str], row: list[str]) -> DataFrame:
+    """``many`` joined to ``one``, which has one row for a key, where one key may be held by a large part of the rows.
+
+    ``row`` names columns that differ between the rows of a key; they decide
+    the salt.  The one row is copied only to the salts that occur, so a unique
+    key is copied once.
+    """
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(*row), F.lit(SALTS)).cast("int"))
+    wanted = salted.groupBy(*on).agg(F.expr("bit_or(shiftleft(1L, _salt))").alias("_salts")).join(one, on)
+    there = F.expr(f"filter(sequence(0, {SALTS - 1}), i -> shiftright(_salts, i) & 1 = 1)")
+    return salted.join(wanted.withColumn("_salt", F.explode(there)).drop("_salts"), [*on, "_salt"]).drop("_salt")
+
+
 def planned_size(df: DataFrame) -> int:
     """Bytes that the optimizer expects of ``df``, beyond any number where it cannot tell."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Store, components, fold_case, map_text, planned_size, words
+from .common import Store, components, fold_case, lookup, map_text, planned_size, words
 
 WORDS = 5
 #: Coordinates, and agreeing ones that a pair needs to be confirmed: at a
@@ -182,8 +182,9 @@ def _units(store: Store, open_: DataFrame) -> DataFrame:
     members = placed.select("cluster", "node", "component").distinct()
     choice = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")).join(lists.groupBy("cluster").agg(F.sum(cost(F.col("n"))).alias("by_list")), "cluster")
     choice = choice.select("cluster", "m", (cost(F.col("m")) <= F.col("by_list")).alias("whole"))
-    whole = members.join(choice.filter("whole"), "cluster").select(F.col("cluster").alias("unit"), "node", "component", F.ceil(F.col("m") / TILE).alias("tiles"))
-    apart = placed.join(choice.filter("NOT whole").select("cluster"), "cluster").join(lists, ["cluster", "pair"])
+    # All members of a cluster have its row, and one cluster may hold a large part of the members.
+    whole = lookup(members, choice.filter("whole"), ["cluster"], ["node"]).select(F.col("cluster").alias("unit"), "node", "component", F.ceil(F.col("m") / TILE).alias("tiles"))
+    apart = lookup(placed, lists.join(choice.filter("NOT whole").select("cluster"), "cluster"), ["cluster", "pair"], ["node"])
     return whole.union(apart.select(F.col("pair").alias("unit"), "node", "component", F.ceil(F.col("n") / TILE).alias("tiles")))
 
 
@@ -242,8 +243,8 @@ def _tiled(units: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.repartition("step").sortWithinPartitions("step").mapInArrow(run, "a long, b long")
 
 
-def link(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_shingles, component_id, kept) of every document.
+def link(docs: DataFrame, text: str = "text", key: str = "doc_id", text_hash: str | None = None) -> DataFrame:
+    """(key, n_shingles, component_id, kept) of every document; ``text_hash`` names a column for xxhash64 of its text.
 
     Words are runs of ``[^\\x20\\x09-\\x0D]`` with A-Z in lower case.  A text of
     fewer than five words is one shingle; null texts and texts without words
@@ -289,6 +290,7 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_set = named.join(least, "component").select("d1", "d2", "component_id")
     # The rows of one set may be a large part of all: adaptive execution splits them, the other side has one row a set.
-    out = every.select("id", "n_shingles", "d1", "d2").join(by_set, ["d1", "d2"], "left")
+    out = every.select("id", "th", "n_shingles", "d1", "d2").join(by_set, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    columns = [F.col("id").alias(key), F.col("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")]
+    return out.select(*columns, *([F.col("th").alias(text_hash)] if text_hash else []))
