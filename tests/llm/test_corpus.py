@@ -9,6 +9,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -407,3 +408,79 @@ def test_pipeline_stages_take_odd_rows(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, rows, str(tmp_path))
             assert out.columns == rows.columns and out.count() == n
+
+
+def test_turns_without_identifier_are_listed(spark):
+    rows = [
+        (5, None, "assistant", "a"), (5, None, "user", "b"), (None, 1, "assistant", "c"), (5, 1, "assistant", "d"), (5, 2, "user", "e"),
+        (5, None, "user", "b"), (5, 7, None, "f"),
+    ]
+    turns = frame(spark, rows, "conv_id long, turn int, role string, text string")
+    calls, results = chat.from_turns(turns)
+    linked = [(r.call_id, r.n_results, r.faults) for r in chat.link(calls, results, chat.REPLY).collect()]
+    assert linked == [("5:1", 1, "")]
+    lost = chat.unlinked(calls, results, turns.filter("role IS NULL OR role NOT IN ('assistant', 'user')")).collect()
+    assert Counter((r.conv_id, r.call_id, r.turn, r.kind, r.fault, r.n) for r in lost) == Counter([
+        (5, None, None, "call", "no identifier", 1), (5, None, None, "result", "no identifier", 2),
+        (None, None, 1, "call", "no identifier", 1), (5, None, 7, "turn", "unknown turn", 1),
+    ])
+
+
+def test_unlinked_turns_of_sql_and_operator_agree_on_nulls(spark, tmp_path, monkeypatch):
+    rows = [(5, None, "assistant", "a"), (5, None, "user", "b"), (5, None, "user", "b"), (6, 1, "assistant", "d"), (6, 1, "assistant", "d"), (6, 4, "user", "e"), (6, 0, "system", "s")]
+    frame(spark, rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    for name in ("op6_chat", "op6_chat_unlinked"):
+        monkeypatch.setitem(registry.QUERIES, name, QUERIES[name])
+        monkeypatch.setitem(registry.ORACLES, name, ORACLES[name])
+        assert compare(spark, con, str(tmp_path), name) == ""
+
+
+def long_text(seed, n=60):
+    r = random.Random(seed)
+    return " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+
+
+def test_pipeline_stages_of_null_and_repeated_ids(spark, tmp_path):
+    item = long_text(1, 40)
+    spark.createDataFrame([(1, item)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean, other = long_text(2), long_text(3)
+    rows = [(None, f"{clean} {item}"), (None, clean), (1, f"{item} {other}"), (1, other), (2, clean), (3, None)]
+    docs = frame(spark, [(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, clean), (1, other), (2, clean), (3, None)])
+    near = other.split()
+    near[30] = "changed"
+    rows = [(1, other), (1, clean), (2, " ".join(near)), (3, long_text(4)), (3, long_text(4)), (4, None), (4, ""), (None, long_text(5)), (5, clean)]
+    docs = frame(spark, [(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(
+        [(1, other), (1, clean), (3, long_text(4)), (4, None), (4, ""), (None, long_text(5))]
+    )
+
+
+@pytest.mark.parametrize("shards, parts", [(16, 3), (4, 1)])
+def test_shard_cuts_are_those_of_a_plain_prefix_sum(spark, shards, parts):
+    r = random.Random(9)
+    rows = [(k, "w" * r.choice([0, 3, 50, 900])) for k in range(700)] + [(1000 + k, "same text " * 20) for k in range(350)] + [(5000, None), (5001, "é" * 4000)]
+    df = frame(spark, rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in sharding.shard(df, shards, parts, tolerance=0.0).collect()}
+    keyed = sorted((x.key, x.doc_id, x.size) for x in df.select("doc_id", sharding.sort_key().alias("key"), sharding.size_of().alias("size")).collect())
+    assert all(size == len((dict(rows)[d] or "").encode()) + 1 == got[d].size for _, d, size in keyed)
+    total, below, ends = sum(x[2] for x in keyed), 0, [(0, 0)]
+    for key, _, size in keyed:
+        if key != ends[-1][0]:
+            ends.append((key, below))
+        below += size
+    ends.append((keyed[-1][0] + 1, total))
+    # Every cut is the key with the weight below it that is nearest to its share.
+    cuts = [min(ends, key=lambda e: (abs(e[1] - total * s / shards), e[1]))[0] for s in range(1, shards)]
+    slots = Counter()
+    for key, d, size in keyed:
+        shard = sum(c <= key for c in cuts)
+        assert got[d].shard == shard and got[d].text_crc32 == zlib.crc32((dict(rows)[d] or "").encode())
+        assert got[d].slot == slots[shard]
+        slots[shard] += 1

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -189,7 +192,9 @@ def test_model_recall_on_findings_kept_apart():
     y = np.repeat([1.0, 0.0], 200)
     net = secret_scan.Network()
     net.fit(x[::2], y[::2])
-    net.calibrate(x[1::4], y[1::4], 0.98)
+    net.calibrate(x[1::4], y[1::4])
+    bins = Counter((net.scores(x[1::4][y[1::4] == 1]) * secret_scan.BINS).astype(int).tolist())
+    net.constrain(bins, x[1::4][y[1::4] == 0], 0.98)
     score = net.scores(x[3::4])
     assert (score[y[3::4] == 1] >= net.threshold).mean() >= 0.9
     assert (score[y[3::4] == 0] >= net.threshold).mean() <= 0.1
@@ -310,3 +315,54 @@ def test_queries_cover_the_table(spark, name):
         items = {r.item_id: r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()}
         got = {(r.doc_id, r.item_id) for r in df.collect()}
         assert {(d, i) for d, t in docs.items() for i, x in items.items() if x in t} <= got
+
+
+def plain_fit(rows, keys, ridge, swap, rounds):
+    """The fit as loops over rows and dictionaries of weights."""
+    n = {y: sum(r[0] == y for r in rows) for y in (0, 1)}
+    w, b = dict.fromkeys(keys, 0.0), 0.0
+    m, v = dict.fromkeys([*keys, "bias"], 0.0), dict.fromkeys([*keys, "bias"], 0.0)
+    swaps = sum(len(r[2]) for r in rows)
+    p = lambda seen: 1 / (1 + math.exp(-(b + sum(w[f] for f in seen if f in w))))
+    for step in range(1, rounds + 1):
+        g = {k: 2 * ridge * w[k] / len(keys) for k in keys} | {"bias": 0.0}
+
+        def pull(seen, by):
+            for f in [*seen, "bias"]:
+                if f in g:
+                    g[f] += by  # noqa: B023
+
+        for y, seen, others in rows:
+            own = p(seen)
+            pull(seen, (own - y) * 0.5 / n[y])
+            for other in others:
+                there = p(other)
+                gap = 2 * swap * (own - there) / swaps
+                pull(seen, gap * own * (1 - own))
+                pull(other, -gap * there * (1 - there))
+        for k in g:
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g[k], 0.999 * v[k] + 0.001 * g[k] ** 2
+            move = 0.05 * (m[k] / (1 - 0.9**step)) / (math.sqrt(v[k] / (1 - 0.999**step)) + 1e-9)
+            if k == "bias":
+                b -= move
+            else:
+                w[k] -= move
+    return w, b
+
+
+def test_toxicity_fit_and_score_are_the_plain_ones(spark):
+    rows = toxic_rows()[:24]
+    f = toxicity.Features()
+    words = [(y, f.words(t)) for _, t, y in rows]
+    sets = [(y, f.of(ws), [f.of(c) for c in toxicity.counterparts(ws)]) for y, ws in words]
+    assert any(s for _, _, s in sets)
+    keys = np.unique(np.concatenate([x for _, x, _ in sets]))[::3]
+    model = toxicity.fit(sets, keys, ridge=0.01, swap=2.0, rounds=40)
+    w, b = plain_fit([(y, x.tolist(), [c.tolist() for c in s]) for y, x, s in sets], keys.tolist(), 0.01, 2.0, 40)
+    assert np.allclose(model.weights, [w[k] for k in model.keys.tolist()], atol=1e-6) and abs(model.bias - b) < 1e-6
+    texts = [t for _, t, _ in rows] + ["", None, "Idiots! WOMEN... été", "x " * 3000]
+    got = toxicity.score(frame(spark, list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in got:
+        seen = {h for x in re.findall(r"[^\W\d_]+", (r.text or "").lower()) for h in [xxhash.xxh64_intdigest(q) >> 1 for q in ["=" + x, *("^" + x[:k] for k in (4, 5, 6) if len(x) > k)]]}
+        score = 1 / (1 + math.exp(-(b + sum(w.get(h, 0.0) for h in seen))))
+        assert abs(r.score - score) < 1e-6 and r.predicted == int(r.score >= 0.7)
