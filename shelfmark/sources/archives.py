@@ -151,10 +151,11 @@ METADATA_FIELDS = [*fixed.IDENTITY_FIELDS, "PageCount", "Notes", "Summary", "Gen
 def parse_metadata(df: DataFrame, xml: str, mode: str = "transform", size: str | None = None) -> DataFrame:
     """Metadata fields as columns, plus ``metadata_issue``.
 
-    Namespaces are ignored, text is trimmed, empty is null, and the first of
-    repeated elements counts (a repeated identity element is an issue).
-    Unsafe documents are never handed to the parser.  Direct children of the
-    root are read.
+    Namespaces and the case of element names are ignored, text is trimmed,
+    empty is null, and of the elements of a name the first in document order
+    counts, at any depth (a repeated identity child is an issue).  Unsafe
+    documents are never handed to the parser.  One parse reads the children of
+    the root; a path is evaluated only for a name that stands elsewhere too.
     """
     schema = ", ".join(f"`{name}` array<string>" for name in METADATA_FIELDS) + ", _corrupt_record string"
     options = {"mode": "PERMISSIVE", "ignoreNamespace": "true", "columnNameOfCorruptRecord": "_corrupt_record"}
@@ -177,10 +178,18 @@ def parse_metadata(df: DataFrame, xml: str, mode: str = "transform", size: str |
     )
     # Nothing is read from a document that is not well-formed.
     whole = F.col("_doc._corrupt_record").isNull()
-    values = [
-        F.when(whole, F.nullif(F.trim(F.get(F.col(f"_doc.{name}"), 0)), F.lit(""))).alias(_snake(name)) for name in METADATA_FIELDS
-    ]
-    return df.select(*(c for c in df.columns if c not in ("_guard", "_root", "_doc")), *values,
+
+    def first(name: str) -> Column:
+        child = F.get(F.col(f"_doc.{name}"), F.lit(0))
+        tags = F.regexp_count("_body", F.lit(f"(?i)<(?:[^\\s<>/:!?]+:)?{name}[\\s/>]"))
+        once = (tags == 0) | ((tags == 1) & child.isNotNull())
+        small = "translate(local-name(),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
+        anywhere = F.xpath_string("_body", F.lit(f"string((//*[{small}='{name.lower()}'])[1]/text()[1])"))
+        return F.when(whole & F.col("_guard").isNull(), F.nullif(F.trim(F.when(once, child).otherwise(anywhere)), F.lit(""))).alias(_snake(name))
+
+    df = df.withColumn("_body", body)
+    values = [first(name) for name in METADATA_FIELDS]
+    return df.select(*(c for c in df.columns if c not in ("_guard", "_root", "_doc", "_body")), *values,
                      issue.alias("metadata_issue"))
 
 

@@ -141,3 +141,22 @@ def test_a_deep_document_is_written_in_linear_size(spark):
     assert sum(r.cut for r in rows) == 201 - 4 and not any('""' in r.json or "[0]" in r.json for r in rows)
     assert all(r.cut == ("x" * 1000 not in r.json) for r in rows)
     assert {r.path for r in plans.record_paths(plans.walk_nodes(docs)).collect()} >= {"p0", "p199"}
+
+
+def test_metadata_is_read_at_any_depth(spark):
+    texts = {
+        "plain": "<ComicInfo><Series> A </Series><Number>1</Number></ComicInfo>",
+        "nested": "<ComicInfo><Extra><Series>Inner</Series><Volume>3</Volume></Extra><Series>Later</Series></ComicInfo>",
+        "cased": "<ComicInfo><SERIES>Upper</SERIES><number>7</number></ComicInfo>",
+        "spaced": '<?xml version="1.0"?><c:ComicInfo xmlns:c="urn:c"><c:Page><c:Title>Deep</c:Title></c:Page><c:Series>S</c:Series></c:ComicInfo>',
+        "empty": "<ComicInfo><Box><Series> </Series></Box><Series>Later</Series></ComicInfo>",
+        "broken": "<ComicInfo><Extra><Series>x</Series></ComicInfo>",
+        "marked": "<ComicInfo><Summary><![CDATA[ <Series>no</Series> ]]></Summary><Series>yes</Series></ComicInfo>",
+    }
+    df = spark.createDataFrame([(k, bytearray(v.encode())) for k, v in texts.items()], "name string, xml binary")
+    got = {r.name: r for r in archives.parse_metadata(df, "xml").collect()}
+    assert {k: r.series for k, r in got.items()} == {
+        "plain": "A", "nested": "Inner", "cased": "Upper", "spaced": "S", "empty": None, "broken": None, "marked": "yes",
+    }
+    assert (got["nested"].volume, got["cased"].number, got["spaced"].title, got["plain"].number) == ("3", "7", "Deep", "1")
+    assert got["marked"].summary == "<Series>no</Series>" and got["broken"].metadata_issue == "metadata.well-formed"
