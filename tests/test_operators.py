@@ -423,3 +423,19 @@ def test_merge_of_a_long_chain(spark, length):
     decided = spark.createDataFrame(decisions, "output string, source_index int, page bigint, duplicate boolean, source_archive_sha256 string, source_page_sha256 string, duplicate_target_sha256 string")
     merged = dedupe.merge_pages(pages_df, decided, ["output"], 1).orderBy("page").collect()
     assert [r.state for r in merged] == ["kept" if k % 2 == 0 else "near" for k in range(length)]
+
+
+def test_included_pages_must_be_those_of_the_map(spark):
+    from shelfmark.operators import provenance
+
+    sha = lambda x: x * 64
+    columns = "output string, row int, output_page bigint, source string, source_page bigint, source_archive_sha256 string, source_page_sha256 string, output_sha256 string"
+    rows = [(o, k, k + 1, "s", k + 1, sha("a"), None, sha("12"[k])) for o in ("good", "less", "more", "none") for k in (0, 1)]
+    components = spark.createDataFrame([(o, "s", sha("A")) for o in ("good", "less", "more", "none")], "output string, source string, sha256 string")
+    pages = [(a, k + 1, sha("12"[k])) for a in ("s", "good", "less", "more", "none") for k in (0, 1)]
+    included = [("good", "s", 1), ("good", "s", 2), ("less", "s", 1), ("more", "s", 1), ("more", "s", 2), ("more", "s", 3)]
+    found = provenance.bind_page_map(
+        spark.createDataFrame(rows, columns), components, spark.createDataFrame(pages, "archive string, page int, sha256 string"),
+        spark.createDataFrame(included, "output string, source string, page bigint"),
+    )
+    assert sorted(map(tuple, found.collect())) == [(o, None, "map.included-equal") for o in ("less", "more", "none")]
