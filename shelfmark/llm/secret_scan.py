@@ -5,8 +5,9 @@ finding on, with or without a digit, is a candidate; of a run that a base span
 covers in part, what is left of it.  A convolutional network in numpy reads it with its surrounding
 context.  It is trained on labelled findings of a bounded sample of the corpus
 (values of the fixed patterns, of any length, against other runs), its scores are calibrated
-on findings kept apart, and its threshold keeps the wanted recall there with
-as few other runs as the highest one that does.  Spans of the fixed patterns stay whatever it says.
+on findings kept apart, and its threshold keeps the wanted recall of all
+findings of the corpus that it was not fitted on, counted by score, with as few
+other runs as the highest one that does.  Spans of the fixed patterns stay whatever it says.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, fresh, map_text
+from .common import Store, chunks, fresh, map_text
 
 # The patterns of the base kinds, in listed order.
 KINDS = ["assign", "access", "hex", "model"]
@@ -46,6 +47,8 @@ TILE = 64 << 10
 #: Documents whose findings train the network, and findings of each label at most.
 SAMPLE_DOCS, SAMPLE_FINDINGS = 6000, 2000
 RECALL = 0.98
+#: Cells in which scores of findings are counted.
+BINS = 4096
 TAPS, FILTERS, DEPTH = 5, 16, 8
 
 
@@ -145,8 +148,8 @@ class Network:
                     v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
                     self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt's scaling by Newton steps, then a threshold as precise as the highest that keeps ``recall`` of the positives."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Platt's scaling by Newton steps."""
         z = self.logits(x)
         a, b = 1.0, 0.0
         # Platt's smoothed targets keep a separable set finite.
@@ -159,21 +162,28 @@ class Network:
             da, db = np.linalg.solve(hess, g)
             a, b = a - da, b - db
         self.scale, self.offset = (a, b) if a > 0 and np.isfinite([a, b]).all() else (1.0, 0.0)
-        positive, negative = np.sort(self.scores(x[y == 1])), self.scores(x[y == 0])
-        if not len(positive):
-            self.threshold = 1.1
-            return
-        highest = positive[int((1 - recall) * len(positive))]
-        # No lower threshold up to the next negative lets more of these pass: halfway there, but at a half at least.
-        lower = negative[negative < highest].max(initial=0.0)
-        self.threshold = float(min(highest, max(0.5, (highest + lower) / 2)))
+
+    def constrain(self, counts: dict[int, int], negative: np.ndarray, recall: float) -> None:
+        """The threshold that keeps ``recall`` of all positives, whose scores are counted in BINS equal bins.
+
+        No lower threshold up to the next of the ``negative`` rows lets more of
+        these pass: halfway there, but at a half at least.
+        """
+        upto, total, highest = 0, sum(counts.values()), 0.0
+        for b in sorted(counts, reverse=True):
+            upto, highest = upto + counts[b], b / BINS
+            if upto >= recall * total:
+                break
+        scores = self.scores(negative)
+        lower = scores[scores < highest].max(initial=0.0)
+        self.threshold = float(min(highest, max(0.5, (highest + lower) / 2))) if total else 1.1
 
 
 def train(
     docs: DataFrame, text: str = "text", key: str = "doc_id",
     sample_docs: int = SAMPLE_DOCS, findings: int = SAMPLE_FINDINGS, recall: float = RECALL,
 ) -> Network:
-    """A network fitted on the labelled findings of a bounded sample of documents.
+    """A network fitted on the labelled findings of a bounded sample, its threshold set by all findings it was not fitted on.
 
     The sample is the ``sample_docs`` documents of smallest id hash plus as
     many that hold a finding; at most ``findings`` of the values, of the other
@@ -201,7 +211,7 @@ def train(
             labels, rows = [x[0] for x in kept], [x[1] for x in kept]
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(rows, pa.binary())], names=["label", "seen"])
 
-    rows = sample.select("text").mapInArrow(label, added).distinct()
+    rows = Store(docs.sparkSession, "secrets").put(sample.select("text").mapInArrow(label, added).distinct())
     # Bounded: at most three times ``findings`` rows of WIDTH bytes.
     order = {0: F.xxhash64("seen"), 1: F.xxhash64("seen"), 2: F.crc32("seen")}
     got = [r for y in order for r in rows.filter(F.col("label") == y).orderBy(order[y], "seen").limit(findings).collect()]
@@ -216,12 +226,39 @@ def train(
     bare = x[~apart].copy()
     bare[:, :BEFORE] = 32
     net.fit(np.concatenate([x[~apart], bare]), np.concatenate([y[~apart], y[~apart]]))
-    net.calibrate(x[apart], y[apart], recall)
+    net.calibrate(x[apart], y[apart])
+    # What the network was fitted on says nothing about its recall.
+    fitted = {r.tobytes() for r in x[~apart & (y == 1)]}
+
+    def scored(batches):
+        import pyarrow as pa
+
+        counts = np.zeros(BINS + 1, np.int64)
+        for part in (p for b in batches for p in chunks(b, "text")):
+            # A run is a positive only where a base span is, which most texts do not have.
+            for t in part.column("text").to_pylist():
+                for y, rows in labelled_runs(t) if base_spans(t) else ():
+                    if y == 1 and any(r.tobytes() not in fitted for r in rows):
+                        # A run is found by its best window.
+                        best = max(net.scores(np.stack(rows[at : at + 256])).max() for at in range(0, len(rows), 256))
+                        counts[int(best * BINS)] += 1
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["bin", "n"])
+
+    bins = base.select("text").mapInArrow(scored, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    net.constrain({r.bin: r.n for r in bins}, x[apart & (y == 0)], recall)
     return net
 
 
 def labelled(text: str):
-    """(label, row) of the runs of one text.
+    """(label, row) of every window of the runs of one text."""
+    for label, rows in labelled_runs(text):
+        for row in rows:
+            yield label, row
+
+
+def labelled_runs(text: str):
+    """(label, rows) of the runs of one text.
 
     1 within a value of the fixed patterns, 0 outside of all findings with a
     digit or PLAIN characters, 2 for further ones.  A run that holds no more
@@ -240,8 +277,7 @@ def labelled(text: str):
             continue
         else:
             label = 0 if digits[e] > digits[s] or e - s >= PLAIN else 2
-        for row in windows(raw, s, e):
-            yield label, row
+        yield label, list(windows(raw, s, e))
 
 
 def byte_spans(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
