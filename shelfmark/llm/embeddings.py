@@ -169,7 +169,12 @@ def link(df: DataFrame, vector: str = "embedding", label: str = "label", key: st
     nodes = store.put(distinct.mapInArrow(_bucketed, "node long, unit binary, buckets array<long>").join(sizes, "node"))
     posted = nodes.select("node", F.posexplode("buckets").alias("table", "bucket"))
     # Buckets of two and more; their rows are dealt out to tiles by the hash of the node.
-    full = posted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+    full = posted.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.min("table").alias("table"), *(F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"h{k}") for k in (1, 2))
+    ).filter("n > 1")
+    # Near vectors share most of their buckets: of buckets with the same members the first table's stands for all.
+    full = full.groupBy("n", "h1", "h2").agg(F.min_by("bucket", "table").alias("bucket"))
+    full = full.select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
     members = posted.join(full, "bucket").withColumn("tile", F.pmod(F.xxhash64("node", "bucket"), F.col("tiles")).cast("int"))
     pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     side = (F.col("tile") > F.col("other")).cast("int").alias("side")
