@@ -348,6 +348,17 @@ def test_salted_lookup_keeps_null_and_repeated_rows(spark):
     assert got == sorted([("a", 1, "x"), ("a", 1, "x"), (None, 2, None), ("c", 3, None)], key=str)
 
 
+def test_copied_sides_stay_off_the_driver(spark):
+    # The size that the optimizer takes copies for leaves out the copies, so no copied side may be broadcast.
+    many, one = spark.range(200).selectExpr("id % 50 AS k", "id"), spark.range(60).selectExpr("id AS k", "id * 2 AS v")
+    joined = spread.lookup(many, one, ["k"], "inner", spread.COPIES)
+    counted = spread.attach(many, ["k"], [F.count("*").alias("n")], ["id"])
+    for df in (joined, counted):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.k, r.v) for r in joined.collect()} == {(i, i % 50, i % 50 * 2) for i in range(200)}
+    assert {(r.id, r.n) for r in counted.collect()} == {(i, 4) for i in range(200)}
+
+
 def plain_similarity(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
