@@ -54,10 +54,12 @@ def inventory_stream(
 
 
 def table_inventory(
-    spark: SparkSession, folder: str, glob: str, schema: T.StructType, out: str, checkpoint: str,
+    spark: SparkSession, folder: str, name: str, schema: T.StructType, out: str, checkpoint: str,
     transform: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """The same loop over the Parquet files of ``folder`` that match ``glob``; returns the inventory so far."""
-    files = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+    """The same loop over the Parquet table ``name`` in ``folder``, one file or a folder; returns the inventory so far."""
+    # A plain path must be a folder; what a pattern finds may be either.
+    files = spark.readStream.schema(schema).parquet(f"{folder}/{{{name}}}")
     run_once(files, out, checkpoint, transform)
-    return spark.read.parquet(out)
+    # With its schema, as a table without rows may leave no file behind.
+    return spark.read.schema(transform(files).schema).parquet(out)

@@ -160,3 +160,14 @@ def test_metadata_is_read_at_any_depth(spark):
     }
     assert (got["nested"].volume, got["cased"].number, got["spaced"].title, got["plain"].number) == ("3", "7", "Deep", "1")
     assert got["marked"].summary == "<Series>no</Series>" and got["broken"].metadata_issue == "metadata.well-formed"
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_table_inventory_reads_a_file_or_a_folder(spark, tmp_path, whole):
+    # Larger tables are folders of files; what comes later is read once.
+    rows = spark.range(30).selectExpr("id", "'x' || id AS name").repartition(1 if whole else 3)
+    rows.write.parquet(str(tmp_path / "given"))
+    table = next((tmp_path / "given").glob("part-*")) if whole else tmp_path / "given"
+    for _ in range(2):
+        out = inventory.table_inventory(spark, str(table.parent), table.name, rows.schema, str(tmp_path / "out"), str(tmp_path / "state"), lambda df: df.select("name"))
+    assert sorted(r.name for r in out.collect()) == sorted(f"x{i}" for i in range(30))
