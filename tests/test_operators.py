@@ -7,7 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark.functions import fixed
 from shelfmark.operators import coverage, dedupe, identity, manifests, matching, ordered, overlap, runs, sequences, spread
+from shelfmark.sources import plans as sources
 
 
 def running_rows():
@@ -450,3 +452,15 @@ def test_included_pages_must_be_those_of_the_map(spark):
         spark.createDataFrame(included, "output string, source string, page bigint"),
     )
     assert sorted(map(tuple, found.collect())) == [(o, None, "map.included-equal") for o in ("less", "more", "none")]
+
+
+@pytest.mark.parametrize("ways", [lambda n: sources.coverage_claims(n), lambda n: sequences.documented_gaps(n)])
+def test_plans_are_walked_once_and_by_many_tasks(spark, ways):
+    # Documents of one small file are many: all tasks walk them, and what several results need is walked once.
+    text = '{"series":"S","source":"s","page_count":3,"start":1,"end":2,"deliberate_missing_ranges":[{"from":1,"end":2,"reason":"r"}]}'
+    docs = spark.range(0, 400, 1, 1).selectExpr("CAST(id AS STRING) AS doc", f"'{text}' AS text")
+    nodes = sources.walk_nodes(docs, below=fixed.GAP_KEYS)
+    assert nodes.select(F.spark_partition_id()).distinct().count() > 1
+    found = ways(nodes)
+    assert all("MapInPandas" not in df._jdf.queryExecution().optimizedPlan().toString() for df in found)
+    assert [df.count() for df in found] == ([400, 0] if len(found) == 2 else [400, 400, 0])
