@@ -24,7 +24,7 @@ def run_state_issues(states: DataFrame, json: str = "json", checksum: str | None
     ``checksum`` names a column with the state's recomputed checksum; without
     it only the form of the stored one is checked.
     """
-    states = states.withColumn("_v", V.parse(F.col(json)))
+    states = spread.dealt(states).withColumn("_v", V.parse(F.col(json)))
     s = F.col("_v")
     get = lambda key: V.field(s, key)
     rule = issues.rule

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import hashes
-from ..operators import runs
+from ..operators import runs, spread
 from ..sources import plans
 from .records import HEX, _json
 from .registry import query, with_
@@ -67,7 +67,7 @@ STATES = f"SELECT {K} AS run, {_json(STATE)} AS json FROM customer"
 
 def states(t):
     """States that carry their checksum; one in 31 was edited afterwards."""
-    rows = t.sql(STATES).withColumn("sum", runs.state_checksum(F.col("json")))
+    rows = spread.dealt(t.sql(STATES)).withColumn("sum", runs.state_checksum(F.col("json")))
     body = F.regexp_replace("json", "[}]$", "")
     stored = F.concat(body, F.lit(',"state_checksum":"'), F.expr("CASE WHEN run % 37 = 0 THEN 'none' ELSE upper(sum) END"), F.lit('"}'))
     edited = F.when(F.expr("run % 31 = 0"), F.replace(stored, F.lit('"lock_owner":"o"'), F.lit('"lock_owner":"p"'))).otherwise(stored)

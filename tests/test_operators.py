@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions import fixed
-from shelfmark.operators import coverage, dedupe, identity, manifests, matching, ordered, overlap, runs, sequences, spread
+from shelfmark.operators import coverage, dedupe, documents, identity, manifests, matching, ordered, overlap, runs, sequences, spread
 from shelfmark.sources import plans as sources
 
 
@@ -464,3 +464,9 @@ def test_plans_are_walked_once_and_by_many_tasks(spark, ways):
     found = ways(nodes)
     assert all("MapInPandas" not in df._jdf.queryExecution().optimizedPlan().toString() for df in found)
     assert [df.count() for df in found] == ([400, 0] if len(found) == 2 else [400, 400, 0])
+
+
+def test_record_rules_are_worked_on_by_many_tasks(spark):
+    rows = spark.range(0, 200, 1, 1).selectExpr("id AS doc_seq", "id AS run", "'{}' AS json")
+    for found in (documents.special_issues(rows), runs.run_state_issues(rows)):
+        assert found.select(F.spark_partition_id()).distinct().count() > 1
