@@ -27,11 +27,15 @@ def archive_listing(t):
     return archives.archive_paths(t.sql(ARCHIVE_NAMES))
 
 
+#: Bytes of archives in one batch, which the reader of the archives gets as it is.
+_BATCH_BYTES = 8 << 20
+
+
 def _zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """An archive per document: its text as three images and a metadata document."""
+    names, contents, held = [], [], 0
     for batch in batches:
-        contents = []
-        for doc, text, xml in zip(batch["doc_id"], batch["text"], batch["xml"]):
+        for path, doc, text, xml in zip(batch["path"], batch["doc_id"], batch["text"], batch["xml"]):
             buffer = io.BytesIO()
             with zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED) as out:
                 out.writestr("p10.png", text)
@@ -39,8 +43,14 @@ def _zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if doc % 9:
                     out.writestr("ComicInfo.xml", xml)
                 out.writestr("sub/p3.webp", text[::-1])
+            names.append(path)
             contents.append(buffer.getvalue()[: 40 if doc % 50 == 3 else None])
-        yield pd.DataFrame({"path": batch["path"], "content": contents})
+            held += len(contents[-1])
+            if held >= _BATCH_BYTES:
+                yield pd.DataFrame({"path": names, "content": contents})
+                names, contents, held = [], [], 0
+    if names:
+        yield pd.DataFrame({"path": names, "content": contents})
 
 
 XML = """'<?xml version="1.0"?><ComicInfo xmlns:x="urn:x"><x:Series> ' || source || ' </x:Series><Number>' || CAST(doc_id AS STRING)

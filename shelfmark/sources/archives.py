@@ -21,7 +21,10 @@ MEMBER_SCHEMA = (
     "sha256 string, crc_ok boolean, head binary, metadata binary, error string"
 )
 _BATCH = 5000
+#: Bytes of metadata documents in one batch of members.
+_BATCH_BYTES = 16 << 20
 _COLUMNS = [field.split()[0] for field in MEMBER_SCHEMA.split(", ")]
+_METADATA = _COLUMNS.index("metadata")
 
 
 def archive_paths(files: DataFrame, path: str = "path") -> DataFrame:
@@ -92,12 +95,15 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows: list[tuple] = []
+    held = 0
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            rows += _archive_rows(path, content)
-            if len(rows) >= _BATCH:
+            found = _archive_rows(path, content)
+            rows += found
+            held += sum(len(row[_METADATA] or b"") for row in found)
+            if len(rows) >= _BATCH or held >= _BATCH_BYTES:
                 yield _frame(rows)
-                rows = []
+                rows, held = [], 0
     if rows:
         yield _frame(rows)
 

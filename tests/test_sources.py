@@ -171,3 +171,12 @@ def test_table_inventory_reads_a_file_or_a_folder(spark, tmp_path, whole):
     for _ in range(2):
         out = inventory.table_inventory(spark, str(table.parent), table.name, rows.schema, str(tmp_path / "out"), str(tmp_path / "state"), lambda df: df.select("name"))
     assert sorted(r.name for r in out.collect()) == sorted(f"x{i}" for i in range(30))
+
+
+def test_batches_of_members_are_bounded_by_their_metadata(monkeypatch):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as out:
+        out.writestr("ComicInfo.xml", "x" * 100)
+    given = archives.pd.DataFrame({"path": [f"{i}.cbz" for i in range(9)], "content": [buffer.getvalue()] * 9})
+    monkeypatch.setattr(archives, "_BATCH_BYTES", 300, raising=False)
+    assert [len(batch) for batch in archives._explode([given])] == [3, 3, 3]
