@@ -396,6 +396,14 @@ def test_near_texts_are_all_found(spark):
         matching.near_texts(a, b, 7500)
 
 
+def test_near_texts_are_paired_in_all_tasks(spark):
+    a = spark.createDataFrame([(t,) for t in near_title_rows()[0]], "text string")
+    near = matching.near_texts(a, a, 8200)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "HashAggregate" not in plan  # nothing is sent to all tasks, and pairs need no distinct
+    assert near.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_search_titles_against_all_pairs(spark):
     left, right = near_title_rows()
     items = [(i, t.upper() + " !", f"i{i}" if i % 9 == 0 else None) for i, t in enumerate(left + left[:10])]
