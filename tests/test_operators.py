@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import fixed
 from shelfmark.operators import coverage, dedupe, documents, identity, manifests, matching, ordered, overlap, runs, sequences, spread
+from shelfmark.plans import registry
 from shelfmark.sources import plans as sources
 
 
@@ -396,6 +397,61 @@ def test_near_texts_are_all_found(spark):
         matching.near_texts(a, b, 7500)
 
 
+def exchanges(df, *names):
+    """How often rows that have all of the named columns are shuffled."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    lines = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    return sum(all(f"{n}#" in line for n in names) for line in lines)
+
+
+def reviewed_pages(spark):
+    pages = spark.createDataFrame(
+        [("s", f"a{i % 3}", i, f"h{i}", i // 4, 0, 100, 100) for i in range(24)],
+        "series string, archive string, page int, sha256 string, hi bigint, color int, width int, height int",
+    )
+    found = overlap.near_candidates(pages, pages.select("series", "archive"), 1)
+    return pages, found.toDF("series", "archive", *overlap.CANDIDATE_KEY)
+
+
+def test_decisions_are_shuffled_once_for_each_page(spark):
+    pages, found = reviewed_pages(spark)
+    given = spark.createDataFrame(found.union(found.limit(1)).collect(), found.schema)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        classes, strays = overlap.decision_coverage(pages, pages.select("series", "archive"), given, 1)
+        # Once by each page, which meets the page's own row there; no copy of the decisions is stored.
+        assert exchanges(strays, "fallback_page") == 2 and exchanges(strays, "compared_page") == 2
+        assert [r.message for r in strays.collect()] == ["candidate.decided-once"]
+        assert all(r.candidates == r.decided for r in classes.collect())
+        other = given.withColumn("hamming_distance", F.col("hamming_distance") + 1)
+        classes, strays = overlap.decision_coverage(pages, pages.select("series", "archive"), other, 1)
+        assert {r.message for r in strays.collect()} == {"visual.candidate"} and all(r.decided == 0 for r in classes.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_decision_issues_take_one_shuffle(spark):
+    _, found = reviewed_pages(spark)
+    given = spark.createDataFrame(found.collect(), found.schema)
+    rows = given.selectExpr("*", "true AS duplicate", "' ' AS reviewer", "CAST(null AS STRING) AS reason")
+    got = overlap.decision_issues(given, rows.union(rows).union(rows.withColumn("fallback_page_sha256", F.lit(None).cast("string"))))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1
+    messages = got.groupBy("message").count().collect()
+    n = given.count()
+    # Without its hash the subject of a decision may be that of another, and each is listed once.
+    lone = given.withColumn("fallback_page_sha256", F.lit(None).cast("string")).distinct().count()
+    assert {r["message"]: r["count"] for r in messages} == {
+        "candidate.decided-once": n, "visual.candidate": lone, "visual.reviewer": n + lone, "visual.reason": n + lone,
+    }
+
+
+def test_pages_of_near_queries_are_hashed_once(spark):
+    for name in ("near_candidates", "near_pairs", "decided_classes"):
+        df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert all("/grid-" in f for f in df.inputFiles())
+
+
 def test_near_texts_are_paired_in_all_tasks(spark):
     a = spark.createDataFrame([(t,) for t in near_title_rows()[0]], "text string")
     near = matching.near_texts(a, a, 8200)
