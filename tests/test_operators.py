@@ -534,3 +534,8 @@ def test_record_rules_are_worked_on_by_many_tasks(spark):
     rows = spark.range(0, 200, 1, 1).selectExpr("id AS doc_seq", "id AS run", "'{}' AS json")
     for found in (documents.special_issues(rows), runs.run_state_issues(rows)):
         assert found.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_folders_and_series_are_classified_once(spark):
+    found = registry.QUERIES["folder_series"](spark, "/root/testdata/sf0.001")
+    assert found.inputFiles() and all("/pairs-" in f for f in found.inputFiles())
