@@ -175,7 +175,8 @@ def next_actions(states: DataFrame, problems: DataFrame, caches: DataFrame, exis
     )
     main = states.join(broken, "run", "left").select("run", F.lit(1).alias("step"), action.alias("action"), F.col("staging").alias("path"))
     known = existing.select("path").distinct().withColumn("_there", F.lit(True))
-    wanted = caches.select("run", "path").distinct()
+    # Stored, as the lookup reads it twice and a walk over all states may stand below it.
+    wanted = store_table(caches.select("run", "path").distinct(), "caches")
     rebuild = spread.lookup(wanted, known, ["path"], copies=spread.COPIES).filter("_there IS NULL")
     return main.unionByName(
         rebuild.select("run", F.lit(2).alias("step"), F.lit("rebuild-disposable-cache").alias("action"), "path")

@@ -539,3 +539,12 @@ def test_record_rules_are_worked_on_by_many_tasks(spark):
 def test_folders_and_series_are_classified_once(spark):
     found = registry.QUERIES["folder_series"](spark, "/root/testdata/sf0.001")
     assert found.inputFiles() and all("/pairs-" in f for f in found.inputFiles())
+
+
+def test_states_are_walked_once_for_their_caches(spark):
+    docs = spark.createDataFrame([("1", '{"cache_paths":["/a","/b"]}'), ("2", '{"cache_paths":["/b"]}')], "doc string, text string")
+    states = spark.createDataFrame([("1", "paused", "/t", True), ("2", "paused", None, False)], "run string, status string, staging string, staging_exists boolean")
+    existing = spark.createDataFrame([("/b",)], "path string")
+    found = runs.next_actions(states, states.select("run").limit(0), sources.cache_paths(docs, "run"), existing)
+    assert "MapInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect() if r.step == 2) == [("1", 2, "rebuild-disposable-cache", "/a")]
