@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import members
-from ..session import shared_folder
+from ..session import shared_folder, stored
 from ..sources import archives, reports
 from ..streaming import inventory
 from .registry import query, with_
@@ -65,6 +65,11 @@ def built(t):
     return rows.mapInPandas(_zipped, "path string, content binary")
 
 
+def _members(t):
+    """Members of the built archives, for queries that read them several times; stored, so archives are unpacked once."""
+    return stored(archives.read_members(built(t)).drop("head"), "members")
+
+
 GOOD = "SELECT *, source || '/' || CAST(doc_id AS VARCHAR) || '.cbz' AS archive FROM documents WHERE doc_id % 50 <> 3"
 MEMBER_SQL = """
 SELECT archive, doc_id, 0 AS i, 'p10.png' AS name, sha256(text) AS sha256, strlen(text) AS size FROM d
@@ -83,13 +88,13 @@ def archive_members(t):
 @query("archive_pages", with_(d=GOOD, m=MEMBER_SQL) + """
 SELECT archive, row_number() OVER (PARTITION BY archive ORDER BY i) AS page, name, sha256 FROM m""")
 def archive_pages(t):
-    return archives.pages_of(archives.read_members(built(t))).select("archive", "page", "name", "sha256")
+    return archives.pages_of(_members(t)).select("archive", "page", "name", "sha256")
 
 
 @query("archive_issues", """
 SELECT 'invalid_zip' AS code, source || '/' || CAST(doc_id AS VARCHAR) || '.cbz' AS subject, 'archive.readable' AS message FROM documents WHERE doc_id % 50 = 3""")
 def archive_issues(t):
-    return archives.archive_issues(archives.read_members(built(t)))
+    return archives.archive_issues(_members(t))
 
 
 META_SQL = """
@@ -116,7 +121,7 @@ SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.cbz' AS path, CASE WHEN doc
   CASE WHEN doc_id % 50 <> 3 AND doc_id % 9 <> 0 AND doc_id % 13 <> 0 THEN series END AS series, CASE WHEN doc_id % 50 <> 3 AND doc_id % 9 <> 0 AND doc_id % 13 <> 0 THEN declared_page_count END AS declared
 FROM documents JOIN m USING (doc_id)""")
 def archive_table(t):
-    table = archives.archive_table(archives.read_members(built(t)))
+    table = archives.archive_table(_members(t))
     return table.select(
         "path", F.col("page_count").cast("int").alias("page_count"), F.col("error").isNotNull().alias("unreadable"),
         "series", F.col("declared_page_count").alias("declared"),
@@ -129,15 +134,15 @@ UNION ALL SELECT archive, 'pages_not_at_archive_root' FROM d
 UNION ALL SELECT archive, 'page_order_not_natural' FROM d
 UNION ALL SELECT archive, 'pagecount_mismatch' FROM d WHERE doc_id % 9 <> 0 AND doc_id % 13 <> 0 AND doc_id % 6 = 0""")
 def archive_audit(t):
-    """From archive bytes to issues: members, pages, metadata and their checks in one plan."""
-    stored = archives.read_members(built(t)).drop("head")
-    pages = archives.pages_of(stored)
-    table = archives.archive_table(stored).filter("metadata_issue IS NULL OR metadata_issue LIKE 'metadata.one-%'")
+    """From archive bytes to issues: members, pages, metadata and their checks."""
+    found = _members(t)
+    pages = archives.pages_of(found)
+    table = archives.archive_table(found).filter("metadata_issue IS NULL OR metadata_issue LIKE 'metadata.one-%'")
     declared = table.filter("series IS NOT NULL").select(
         F.col("path").alias("archive"), F.col("declared_page_count").alias("declared")
     )
     code = lambda df, name: df.select("archive", F.lit(name).alias("code")).distinct()
-    real = stored.filter("member_index IS NOT NULL")
+    real = found.filter("member_index IS NOT NULL")
     return (
         code(members.metadata_uniqueness(real), "comicinfo_root_uniqueness")
         .unionByName(code(members.nested_pages(pages), "pages_not_at_archive_root"))

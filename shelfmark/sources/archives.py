@@ -172,7 +172,10 @@ def parse_metadata(df: DataFrame, xml: str, mode: str = "transform", size: str |
         df.withColumn("_guard", xml_guard(F.col(xml), mode, F.col(size) if size else None))
         .withColumn("_root", F.regexp_extract(body, r"^\s*<(?:[^\s<>/:]+:)?([^\s<>/:]+)", 1))
         .withColumn("_doc", F.from_xml(F.when(F.col("_guard").isNull(), clean), schema, options))
+        .withColumn("_body", body)
     )
+    # Once and where the caller asks for it, whatever the results are filtered by.
+    df = spread.computed(df, "_guard", "_root", "_doc", "_body")
     repeated = [
         F.when(F.size(F.col(f"_doc.{name}")) > 1, F.lit(f"metadata.one-{name}")) for name in fixed.IDENTITY_FIELDS
     ]
@@ -193,7 +196,6 @@ def parse_metadata(df: DataFrame, xml: str, mode: str = "transform", size: str |
         anywhere = F.xpath_string("_body", F.lit(f"string((//*[{small}='{name.lower()}'])[1]/text()[1])"))
         return F.when(whole & F.col("_guard").isNull(), F.nullif(F.trim(F.when(once, child).otherwise(anywhere)), F.lit(""))).alias(_snake(name))
 
-    df = df.withColumn("_body", body)
     values = [first(name) for name in METADATA_FIELDS]
     return df.select(*(c for c in df.columns if c not in ("_guard", "_root", "_doc", "_body")), *values,
                      issue.alias("metadata_issue"))
@@ -214,7 +216,9 @@ def archive_table(members: DataFrame, mode: str = "transform") -> DataFrame:
         F.count_if(image).alias("page_count"),
         F.max("error").alias("error"),
     )
-    documents = parse_metadata(metadata_documents(members), "xml", mode, "bytes").drop("xml", "bytes")
+    # Documents are few bytes and dear to parse, so all tasks take their share of them.
+    documents = spread.dealt(metadata_documents(members))
+    documents = parse_metadata(documents, "xml", mode, "bytes").drop("xml", "bytes")
     return facts.join(documents, "archive", "left").withColumnRenamed("archive", "path")
 
 

@@ -548,3 +548,12 @@ def test_states_are_walked_once_for_their_caches(spark):
     found = runs.next_actions(states, states.select("run").limit(0), sources.cache_paths(docs, "run"), existing)
     assert "MapInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(tuple(r) for r in found.collect() if r.step == 2) == [("1", 2, "rebuild-disposable-cache", "/a")]
+
+
+def test_archives_are_unpacked_and_their_metadata_parsed_once(spark):
+    for name in ("archive_audit", "archive_table", "archive_issues", "archive_pages"):
+        df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert df.inputFiles() and all("/members-" in f for f in df.inputFiles())
+    plan = registry.QUERIES["archive_audit"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # Parsed above the rows that are dealt out, not in the few tasks below.
+    assert plan.count("from_xml(") == 1 and "RepartitionByExpression" in plan[plan.index("from_xml("):]
