@@ -40,13 +40,15 @@ def merge_pages(
     scope: list[str],
     distance: int = fixed.DEFAULT_DISTANCE,
     bits: int = overlap.BITS,
+    near: DataFrame | None = None,
 ) -> DataFrame:
     """The ordered merge of the pages of each scope, with exact and reviewed near duplicates dropped.
 
     pages: scope, source_index, page, archive_sha256, sha256, hi, color, width,
     height.  decisions: scope, source_index, page, duplicate and the three
     hashes it is bound to (source_archive_sha256, source_page_sha256,
-    duplicate_target_sha256).
+    duplicate_target_sha256).  near: ``overlap.neighbours`` of the pages, where
+    the caller has them stored.
 
     In reading order a page is dropped when a kept page has the same bytes, or
     when the nearest kept page within the distance (the earliest among equally
@@ -84,11 +86,15 @@ def merge_pages(
         )
     )
     group = [*scope, "sha256"]
+    # The next step reads the rows twice, and what decisions are made of may be dear.
+    given = stored(rows, "merge")
     # The first page that cannot be near-dropped: nothing after it is ever kept.
     rows = stored(
-        spread.attach(rows, group, [F.min(F.when(~F.col("_may_drop"), F.col("pos"))).alias("_sure")], ["source_index", "page"]), "merge"
+        spread.attach(given, group, [F.min(F.when(~F.col("_may_drop"), F.col("pos"))).alias("_sure")], ["source_index", "page"]), "merge"
     )
-    near = stored(overlap.neighbours(pages, scope, distance, bits=bits), "merge")
+    deleted(given)
+    if near is None:
+        near = stored(overlap.neighbours(pages, scope, distance, bits=bits), "merge")
 
     # Pages that decide their group: droppable ones before the sure one, and the sure one.
     contenders = rows.filter(F.col("_sure").isNull() | (F.col("pos") <= F.col("_sure"))).select(

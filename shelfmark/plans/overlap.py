@@ -285,7 +285,7 @@ def merge_input(t):
         "series AS output", f"{_CODE.replace('source', 'archive')} AS source_index", "page", "'a' || archive AS archive_sha256", "sha256", *overlap.NODE,
     )
     pos = dedupe.position()
-    near = overlap.neighbours(pages, ["output"], DISTANCE)
+    near = stored(overlap.neighbours(pages, ["output"], DISTANCE), "near")
     a = pages.withColumn("node", F.struct(*overlap.NODE)).withColumn("pos", pos)
     b = a.groupBy("output", F.col("node").alias("other")).agg(F.min(F.struct("pos", "sha256")).alias("first"))
     b = b.select("output", "other", F.col("first.pos").alias("other_pos"), F.col("first.sha256").alias("target"))
@@ -296,19 +296,22 @@ def merge_input(t):
         "output", "source_index", "page", "page % 2 = 0 AS duplicate", "archive_sha256 AS source_archive_sha256",
         "CASE WHEN page % 7 = 0 THEN 'old' ELSE sha256 END AS source_page_sha256", "target AS duplicate_target_sha256",
     )
-    return pages, decisions
+    return pages, decisions, near
+
+
+def _merged(t):
+    pages, decisions, near = merge_input(t)
+    return dedupe.merge_pages(pages, decisions, ["output"], DISTANCE, near=near)
 
 
 @query("merge_pages")
 def merge_pages(t):
-    pages, decisions = merge_input(t)
-    return dedupe.merge_pages(pages, decisions, ["output"], DISTANCE)
+    return _merged(t)
 
 
 @query("merge_report")
 def merge_report(t):
-    pages, decisions = merge_input(t)
-    return dedupe.merge_report(dedupe.merge_pages(pages, decisions, ["output"], DISTANCE), ["output"])
+    return dedupe.merge_report(_merged(t), ["output"])
 
 
 # Provenance: each source's pages are merged into one output; some rows are forged.

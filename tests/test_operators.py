@@ -557,3 +557,23 @@ def test_archives_are_unpacked_and_their_metadata_parsed_once(spark):
     plan = registry.QUERIES["archive_audit"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     # Parsed above the rows that are dealt out, not in the few tasks below.
     assert plan.count("from_xml(") == 1 and "RepartitionByExpression" in plan[plan.index("from_xml("):]
+
+
+def test_merge_decisions_are_read_once_and_near_hashes_may_be_given(spark):
+    rng = random.Random(5)
+    rows = [(0, page, "a0", f"h{k}", *r[4:]) for page, (k, r) in enumerate(((k, r) for k, r in enumerate(page_rows(rng, 6)) for _ in (0, 1)), 1)]
+    schema = "source_index int, page bigint, archive_sha256 string, sha256 string, hi bigint, color int, width int, height int"
+    pages = spark.createDataFrame(rows, schema).withColumn("output", F.lit("o"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    decisions = "output string, source_index int, page bigint, duplicate boolean, source_archive_sha256 string, source_page_sha256 string, duplicate_target_sha256 string"
+    decided = spark.createDataFrame([("o", 0, 3, False, "a0", "h1", "h0")], decisions).mapInPandas(counted, decisions)
+    near = overlap.neighbours(pages, ["output"], 4)
+    merged = dedupe.merge_pages(pages, decided, ["output"], 4, near=near)
+    assert sorted((r.page, r.state) for r in merged.collect())[:2] == [(1, "kept"), (2, "exact")]
+    assert seen.value == 1
