@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions import fixed
-from shelfmark.operators import coverage, dedupe, documents, identity, manifests, matching, ordered, overlap, runs, sequences, spread
+from shelfmark.operators import audit, coverage, dedupe, documents, identity, manifests, matching, ordered, overlap, runs, sequences, spread
 from shelfmark.plans import registry
+from shelfmark.session import stored
 from shelfmark.sources import plans as sources
 
 
@@ -362,6 +363,21 @@ def test_copied_sides_stay_off_the_driver(spark):
     assert {(r.id, r.n) for r in counted.collect()} == {(i, 4) for i in range(200)}
 
 
+def test_tables_of_archives_stay_off_the_driver(spark):
+    # What is read from files has the size of the files, packed as they are, so only stored tables show it.
+    table = lambda rows, schema: stored(spark.createDataFrame(rows, schema), "test")
+    items = table([("a", "s"), ("b", "s"), ("c", "t"), ("d", None)], "path string, series_key string")
+    members = table([(a, "1.jpg", "x") for a in "abcd"], "archive string, name string, sha256 string")
+    facts = table([(a, 3) for a in "abcd"], "path string, pages bigint")
+    matched = table([("a", "volume", 1), ("c", "volume", 1), ("d", "special", 1)], "path string, kind string, doc_seq int")
+    sharing = audit.sharing_archives(items, members)
+    faults = audit.fallback_evidence(matched, table([(1, "{}")], "doc_seq int, json string"), facts, sharing)
+    for df in (sharing, faults):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.path for r in sharing.collect()) == ["a", "b"]
+    assert {r.subject for r in faults.collect()} == {"a", "c"}
+
+
 def plain_similarity(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
