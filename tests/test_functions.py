@@ -122,3 +122,21 @@ def test_numbers_of_any_length(spark):
     df = spark.createDataFrame([(k,) for k in texts], "x string")
     got = {r.x: r.y for r in df.select("x", identity.decimal_identity(F.col("x")).alias("y")).collect()}
     assert got == texts
+
+
+def test_members_of_an_object_are_its_fields(spark):
+    values = ['{"a":null,"b":"","c":{"d":1},"e":[],"f":false,"g":0.50,"":7}', "{}", "[1]", '"a"', "null", "3", None, "{"]
+    df = spark.createDataFrame([(j,) for j in values], "j string").withColumn("v", variants.parse(F.col("j")))
+    df = df.withColumn("m", variants.members(F.col("v")))
+    v, m, keys = F.col("v"), variants.Members(F.col("m")), ["a", "b", "c", "e", "f", "g", "h"]
+    both = [[variants.raw(variants.field(x, k)) for k in keys] + [variants.raw(variants.first_field(x, ks)) for ks in (keys, ["h", "a", "b", "g"], ["e", "f"])]
+            for x in (v, m)]
+    for row in df.select(F.array(*both[0]).alias("by_path"), F.array(*both[1]).alias("by_member")).collect():
+        assert row.by_path == row.by_member
+    assert df.select(*both[1]).first()[7:] == ('{"d":1}', "0.5", "[]")
+
+
+def test_values_are_looked_at_once(spark):
+    # Every use of a number's text used to look its fields up again, a path at a time.
+    plan = spark.range(1).select(sequences.gap_ranges(variants.parse(F.lit("{}"))))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("variant_get") < 50

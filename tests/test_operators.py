@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -593,3 +594,18 @@ def test_merge_decisions_are_read_once_and_near_hashes_may_be_given(spark):
     merged = dedupe.merge_pages(pages, decided, ["output"], 4, near=near)
     assert sorted((r.page, r.state) for r in merged.collect())[:2] == [(1, "kept"), (2, "exact")]
     assert seen.value == 1
+
+
+def test_only_gap_values_and_their_records_are_kept(spark, monkeypatch):
+    plan = {"series": "S", "items": [{"path": "a"}, {"path": "b"}], "intentional_gaps": [{"start": 3, "end": 4, "reason": "r"}, "7, 9-8"],
+            "more": {"series": "T", "intentional_gaps": [5, []]}}
+    docs = spark.createDataFrame([("d", json.dumps(plan))], "doc string, text string")
+    kept, write = [], sequences.stored
+    monkeypatch.setattr(sequences, "stored", lambda df, purpose: kept.append(write(df, purpose)) or kept[-1])
+    found, problems = sequences.documented_gaps(sources.walk_nodes(docs, below=fixed.GAP_KEYS))
+    assert sorted(map(tuple, found.collect())) == [("s", 3, 4), ("s", 7, 7), ("t", 5, 5)]
+    assert sorted((r.entry_seq, r.message) for r in problems.collect()) == [("00000000.00000003.00000001.00000001", "gap.range")]
+    # The nodes are walked once for both results.
+    assert all("MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (found, problems))
+    # Items are no records of gaps.
+    assert not [r for r in kept[0].collect() if "items" in r.path]
