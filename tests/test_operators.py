@@ -609,3 +609,16 @@ def test_only_gap_values_and_their_records_are_kept(spark, monkeypatch):
     assert all("MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (found, problems))
     # Items are no records of gaps.
     assert not [r for r in kept[0].collect() if "items" in r.path]
+
+
+def test_fallback_fields_are_taken_from_members(spark):
+    docs = spark.createDataFrame([(1, '{"overlap_audit":null}'), (2, "[]"), (3, '{"overlap_audit":{"result":"open"}}')], "doc_seq bigint, json string")
+    found = documents.fallback_issues(docs)
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        # A look at a path that is absent costs an exception, and most of the forty fields may be.
+        assert found._jdf.queryExecution().analyzed().toString().count(" $.") == 0
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    messages = {(r.doc_seq, r.message) for r in found.collect()}
+    assert {d for d, m in messages if m == "overlap.present"} == {1, 2} and (3, "overlap.result") in messages
